@@ -139,13 +139,18 @@ def uplink_warnings() -> Column:
 def uplink_text() -> Column:
     """Readable line; the node part keeps only the last two digits of its number."""
     c = F.col
+
+    def fixed(name, label, pattern):
+        # format_string would print a NULL as text
+        return F.when(c(name).isNotNull(), F.concat(F.lit(label), F.format_string(pattern, c(name))))
+
     return F.when(c("node_id").isNotNull(), F.concat_ws(
         " | ",
         F.concat(F.lit("NODE"), F.substring(F.concat(F.lit("0"), c("node_id")), -2, 2)),
         F.concat(F.lit("EVT="), F.upper(c("evento"))),
-        F.concat(F.lit("CONF="), F.format_string("%.2f", c("confianza"))),
-        F.concat(F.lit("LAT="), F.format_string("%.5f", c("lat"))),
-        F.concat(F.lit("LON="), F.format_string("%.5f", c("lon"))),
+        fixed("confianza", "CONF=", "%.2f"),
+        fixed("lat", "LAT=", "%.5f"),
+        fixed("lon", "LON=", "%.5f"),
         F.concat(F.lit("BAT="), c("bateria_pct"), F.lit("%")),
         F.concat(F.lit("T="), c("temp_c"), F.lit("C")),
         F.concat(F.lit("HR="), c("hr_pct"), F.lit("%")),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumewatch.schemas import EVENTS
 from plumewatch.session import scratch_path
 
 
@@ -23,9 +24,8 @@ def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
 
 def event_stream(spark: SparkSession, sf: str, files_per_trigger: int | None = None) -> DataFrame:
     """The driver's event table as a file stream."""
-    from plumewatch.schemas import EVENTS
-
     reader = spark.readStream.schema(EVENTS)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(f"{sf.rstrip('/')}/events.parquet")
+    # a pattern, because a stream takes a plain path for a folder and the table may be one file
+    return reader.parquet(f"{sf.rstrip('/')}/events.parque[t]")

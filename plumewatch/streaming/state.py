@@ -7,15 +7,13 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plumewatch import constants as C
 from plumewatch.operators.timeline import confirmed_scores, newest_scores, run_lengths
 from plumewatch.session import scratch_path
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 CAPPED = T.StructType([
     T.StructField("node_id", T.IntegerType()),
     T.StructField("event_id", T.LongType()),
@@ -23,42 +21,31 @@ CAPPED = T.StructType([
 ])
 
 
-class HourCap(StatefulProcessor):
-    """Passes the first alerts of a node hour; the state is one counter per node hour."""
-
-    def __init__(self, limit: int, grace_ms: int) -> None:
-        self.limit, self.grace_ms = limit, grace_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.sent = handle.getValueState("sent", "n int")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        before = self.sent.get()[0] if self.sent.exists() else 0
-        room = self.limit - before
+def hour_cap(limit: int, grace_ms: int):
+    """Function for one node hour: passes its first alerts, remembers how many have passed."""
+    def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        before = state.get[0] if state.exists else 0
+        room = limit - before
         best: pd.DataFrame | None = None
-        for chunk in rows:
+        for chunk in chunks:
             if room > 0:
                 # only the earliest rows that can still pass are held
                 pool = chunk if best is None else pd.concat([best, chunk])
                 best = pool.sort_values(["ts", "event_id"]).head(room)
-        if before == 0:
-            hour_end = (int(key[1]) + 3600) * 1000
-            self.handle.registerTimer(hour_end + self.grace_ms)
-        if best is None or best.empty:
-            return
-        self.sent.update((before + len(best),))
-        yield pd.DataFrame({
-            "node_id": [int(key[0])] * len(best),
-            "event_id": best["event_id"].astype("int64").to_list(),
-            "rank": range(before + 1, before + 1 + len(best))})
-
-    def handleExpiredTimer(self, key, timer, expired) -> Iterator[pd.DataFrame]:
-        self.sent.clear()
-        return iter([])
+        passed = 0 if best is None else len(best)
+        state.update((before + passed,))
+        hour_end = (int(key[1]) + 3600) * 1000
+        state.setTimeoutTimestamp(max(hour_end + grace_ms, state.getCurrentWatermarkMs() + 1))
+        if passed:
+            yield pd.DataFrame({
+                "node_id": [int(key[0])] * passed,
+                "event_id": best["event_id"].astype("int64").to_list(),
+                "rank": range(before + 1, before + 1 + passed)})
 
-    def close(self) -> None:
-        pass
+    return step
 
 
 def capped_alert_stream(alerts: DataFrame, limit: int = C.MAX_ALERTS_PER_HOUR,
@@ -68,14 +55,13 @@ def capped_alert_stream(alerts: DataFrame, limit: int = C.MAX_ALERTS_PER_HOUR,
     The grouping key holds the hour, so a busy node spreads over its hours, and its counters are
     cleared when the watermark has passed them. Alerts later than the watermark are not seen.
     """
-    alerts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return (
         alerts.select("node_id", "event_id", "ts").withWatermark("ts", delay)
         .withColumn("hour_start", F.unix_seconds(F.date_trunc("hour", F.col("ts"))))
         .groupBy("node_id", "hour_start")
-        .transformWithStateInPandas(
-            statefulProcessor=HourCap(limit, grace_ms), outputStructType=CAPPED,
-            outputMode="Append", timeMode="EventTime"))
+        .applyInPandasWithState(
+            hour_cap(limit, grace_ms), CAPPED, "sent int", "append",
+            GroupStateTimeout.EventTimeTimeout))
 
 
 def _with_history(stream: DataFrame, step: Callable[[DataFrame, DataFrame | None],
