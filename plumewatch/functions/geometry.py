@@ -85,25 +85,27 @@ def jitter_draws(frame_id: Column, item: Column, seed: int = C.SEED):
     return unit(h, 0), unit(h, 1)
 
 
-def random_windows(frame_id: Column, attempts: Column, width: Column, height: Column,
-                   seed: int = C.SEED) -> Column:
+def random_windows(attempts: str, frame_id: str = "frame_id", width: str = "width",
+                   height: str = "height", seed: int = C.SEED) -> Column:
     """Candidate negative windows, one (attempt, win) per element of `attempts`.
 
-    Built in steps, because a lambda repeats every expression it mentions: each digest is computed
-    once and its draws are handed on.
+    Arguments are SQL expressions. Built in steps, because a lambda repeats every expression it
+    mentions: each digest is computed once and its draws are handed on.
     """
     low, high = C.NEGATIVE_SIDE
-    hashed = F.transform(attempts, lambda a: F.struct(
-        a.alias("a"), digest(seed, "window", frame_id, a).alias("h")))
-    sized = F.transform(hashed, lambda d: F.struct(
-        d.a.alias("a"),
-        F.least(between(unit(d.h, 0), low, high) * C.WINDOW_PX, height.cast("double")).alias("s"),
-        unit(d.h, 1).alias("u"), unit(d.h, 2).alias("v")))
-    placed = F.transform(sized, lambda d: F.struct(
-        d.a.alias("a"), d.s.alias("s"),
-        (d.u * (width - d.s)).alias("x"), (d.v * (height - d.s)).alias("y")))
-    return F.transform(placed, lambda d: F.struct(
-        d.a.alias("attempt"), box_struct(d.x, d.y, d.x + d.s, d.y + d.s).alias("win")))
+
+    def draw(slot):
+        return f"cast(conv(substring(d.h, {1 + 8 * slot}, 8), 16, 10) AS BIGINT) / 4294967296D"
+
+    hashed = (f"transform({attempts}, a -> "
+              f"struct(a, md5(concat_ws(':', '{seed}', 'window', {frame_id}, a)) AS h))")
+    sized = (f"transform({hashed}, d -> struct(d.a, least(({low}D + {draw(0)} * ({high}D - {low}D))"
+             f" * {C.WINDOW_PX}, double({height})) AS s, {draw(1)} AS u, {draw(2)} AS v))")
+    placed = (f"transform({sized}, d -> "
+              f"struct(d.a, d.s, d.u * ({width} - d.s) AS x, d.v * ({height} - d.s) AS y))")
+    return F.expr(
+        f"transform({placed}, d -> struct(d.a AS attempt, struct(d.x AS x0, d.y AS y0, "
+        f"d.x + d.s AS x1, d.y + d.s AS y1) AS win))")
 
 
 def intersection(a: Column, b: Column) -> Column:

@@ -18,10 +18,20 @@ from plumewatch.operators.ranking import hex_cell, running_totals
 FIRST_TRY = 4
 
 
+def each(df: DataFrame, array: str, index: str, item: str) -> DataFrame:
+    """One row per array element, with its index.
+
+    The outer generator keeps the optimizer from adding a `size(array) > 0` filter: pushed below the
+    projections that build the array, that filter would compute it a second time.
+    """
+    return df.select("*", F.posexplode_outer(array).alias(index, item)).where(
+        F.col(index).isNotNull())
+
+
 def box_windows(df: DataFrame, seed: int = C.SEED) -> DataFrame:
     """Two windows per box: centred, then jittered. Needs boxes, width and height columns."""
     return (
-        df.select("*", F.posexplode("boxes").alias("item", "box"))
+        each(df, "boxes", "item", "box")
         .withColumn("crop", F.explode(F.sequence(F.lit(0), F.lit(C.CROPS_PER_BOX - 1))))
         .withColumn("win", F.when(
             F.col("crop") == 0, window_around(F.col("box"), F.col("width"), F.col("height"))
@@ -34,8 +44,8 @@ def negative_quota(boxes: Column) -> Column:
     return F.when(F.size(boxes) > 0, C.NEGATIVES_SMOKE_FRAME).otherwise(C.NEGATIVES_CLEAN_FRAME)
 
 
-def _accepted(attempts: Column, seed: int) -> Column:
-    made = random_windows(F.col("frame_id"), attempts, F.col("width"), F.col("height"), seed)
+def _accepted(attempts: str, seed: int) -> Column:
+    made = random_windows(attempts, seed=seed)
     return F.filter(made, lambda s: ~touches_any(s.win, F.col("boxes")))
 
 
@@ -47,22 +57,22 @@ def with_negative_windows(df: DataFrame, seed: int = C.SEED) -> DataFrame:
     25 per window is spent when the first ones do not fill the quota.
     """
     quota = F.col("quota")
-    first = quota + FIRST_TRY - 1
+    first = f"quota + {FIRST_TRY - 1}"
     return (
         df.withColumn("quota", negative_quota(F.col("boxes")))
-        .withColumn("_try", _accepted(F.sequence(F.lit(0), first), seed))
+        .withColumn("_try", _accepted(f"sequence(0, {first})", seed))
         .withColumn("negatives", F.slice(
             F.when(F.size("_try") >= quota, F.col("_try")).otherwise(F.concat(
                 F.col("_try"),
-                _accepted(F.sequence(first + 1, quota * C.ATTEMPTS_PER_NEGATIVE - 1), seed))),
+                _accepted(
+                    f"sequence({first} + 1, quota * {C.ATTEMPTS_PER_NEGATIVE} - 1)", seed))),
             F.lit(1), quota))
         .drop("_try"))
 
 
 def negative_windows(df: DataFrame, seed: int = C.SEED) -> DataFrame:
     return (
-        with_negative_windows(df, seed)
-        .select("*", F.posexplode("negatives").alias("item", "neg"))
+        each(with_negative_windows(df, seed), "negatives", "item", "neg")
         .withColumn("attempt", F.col("neg.attempt")).withColumn("win", F.col("neg.win"))
         .drop("negatives", "neg"))
 

@@ -38,7 +38,7 @@ _METRIC = f"round(0.5::DOUBLE+0.02::DOUBLE*line+0.2::DOUBLE*{V.sql_unit('h', 0)}
 
 
 @query("A5_history_csv", "", f"""
-SELECT event_id//20%8 AS model, count(*) AS epochs, round(sum({_METRIC}),4) AS metric_sum
+SELECT event_id//20%8 AS model, count(*) AS epochs, sum(round({_METRIC}*1000000)::BIGINT)::BIGINT AS metric_sum
 FROM (SELECT event_id, event_id%20 AS line, md5('run:'||event_id) AS h FROM events) GROUP BY model""")
 def history_csv(spark, sf):
     """Logs as CSV files in one folder per model, read back with a fixed schema."""
@@ -48,7 +48,7 @@ def history_csv(spark, sf):
         "model").option("header", True).csv(path)
     return reports.read_history(spark, path).groupBy("model").agg(
         F.count("val_auc_pr").alias("epochs"),
-        F.round(F.sum("val_auc_pr"), 4).alias("metric_sum"))
+        F.sum(F.round(F.col("val_auc_pr") * 1000000).cast("bigint")).alias("metric_sum"))
 
 
 @query("W7_training_summary", "", f"""

@@ -117,7 +117,7 @@ def dataset_document(spark, sf):
 # ---------------------------------------------------------------- geometry
 
 def _exploded(spark, sf):
-    return V.framed_boxes(spark, sf).select("*", F.posexplode("boxes").alias("item", "box"))
+    return sampling.each(V.framed_boxes(spark, sf), "boxes", "item", "box")
 
 
 @query("B1_parse_boxes", "frame_boxes", f"""
@@ -224,10 +224,10 @@ N_WINDOWS = 6
 
 
 def _windows(spark, sf):
-    size = [F.lit(float(v)) for v in C.FRAME_SIZE]
-    k = F.col("o_orderkey")
-    made = geo.random_windows(k, F.sequence(F.lit(0), F.lit(N_WINDOWS - 1)), *size)
-    return V.columns(spark, sf, "orders", "o_orderkey").select(k.alias("frame_id"), F.inline(made)).select(
+    w, h = C.FRAME_SIZE
+    made = geo.random_windows(f"sequence(0, {N_WINDOWS - 1})", "o_orderkey", f"{w}D", f"{h}D")
+    return V.columns(spark, sf, "orders", "o_orderkey").select(
+        F.col("o_orderkey").alias("frame_id"), F.inline(made)).select(
         "frame_id", F.col("attempt").alias("window_id"), "win.*")
 
 
