@@ -1,8 +1,10 @@
 """Window and box joins.
 
-A frame with very many boxes would make `frame_id` alone a hot join key with every pair inside it,
-so both sides are cut into a spatial grid and meet on (frame, cell). A pair that shares several cells
-is kept in one of them only: the cell of the corner where its intersection starts.
+A frame with very many boxes would make `frame_id` alone a hot join key with every pair inside it.
+Two measures keep such a frame from landing in one task. Both sides are cut into a spatial grid and
+meet on (frame, cell); a pair that shares several cells is kept only in the cell where its
+intersection starts. And boxes of a frame with more than `hot_rows` of them are dealt to several
+salts, to each of which the windows of that frame are repeated.
 """
 
 from __future__ import annotations
@@ -11,8 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumewatch.functions.geometry import covered_share, meets
+from plumewatch.session import materialize
 
 CELL_PX = 160
+HOT_ROWS = 1_000_000
+EDGES = ("x0", "y0", "x1", "y1")
+KEY = ("frame_id", "_salt", "_cx", "_cy")
 
 
 def _cells(low: Column, high: Column) -> Column:
@@ -21,56 +27,68 @@ def _cells(low: Column, high: Column) -> Column:
     return F.explode(F.sequence(first, last))
 
 
-def _gridded(df: DataFrame) -> DataFrame:
-    return (
-        df.withColumn("_cx", _cells(F.col("x0"), F.col("x1")))
-        .withColumn("_cy", _cells(F.col("y0"), F.col("y1"))))
-
+def _sides(windows: DataFrame, boxes: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both inputs with their rectangle packed, salted and gridded.
 
-def _sides(windows: DataFrame, boxes: DataFrame):
-    edges = ("x0", "y0", "x1", "y1")
+    The table of hot frames is written, so Spark knows its true size when it decides whether to
+    broadcast it.
+    """
+    salts = materialize(
+        boxes.groupBy("frame_id").agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > hot_rows)
+        .select("frame_id", F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts")),
+        "hot-frames")
 
     def packed(df, name):
-        keep = [c for c in df.columns if c not in (*edges, "_cx", "_cy")]
-        return df.select(*keep, F.struct(*edges).alias(name), "_cx", "_cy")
+        keep = [c for c in df.columns if c not in EDGES]
+        df = df.select(*keep, F.struct(*EDGES).alias(name)).join(salts, "frame_id", "left")
+        return df.withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+
+    def gridded(df, name):
+        return (
+            df.drop("_salts")
+            .withColumn("_cx", _cells(F.col(f"{name}.x0"), F.col(f"{name}.x1")))
+            .withColumn("_cy", _cells(F.col(f"{name}.y0"), F.col(f"{name}.y1"))))
 
-    return packed(_gridded(windows), "win"), packed(_gridded(boxes), "box")
+    w = packed(windows, "win").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    b = packed(boxes, "box").withColumn(
+        "_salt", F.pmod(F.xxhash64("box"), F.col("_salts")).cast("int"))
+    return gridded(w, "win"), gridded(b, "box")
 
 
-def overlapping_pairs(windows: DataFrame, boxes: DataFrame, threshold: float = 0.0) -> DataFrame:
+def overlapping_pairs(windows: DataFrame, boxes: DataFrame, threshold: float = 0.0,
+                      hot_rows: int = HOT_ROWS) -> DataFrame:
     """Pairs of one frame whose window covers more than `threshold` of the box.
 
     Both inputs have `frame_id` and the edges x0, y0, x1, y1; other column names must differ.
     """
-    w, b = _sides(windows, boxes)
+    w, b = _sides(windows, boxes, hot_rows)
     win, box = F.col("win"), F.col("box")
-    share = covered_share(win, box)
     first_cell = (
         (F.col("_cx") == F.floor(F.greatest(win.x0, box.x0) / CELL_PX))
         & (F.col("_cy") == F.floor(F.greatest(win.y0, box.y0) / CELL_PX)))
     return (
-        w.join(b, ["frame_id", "_cx", "_cy"])
-        .where(meets(win, box) & first_cell)
-        .withColumn("share", share)
+        w.join(b, list(KEY)).where(meets(win, box) & first_cell)
+        .withColumn("share", covered_share(win, box))
         .where(F.col("share") > threshold)
-        .drop("_cx", "_cy"))
+        .drop("_cx", "_cy", "_salt"))
 
 
-def untouched_windows(windows: DataFrame, boxes: DataFrame, key: str = "window_id") -> DataFrame:
+def untouched_windows(windows: DataFrame, boxes: DataFrame, key: str = "window_id",
+                      hot_rows: int = HOT_ROWS) -> DataFrame:
     """Windows that touch no box of their frame; the pairs themselves are never emitted."""
-    w, b = _sides(windows, boxes)
+    w, b = _sides(windows, boxes, hot_rows)
     w, b = w.alias("w"), b.alias("b")
-    touched = w.join(
-        b,
-        (F.col("w.frame_id") == F.col("b.frame_id")) & (F.col("w._cx") == F.col("b._cx"))
-        & (F.col("w._cy") == F.col("b._cy"))
-        & meets(F.col("w.win"), F.col("b.box")),
-        "left_semi").select("frame_id", key).distinct()
+    same = meets(F.col("w.win"), F.col("b.box"))
+    for c in KEY:
+        same = same & (F.col(f"w.{c}") == F.col(f"b.{c}"))
+    touched = w.join(b, same, "left_semi").select("frame_id", key).distinct()
     return windows.join(touched, ["frame_id", key], "left_anti")
 
 
 def negative_provenance(frames: DataFrame, boxes: DataFrame, hard: str, clean: str) -> DataFrame:
-    """Frames labelled by whether any box belongs to them."""
+    """Frames labelled by whether any box belongs to them; boxes collapse before the shuffle."""
     marked = boxes.select("frame_id").distinct().withColumn("_has", F.lit(True))
     return (
         frames.join(marked, "frame_id", "left")

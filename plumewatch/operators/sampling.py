@@ -9,13 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumewatch import constants as C
-from plumewatch.functions.geometry import (
-    jitter_draws, random_windows, split_part, touches_any, window_around)
-from plumewatch.functions.hashing import digest
+from plumewatch.functions.geometry import box_struct, random_windows, split_part, touches_any
+from plumewatch.functions.hashing import between, digest, unit
 from plumewatch.operators.ranking import hex_cell, running_totals
 
-# attempts tried before the full budget; a frame needs more only when boxes crowd it
-FIRST_TRY = 4
+# spare attempts tried before the full budget; a frame needs more only when boxes crowd it
+SPARE = 4
 
 
 def each(df: DataFrame, array: str, index: str, item: str) -> DataFrame:
@@ -28,16 +27,43 @@ def each(df: DataFrame, array: str, index: str, item: str) -> DataFrame:
         F.col(index).isNotNull())
 
 
+def place_windows(df: DataFrame, seed: int = C.SEED) -> DataFrame:
+    """Add `win`, the window around `box`: centred for crop 0, jittered for the others.
+
+    Same result as the expression for one window, but side, shift and corner are columns of their
+    own, so none of them is computed more than once per row.
+    """
+    box = F.col("box")
+    w, h = box.x1 - box.x0, box.y1 - box.y0
+    side = F.least(
+        F.greatest(F.lit(float(C.WINDOW_PX)), w * C.BOX_MARGIN, h * C.BOX_MARGIN),
+        F.col("height").cast("double"))
+    centred = F.col("crop") == 0
+
+    def centre(low, high, extent, slot):
+        slack = F.greatest(F.lit(0.0), (F.col("_side") - extent) / 2 * C.JITTER_SHARE)
+        shift = between(unit(F.col("_h"), slot), -slack, slack)
+        return (low + high) / 2 + F.when(centred, F.lit(0.0)).otherwise(shift)
+
+    def corner(middle, length):
+        free = F.col(length) - F.col("_side")
+        return F.least(F.greatest(F.col(middle) - F.col("_side") / 2, F.lit(0.0)), free)
+
+    x, y, s = F.col("_x"), F.col("_y"), F.col("_side")
+    return (
+        df.withColumn("_side", side)
+        .withColumn("_h", F.when(~centred, digest(seed, "jitter", F.col("frame_id"), F.col("item"))))
+        .withColumns({"_cx": centre(box.x0, box.x1, w, 0), "_cy": centre(box.y0, box.y1, h, 1)})
+        .withColumns({"_x": corner("_cx", "width"), "_y": corner("_cy", "height")})
+        .withColumn("win", box_struct(x, y, x + s, y + s))
+        .drop("_side", "_h", "_cx", "_cy", "_x", "_y"))
+
+
 def box_windows(df: DataFrame, seed: int = C.SEED) -> DataFrame:
     """Two windows per box: centred, then jittered. Needs boxes, width and height columns."""
-    return (
-        each(df, "boxes", "item", "box")
-        .withColumn("crop", F.explode(F.sequence(F.lit(0), F.lit(C.CROPS_PER_BOX - 1))))
-        .withColumn("win", F.when(
-            F.col("crop") == 0, window_around(F.col("box"), F.col("width"), F.col("height"))
-        ).otherwise(window_around(
-            F.col("box"), F.col("width"), F.col("height"),
-            jitter_draws(F.col("frame_id"), F.col("item"), seed)))))
+    crops = each(df, "boxes", "item", "box").withColumn(
+        "crop", F.explode(F.sequence(F.lit(0), F.lit(C.CROPS_PER_BOX - 1))))
+    return place_windows(crops, seed)
 
 
 def negative_quota(boxes: Column) -> Column:
@@ -57,7 +83,7 @@ def with_negative_windows(df: DataFrame, seed: int = C.SEED) -> DataFrame:
     25 per window is spent when the first ones do not fill the quota.
     """
     quota = F.col("quota")
-    first = f"quota + {FIRST_TRY - 1}"
+    first = f"quota + if(size(boxes) > 0, {SPARE}, 0) - 1"
     return (
         df.withColumn("quota", negative_quota(F.col("boxes")))
         .withColumn("_try", _accepted(f"sequence(0, {first})", seed))
@@ -114,15 +140,11 @@ def all_patches(df: DataFrame, seed: int = C.SEED) -> DataFrame:
         F.when(F.size("boxes") > 0, C.HARD).otherwise(C.CLEAN).alias("_kind"),
         F.inline(F.concat(positives, negatives)))
     # positives still hold their box; the window is computed on flat rows, in generated code
-    size = F.col("width"), F.col("height")
-    win = (
-        F.when(F.col("label") == 0, F.col("win"))
-        .when(F.col("crop") == 0, window_around(F.col("win"), *size))
-        .otherwise(window_around(
-            F.col("win"), *size, jitter_draws(F.col("frame_id"), F.col("item"), seed))))
+    rows = place_windows(rows.withColumnRenamed("win", "box"), seed)
+    positive = F.col("label") == 1
     return _patch_rows(
-        rows.withColumn("source", F.when(F.col("label") == 1, C.POSITIVE).otherwise(F.col("_kind")))
-        .withColumn("win", win))
+        rows.withColumn("source", F.when(positive, C.POSITIVE).otherwise(F.col("_kind")))
+        .withColumn("win", F.when(positive, F.col("win")).otherwise(F.col("box"))))
 
 
 def fixed_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
