@@ -1,10 +1,12 @@
 """Window and box joins.
 
-A frame with very many boxes would make `frame_id` alone a hot join key with every pair inside it.
-Two measures keep such a frame from landing in one task. Both sides are cut into a spatial grid and
-meet on (frame, cell); a pair that shares several cells is kept only in the cell where its
-intersection starts. And boxes of a frame with more than `hot_rows` of them are dealt to several
-salts, to each of which the windows of that frame are repeated.
+Frames usually hold a few boxes, and then `frame_id` is a good join key. A frame with very many boxes
+would be a hot key with every pair inside it, so frames are treated by their number of boxes:
+
+* more than `dense_rows`: both sides are cut into a spatial grid and meet on (frame, cell). A pair that
+  shares several cells is kept only in the cell where its intersection starts.
+* more than `hot_rows`: in addition, boxes are dealt to several salts, to each of which the windows of
+  that frame are repeated.
 """
 
 from __future__ import annotations
@@ -16,56 +18,56 @@ from plumewatch.functions.geometry import covered_share, meets
 from plumewatch.session import materialize
 
 CELL_PX = 160
+DENSE_ROWS = 200
 HOT_ROWS = 1_000_000
+WHOLE = -1_000_000_000
 EDGES = ("x0", "y0", "x1", "y1")
 KEY = ("frame_id", "_salt", "_cx", "_cy")
 
 
-def _cells(low: Column, high: Column) -> Column:
-    first = F.floor(low / CELL_PX).cast("int")
-    last = F.greatest(first, F.ceil(high / CELL_PX).cast("int") - 1)
-    return F.explode(F.sequence(first, last))
-
-
-def _sides(windows: DataFrame, boxes: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Both inputs with their rectangle packed, salted and gridded.
+def _sides(windows: DataFrame, boxes: DataFrame, dense_rows: int,
+           hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both inputs with their rectangle packed and a place (salt, cell) to meet in.
 
-    The table of hot frames is written, so Spark knows its true size when it decides whether to
-    broadcast it.
+    A row of an ordinary frame has one place, the whole frame. The table of dense frames is written,
+    so Spark knows its true size when it decides whether to broadcast it.
     """
-    salts = materialize(
+    dense = materialize(
         boxes.groupBy("frame_id").agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > hot_rows)
+        .where(F.col("_n") > dense_rows)
         .select("frame_id", F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts")),
-        "hot-frames")
+        "dense-frames")
 
-    def packed(df, name):
-        keep = [c for c in df.columns if c not in EDGES]
-        df = df.select(*keep, F.struct(*EDGES).alias(name)).join(salts, "frame_id", "left")
-        return df.withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+    def places(name, salts):
+        def cells(low, high):
+            return (f"sequence(int(floor({name}.{low} / {CELL_PX})), greatest(int(floor({name}.{low}"
+                    f" / {CELL_PX})), int(ceil({name}.{high} / {CELL_PX})) - 1))")
+
+        return F.expr(
+            f"explode(if(_salts IS NULL, array(struct(0 AS s, {WHOLE} AS cx, {WHOLE} AS cy)), "
+            f"flatten(transform({salts}, s -> flatten(transform({cells('x0', 'x1')}, cx -> "
+            f"transform({cells('y0', 'y1')}, cy -> struct(s, cx, cy))))))))").alias("_at")
 
-    def gridded(df, name):
-        return (
-            df.drop("_salts")
-            .withColumn("_cx", _cells(F.col(f"{name}.x0"), F.col(f"{name}.x1")))
-            .withColumn("_cy", _cells(F.col(f"{name}.y0"), F.col(f"{name}.y1"))))
+    def packed(df, name, salts):
+        keep = [c for c in df.columns if c not in EDGES]
+        df = df.select(*keep, F.struct(*EDGES).alias(name)).join(dense, "frame_id", "left")
+        return df.select(*keep, name, places(name, salts)).select(
+            *keep, name, *[F.col(f"_at.{f}").alias(c) for f, c in
+                           (("s", "_salt"), ("cx", "_cx"), ("cy", "_cy"))])
 
-    w = packed(windows, "win").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-    b = packed(boxes, "box").withColumn(
-        "_salt", F.pmod(F.xxhash64("box"), F.col("_salts")).cast("int"))
-    return gridded(w, "win"), gridded(b, "box")
+    return (packed(windows, "win", "sequence(0, _salts - 1)"),
+            packed(boxes, "box", "array(int(pmod(xxhash64(box), _salts)))"))
 
 
 def overlapping_pairs(windows: DataFrame, boxes: DataFrame, threshold: float = 0.0,
-                      hot_rows: int = HOT_ROWS) -> DataFrame:
+                      dense_rows: int = DENSE_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Pairs of one frame whose window covers more than `threshold` of the box.
 
     Both inputs have `frame_id` and the edges x0, y0, x1, y1; other column names must differ.
     """
-    w, b = _sides(windows, boxes, hot_rows)
+    w, b = _sides(windows, boxes, dense_rows, hot_rows)
     win, box = F.col("win"), F.col("box")
-    first_cell = (
+    first_cell = (F.col("_cx") == WHOLE) | (
         (F.col("_cx") == F.floor(F.greatest(win.x0, box.x0) / CELL_PX))
         & (F.col("_cy") == F.floor(F.greatest(win.y0, box.y0) / CELL_PX)))
     return (
@@ -76,9 +78,9 @@ def overlapping_pairs(windows: DataFrame, boxes: DataFrame, threshold: float = 0
 
 
 def untouched_windows(windows: DataFrame, boxes: DataFrame, key: str = "window_id",
-                      hot_rows: int = HOT_ROWS) -> DataFrame:
+                      dense_rows: int = DENSE_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Windows that touch no box of their frame; the pairs themselves are never emitted."""
-    w, b = _sides(windows, boxes, hot_rows)
+    w, b = _sides(windows, boxes, dense_rows, hot_rows)
     w, b = w.alias("w"), b.alias("b")
     same = meets(F.col("w.win"), F.col("b.box"))
     for c in KEY:

@@ -10,7 +10,7 @@ from plumewatch.operators import audit, rules, summaries, timeline
 from plumewatch.plans import views as V
 from plumewatch.plans.registry import query
 from plumewatch.plans.score_queries import RESULT_SQL, RUN_SQL
-from plumewatch.session import scratch_path
+from plumewatch.session import materialize, scratch_path
 from plumewatch.sources import telemetry as src
 from plumewatch.streaming import captures as live
 from plumewatch.streaming import state
@@ -260,8 +260,9 @@ SELECT event_id, node_id, action, CASE WHEN action='sleep' THEN 0 WHEN action='t
 
 @query("C17_policy_audit", "tile_scores telemetry_dense", AUDIT_SQL)
 def policy_audit(spark, sf):
-    result = rules.capture_result(V.tile_scores(spark, sf)).select(
-        F.col("frame_id").alias("event_id"), F.col("alert").alias("detected"))
+    # stored, because the audit reads its passes twice and tiles are 32 times as many
+    result = materialize(rules.capture_result(V.tile_scores(spark, sf)).select(
+        F.col("frame_id").alias("event_id"), F.col("alert").alias("detected")), "capture-results")
     e = F.col("event_id")
     passes = V.telemetry(spark, sf, dense=True).join(result, "event_id").withColumn(
         "camera_error", e % 37 == 0).withColumn("model_error", e % 41 == 0)

@@ -35,7 +35,8 @@ def scratch_root(spark: SparkSession) -> str:
     local master falls back to a temporary folder of this machine.
     """
     global _local_root
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = (
+        spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir())
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
