@@ -117,6 +117,13 @@ def uplink_errors(payload: Column, fport: Column) -> Column:
     ))
 
 
+def decodable(payload: Column, fport: Column) -> Column:
+    """Known port and enough bytes: the cheap test behind `uplink_errors`, fit for filters."""
+    n = F.length(payload)
+    return (((fport == C.PORT_ALERT) & (n >= C.ALERT_BYTES))
+            | ((fport == C.PORT_HEARTBEAT) & (n >= C.HEARTBEAT_BYTES)))
+
+
 def number_text(value: Column) -> Column:
     """Shortest decimal text, whole numbers without a trailing '.0'."""
     return F.regexp_replace(value.cast("string"), "\\.0$", "")

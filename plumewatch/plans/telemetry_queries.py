@@ -105,15 +105,21 @@ _ALERTS = "fport=10 AND n_bytes=6"
 _BEATS = "fport=11 AND n_bytes=14"
 
 
+def _stored(spark, sf):
+    """Encoded frames as a stored table, the form in which a server receives them. Decoding the
+    encoding expression instead would let filters on the payload repeat the whole encoder."""
+    return materialize(V.uplinks(spark, sf), "uplink-table")
+
+
 def _decoded(spark, sf):
-    return src.decode_uplinks(V.uplinks(spark, sf))
+    return src.decode_uplinks(_stored(spark, sf))
 
 
 @query("C4_decode_alert", "uplinks", f"""
 SELECT event_id AS uplink_id, node_id, {EVENT_SQL} AS evento, conf_pct/100.0::DOUBLE AS confianza, soc AS bateria_pct, temp AS temp_c
 FROM uplinks WHERE {_ALERTS}""")
 def decode_alert(spark, sf):
-    up = V.uplinks(spark, sf).where((F.col("fport") == 10) & (F.length("payload") >= C.ALERT_BYTES))
+    up = _stored(spark, sf).where((F.col("fport") == 10) & (F.length("payload") >= C.ALERT_BYTES))
     return up.select("uplink_id", *codec.alert_fields(F.col("payload"))[:5])
 
 
@@ -121,7 +127,7 @@ def decode_alert(spark, sf):
 SELECT event_id AS uplink_id, node_id, 'heartbeat' AS evento, lat_e7/1e7::DOUBLE AS lat, lon_e7/1e7::DOUBLE AS lon, soc AS bateria_pct,
  temp AS temp_c, hr AS hr_pct, (event_id%4)::VARCHAR AS fw FROM uplinks WHERE {_BEATS}""")
 def decode_heartbeat(spark, sf):
-    up = V.uplinks(spark, sf).where(
+    up = _stored(spark, sf).where(
         (F.col("fport") == 11) & (F.length("payload") >= C.HEARTBEAT_BYTES))
     return up.select("uplink_id", *codec.heartbeat_fields(F.col("payload")))
 
@@ -130,8 +136,8 @@ def decode_heartbeat(spark, sf):
 SELECT event_id AS uplink_id, flags&1<>0 AS alarma_activa, flags&2<>0 AS tamper, flags&4<>0 AS error_camara, flags&8<>0 AS error_modelo,
  flags&16<>0 AS modo_ahorro FROM uplinks WHERE {_ALERTS}""")
 def flag_bits(spark, sf):
-    return _decoded(spark, sf).where("fport = 10 AND size(errors) = 0").select(
-        "uplink_id", *C.FLAG_BITS)
+    fine = src.split_decoded(_decoded(spark, sf))[0]
+    return fine.where(F.col("fport") == C.PORT_ALERT).select("uplink_id", *C.FLAG_BITS)
 
 
 @query("C7_event_names", "", """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumewatch import constants as C
 from plumewatch import schemas as S
 from plumewatch.functions import codec
 
@@ -21,9 +22,9 @@ def decode_uplinks(df: DataFrame) -> DataFrame:
     """
     payload, port = F.col("payload"), F.col("fport")
     df = df.withColumn("errors", codec.uplink_errors(payload, port))
-    fine = F.size("errors") == 0
-    alert = F.when(fine & (port == 10), F.struct(*codec.alert_fields(payload)))
-    beat = F.when(fine & (port == 11), F.struct(*codec.heartbeat_fields(payload)))
+    fine = codec.decodable(payload, port)
+    alert = F.when(fine & (port == C.PORT_ALERT), F.struct(*codec.alert_fields(payload)))
+    beat = F.when(fine & (port == C.PORT_HEARTBEAT), F.struct(*codec.heartbeat_fields(payload)))
     df = df.withColumn("_a", alert).withColumn("_h", beat)
     shared = [F.coalesce(f"_a.{c}", f"_h.{c}").alias(c)
               for c in ("node_id", "evento", "bateria_pct", "temp_c")]
@@ -37,7 +38,8 @@ def decode_uplinks(df: DataFrame) -> DataFrame:
 
 def split_decoded(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(decoded, quarantined) rows."""
-    return df.where(F.size("errors") == 0), df.where(F.size("errors") > 0)
+    fine = F.coalesce(codec.decodable(F.col("payload"), F.col("fport")), F.lit(False))
+    return df.where(fine), df.where(~fine)
 
 
 def read_link_messages(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
