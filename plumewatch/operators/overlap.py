@@ -44,16 +44,18 @@ def _sides(windows: DataFrame, boxes: DataFrame, dense_rows: int,
                     f" / {CELL_PX})), int(ceil({name}.{high} / {CELL_PX})) - 1))")
 
         return F.expr(
-            f"explode(if(_salts IS NULL, array(struct(0 AS s, {WHOLE} AS cx, {WHOLE} AS cy)), "
+            f"if(_salts IS NULL, array(struct(0 AS s, {WHOLE} AS cx, {WHOLE} AS cy)), "
             f"flatten(transform({salts}, s -> flatten(transform({cells('x0', 'x1')}, cx -> "
-            f"transform({cells('y0', 'y1')}, cy -> struct(s, cx, cy))))))))").alias("_at")
+            f"transform({cells('y0', 'y1')}, cy -> struct(s, cx, cy)))))))")
 
     def packed(df, name, salts):
         keep = [c for c in df.columns if c not in EDGES]
         df = df.select(*keep, F.struct(*EDGES).alias(name)).join(dense, "frame_id", "left")
-        return df.select(*keep, name, places(name, salts)).select(
-            *keep, name, *[F.col(f"_at.{f}").alias(c) for f, c in
-                           (("s", "_salt"), ("cx", "_cx"), ("cy", "_cy"))])
+        # outer: an inner generator would add a size filter that computes the places twice
+        df = df.select(*keep, name, places(name, salts).alias("_all"))
+        return df.select(
+            *keep, name, F.size("_all").alias("_places"),
+            F.inline_outer("_all").alias("_salt", "_cx", "_cy"))
 
     return (packed(windows, "win", "sequence(0, _salts - 1)"),
             packed(boxes, "box", "array(int(pmod(xxhash64(box), _salts)))"))
@@ -66,6 +68,7 @@ def overlapping_pairs(windows: DataFrame, boxes: DataFrame, threshold: float = 0
     Both inputs have `frame_id` and the edges x0, y0, x1, y1; other column names must differ.
     """
     w, b = _sides(windows, boxes, dense_rows, hot_rows)
+    w, b = w.drop("_places"), b.drop("_places")
     win, box = F.col("win"), F.col("box")
     first_cell = (F.col("_cx") == WHOLE) | (
         (F.col("_cx") == F.floor(F.greatest(win.x0, box.x0) / CELL_PX))
@@ -79,14 +82,22 @@ def overlapping_pairs(windows: DataFrame, boxes: DataFrame, threshold: float = 0
 
 def untouched_windows(windows: DataFrame, boxes: DataFrame, key: str = "window_id",
                       dense_rows: int = DENSE_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Windows that touch no box of their frame; the pairs themselves are never emitted."""
+    """Windows that touch no box of their frame; the pairs themselves are never emitted.
+
+    (frame_id, `key`) identifies a window.
+    """
     w, b = _sides(windows, boxes, dense_rows, hot_rows)
     w, b = w.alias("w"), b.alias("b")
     same = meets(F.col("w.win"), F.col("b.box"))
     for c in KEY:
         same = same & (F.col(f"w.{c}") == F.col(f"b.{c}"))
-    touched = w.join(b, same, "left_semi").select("frame_id", key).distinct()
-    return windows.join(touched, ["frame_id", key], "left_anti")
+    # a window is free if it survives in every place it was sent to
+    others = [c for c in windows.columns if c not in (*EDGES, "frame_id", key)]
+    free = w.join(b, same, "left_anti").groupBy("frame_id", key).agg(
+        F.count(F.lit(1)).alias("_left"), F.any_value("_places").alias("_places"),
+        *[F.any_value(f"win.{c}").alias(c) for c in EDGES],
+        *[F.any_value(c).alias(c) for c in others])
+    return free.where("_left = _places").select(*windows.columns)
 
 
 def negative_provenance(frames: DataFrame, boxes: DataFrame, hard: str, clean: str) -> DataFrame:

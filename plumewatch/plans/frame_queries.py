@@ -181,10 +181,9 @@ def tile_grid(spark, sf):
 @query("B7_rescaled_boxes", "frame_boxes", """
 SELECT frame_id, box_no-1 AS item, round(x0*(1280::DOUBLE/width),4) AS x0, round(y0*(720::DOUBLE/height),4) AS y0,
  round(x1*(1280::DOUBLE/width),4) AS x1, round(y1*(720::DOUBLE/height),4) AS y1
-FROM frame_boxes WHERE readable AND (width<>1280 OR height<>720)""")
+FROM frame_boxes WHERE readable""")
 def rescaled_boxes(spark, sf):
-    df = _exploded(spark, sf).where((F.col("width") != 1280) | (F.col("height") != 720))
-    return df.withColumn("r", geo.rescale_box(F.col("box"), F.col("width"), F.col("height"))).select(
+    return _exploded(spark, sf).withColumn("r", geo.rescale_box(F.col("box"), F.col("width"), F.col("height"))).select(
         "frame_id", "item", *rounded("r."))
 
 
