@@ -7,11 +7,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumewatch import constants as C
+from plumewatch.session import ship_package
 
 FRACTION_BITS = 22
 
@@ -59,38 +61,64 @@ def resample(image: np.ndarray, window: tuple[float, float, float, float],
     return _pass(down, rows)
 
 
-def extract_patches(df: DataFrame, out: int = C.PATCH_PX, bgr: bool = False,
-                    alone: bool = False) -> DataFrame:
-    """Replace the pixels of each row by the patch its window shows.
+def extract_patches(df: DataFrame, windows: str = "windows", out: int = C.PATCH_PX,
+                    bgr: bool = False, alone: bool = False,
+                    output_bytes: int = 16 << 20) -> DataFrame:
+    """One row per window of each frame, with its `patch`.
 
-    Needs data (height x width x 3 bytes), height, width and the window edges x0, y0, x1, y1. `bgr`
-    swaps the channel order of Spark's image source; `alone` cuts whole-pixel windows out first, as a
-    node does. Rows stream through the worker batch by batch.
+    Needs data (height x width x 3 bytes), height, width and an array of structs with the edges x0, y0,
+    x1, y1; the struct becomes the column `window`. A frame's pixels reach Python once, however many
+    windows it has, in batches that Spark limits by bytes. `bgr` swaps the channel order of
+    Spark's image source; `alone` cuts whole-pixel windows out first, as a node does.
     """
-    dropped = ("data", "height", "width")
-    kept = [f for f in df.schema.fields if f.name not in dropped]
-    schema = T.StructType([*kept, T.StructField("patch", T.BinaryType())])
+    ship_package(df.sparkSession)
+    kept = [f for f in df.schema.fields if f.name not in ("data", "height", "width", windows)]
+    schema = T.StructType([
+        *kept, T.StructField("window", df.schema[windows].dataType.elementType),
+        T.StructField("patch", T.BinaryType())])
     names = [f.name for f in kept]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(image: np.ndarray, w: dict) -> bytes:
+        window = (w["x0"], w["y0"], w["x1"], w["y1"])
+        if alone:
+            x0, y0, x1, y1 = (int(v) for v in window)
+            image = image[y0:y1, x0:x1]
+            window = (0, 0, x1 - x0, y1 - y0)
+        return resample(image, window, out).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            patches = []
-            for data, h, w, x0, y0, x1, y1 in zip(
-                    batch["data"], batch["height"], batch["width"],
-                    batch["x0"], batch["y0"], batch["x1"], batch["y1"]):
-                image = np.frombuffer(data, np.uint8).reshape(int(h), int(w), 3)
+            data, all_windows = batch.column("data"), batch.column(windows)
+            heights, widths = (batch.column(c).to_numpy() for c in ("height", "width"))
+            source: list[int] = []
+            patches: list[bytes] = []
+
+            def flush() -> pa.RecordBatch:
+                # list elements in order: the windows of the rows handled since the last flush
+                rows = batch.select(names).take(pa.array(source, pa.int64()))
+                shown = pa.concat_arrays([all_windows[i].values for i in dict.fromkeys(source)])
+                return pa.RecordBatch.from_arrays(
+                    [*[rows.column(n) for n in names], shown, pa.array(patches, pa.binary())],
+                    names=[*names, "window", "patch"])
+
+            for i in range(batch.num_rows):
+                held = all_windows[i].as_py()
+                if not held:
+                    continue
+                image = np.frombuffer(data[i].as_buffer(), np.uint8).reshape(
+                    int(heights[i]), int(widths[i]), 3)
                 if bgr:
                     image = image[:, :, ::-1]
-                window = (x0, y0, x1, y1)
-                if alone:
-                    image = image[int(y0):int(y1), int(x0):int(x1)]
-                    window = (0, 0, image.shape[1], image.shape[0])
-                patches.append(resample(image, window, out).tobytes())
-            result = batch[names].copy()
-            result["patch"] = patches
-            yield result
-
-    return df.mapInPandas(run, schema)
+                for w in held:
+                    source.append(i)
+                    patches.append(cut(image, w))
+                if len(patches) * out * out * 3 > output_bytes:
+                    yield flush()
+                    source, patches = [], []
+            if patches:
+                yield flush()
+
+    return df.mapInArrow(run, schema)
 
 
 Model = Callable[[np.ndarray], np.ndarray]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumewatch.functions.geometry import box_struct
 from plumewatch.functions.hashing import digest, unit
 from plumewatch.operators import metrics, pixels, snapshots
 from plumewatch.plans import views as V
@@ -166,7 +167,27 @@ def paths_in_both(spark, sf):
 RASTER_WIDTH = 32
 
 
-@query("P1_patch_extraction")
+def _weights_sql(name: str, source: str, length: str, out: int) -> str:
+    """Integer triangle-filter weights of every axis length found in `source`."""
+    return f"""
+ {name}_c AS (SELECT n, i, (i+0.5::DOUBLE)*(n/{out}.0::DOUBLE) AS c, greatest(n/{out}.0::DOUBLE,1) AS reach
+  FROM (SELECT DISTINCT {length} AS n FROM {source}) CROSS JOIN range({out}) r(i)),
+ {name}_t AS (SELECT *, unnest(range(greatest(trunc(c-reach+0.5::DOUBLE),0)::BIGINT, least(trunc(c+reach+0.5::DOUBLE),n)::BIGINT)) AS t FROM {name}_c),
+ {name}_w AS (SELECT n, i, t, greatest(0,1-abs((t-c+0.5::DOUBLE)*(1/reach))) AS w FROM {name}_t),
+ {name} AS (SELECT n, i, t, floor(w/sum(w) OVER (PARTITION BY n, i)*4194304+0.5::DOUBLE)::BIGINT AS k FROM {name}_w)"""
+
+
+_CLIP = "least(255,greatest(0,(sum(k*v)::BIGINT+2097152)>>22))"
+
+
+@query("P1_patch_extraction", "", f"""
+WITH docs AS (SELECT doc_id, hex(encode(text)) AS hx, greatest(1,(octet_length(encode(text))+95)//96) AS h FROM documents),
+ lines AS (SELECT doc_id, h, r, rpad(substr(hx,r*192+1,192),192,'0') AS seg FROM (SELECT *, unnest(range(h)) AS r FROM docs)),
+ px AS (SELECT doc_id, h, r, j//3 AS x, j%3 AS ch, ('0x'||substr(seg,j*2+1,2))::BIGINT AS v FROM (SELECT *, unnest(range(96)) AS j FROM lines)),
+ {_weights_sql('across', 'docs', '32', 16)}, {_weights_sql('down', 'docs', 'h', 16)},
+ mid AS (SELECT doc_id, h, r, i AS ix, ch, {_CLIP} AS v FROM px JOIN across ON t=x GROUP BY doc_id, h, r, i, ch),
+ patch AS (SELECT doc_id, i AS iy, ix, ch, {_CLIP} AS v FROM mid JOIN down ON n=h AND t=r GROUP BY doc_id, i, ix, ch)
+SELECT doc_id, count(*) AS n_bytes, sum(v)::BIGINT AS level_sum, sum(v*((iy*16+ix)*3+ch+1))::BIGINT AS weighted_sum FROM patch GROUP BY doc_id""")
 def patch_extraction(spark, sf):
     """Each document's bytes as an RGB raster of fixed width (padded to whole rows), resampled."""
     raw = F.col("text").cast("binary")
@@ -175,11 +196,17 @@ def patch_extraction(spark, sf):
     hexed = F.rpad(F.hex(raw), height * row * 2, "0")
     d = V.columns(spark, sf, "documents", "doc_id", "text").select(
         "doc_id", F.unhex(hexed).alias("data"), height.alias("height"),
-        F.lit(RASTER_WIDTH).alias("width"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"),
-        F.lit(float(RASTER_WIDTH)).alias("x1"), height.cast("double").alias("y1"))
-    out = pixels.extract_patches(d, out=16)
-    return out.select("doc_id", "x1", "y1", F.length("patch").alias("n_bytes"),
-                      F.sha2("patch", 256).alias("patch_hash"))
+        F.lit(RASTER_WIDTH).alias("width"), F.array(box_struct(
+            F.lit(0.0), F.lit(0.0), F.lit(float(RASTER_WIDTH)), height.cast("double")))
+        .alias("windows"))
+    out = pixels.extract_patches(d, out=16).select(
+        "doc_id", F.length("patch").alias("n_bytes"), F.hex("patch").alias("h"))
+    levels = F.expr("transform(sequence(0, n_bytes - 1), "
+                    "i -> cast(conv(substring(h, i * 2 + 1, 2), 16, 10) AS BIGINT))")
+    return out.withColumn("v", levels).select(
+        "doc_id", "n_bytes", F.expr("aggregate(v, 0L, (a, x) -> a + x)").alias("level_sum"),
+        F.expr("aggregate(transform(v, (x, i) -> x * (i + 1)), 0L, (a, x) -> a + x)")
+        .alias("weighted_sum"))
 
 
 @query("P2_batched_scoring", "", """

@@ -1,14 +1,16 @@
-"""Session helpers: where intermediate tables and stream checkpoints live."""
+"""Session helpers: scratch tables, stream checkpoints, code for the workers."""
 
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: str | None = None
+_shipped: set[str] = set()
 
 
 def build_session(cpus: str | int = "*", app: str = "plumewatch", **conf: str) -> SparkSession:
@@ -28,6 +30,23 @@ def build_session(cpus: str | int = "*", app: str = "plumewatch", **conf: str) -
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Functions that run in workers refer to it by name, and only the driver is sure to have it on its
+    path.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="spark-"), "plumewatch"), "zip",
+        root_dir=os.path.dirname(package), base_dir=os.path.basename(package))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for written intermediates.
 

@@ -53,16 +53,25 @@ def test_against_direct_version(window):
 
 def test_extract_swaps_channels_and_cuts_tiles(spark):
     image = np.random.default_rng(2).integers(0, 256, (24, 32, 3), dtype=np.uint8)
+    kind = "array<struct<x0:double,y0:double,x1:double,y1:double>>"
+    wins = [(4.0, 2.0, 20.0, 18.0), (0.0, 0.0, 32.0, 24.0)]
     df = spark.createDataFrame(
-        [(1, bytearray(image.tobytes()), 24, 32, 4.0, 2.0, 20.0, 18.0)],
-        "k int, data binary, height int, width int, x0 double, y0 double, x1 double, y1 double")
-
-    def patch(**kw):
-        return np.frombuffer(pixels.extract_patches(df, 8, **kw).first().patch, np.uint8).reshape(8, 8, 3)
-
-    assert (patch() == pixels.resample(image, (4, 2, 20, 18), 8)).all()
-    assert (patch(bgr=True) == patch()[:, :, ::-1]).all()
-    assert (patch(alone=True) == pixels.resample(image[2:18, 4:20], (0, 0, 16, 16), 8)).all()
+        [(1, bytearray(image.tobytes()), 24, 32, wins), (2, bytearray(image.tobytes()), 24, 32, []),
+         (3, bytearray(image.tobytes()), 24, 32, wins[1:])],
+        f"k int, data binary, height int, width int, windows {kind}").coalesce(1)
+
+    def patches(**kw):
+        return {(r.k, tuple(r.window)): np.frombuffer(r.patch, np.uint8).reshape(8, 8, 3)
+                for r in pixels.extract_patches(df, out=8, **kw).collect()}
+
+    plain = patches()
+    assert sorted(plain) == sorted([(1, wins[0]), (1, wins[1]), (3, wins[1])])
+    for (_, w), got in plain.items():
+        assert (got == pixels.resample(image, w, 8)).all()
+    assert (patches(bgr=True)[1, wins[0]] == plain[1, wins[0]][:, :, ::-1]).all()
+    assert (patches(alone=True)[1, wins[0]]
+            == pixels.resample(image[2:18, 4:20], (0, 0, 16, 16), 8)).all()
+    assert sorted(patches(output_bytes=1)) == sorted(plain)
 
 
 def test_model_is_loaded_once_per_worker_stream(spark):
