@@ -15,19 +15,30 @@ from plumewatch.session import materialize
 
 
 def capture_result(tiles: DataFrame, threshold_x1000: int = C.ALERT_X1000,
-                   min_tiles: int = C.MIN_TILES) -> DataFrame:
-    """Tiles over threshold, best tile (first on ties, -1 if all are zero) and alert per frame."""
-    best = F.max(F.struct(F.col("prob_x1000"), (-F.col("tile_id")).alias("neg_id"), "x", "y"))
-    agg = tiles.groupBy("frame_id").agg(
+                   min_tiles: int = C.MIN_TILES, keys: Sequence[str] = ("frame_id",)) -> DataFrame:
+    """Tiles over threshold, best tile (first on ties, -1 if all are zero) and alert per frame.
+
+    Optional tile columns: `error` marks tiles that could not be scored, which count only in the total;
+    `ms_resample` and `ms_infer` are summed.
+    """
+    has = set(tiles.columns)
+    scored = ~F.col("error") if "error" in has else F.lit(True)
+    best = F.max(F.when(scored, F.struct(
+        F.col("prob_x1000"), (-F.col("tile_id")).alias("neg_id"), "x", "y")))
+    extra = [F.sum(c).alias(c) for c in ("ms_resample", "ms_infer") if c in has]
+    extra += [F.bool_or("error").alias("error")] if "error" in has else []
+    agg = tiles.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("tiles_total"),
-        F.count_if(F.col("prob_x1000") >= threshold_x1000).alias("tiles_over"),
-        best.alias("_best"))
+        F.count_if(scored & (F.col("prob_x1000") >= threshold_x1000)).alias("tiles_over"),
+        best.alias("_best"), *extra)
     some = F.col("_best.prob_x1000") > 0
     return agg.select(
-        "frame_id", "tiles_total", "tiles_over", F.col("_best.prob_x1000").alias("prob_max_x1000"),
+        "frame_id", "tiles_total", "tiles_over",
+        F.coalesce("_best.prob_x1000", F.lit(0)).alias("prob_max_x1000"),
         F.when(some, F.col("_best.x")).otherwise(-1).alias("x_max"),
         F.when(some, F.col("_best.y")).otherwise(-1).alias("y_max"),
-        ((F.col("tiles_over") >= min_tiles) & F.lit(min_tiles > 0)).alias("alert"))
+        ((F.col("tiles_over") >= min_tiles) & F.lit(min_tiles > 0)).alias("alert"),
+        *[c for c in ("ms_resample", "ms_infer", "error") if c in has])
 
 
 def kth_scores(tiles: DataFrame, ks: Sequence[int] = (1, 2, 3), score: str = "score") -> DataFrame:

@@ -172,9 +172,19 @@ SELECT frame_id, count(*) AS tiles_total, count_if(prob_x1000>=970) AS tiles_ove
  CASE WHEN max(prob_x1000)>0 THEN arg_max(y, prob_x1000*100-tile_id) ELSE -1 END AS y_max"""
 
 
-@query("G6_capture_result", "tile_scores", RESULT_SQL + " FROM tile_scores GROUP BY frame_id")
+@query("G6_capture_result", "tile_scores", """
+WITH t AS (SELECT *, (frame_id*7+tile_id)%9 AS ms_r, (frame_id+tile_id*11)%40 AS ms_i, (frame_id*32+tile_id)%997=0 AS bad FROM tile_scores)
+SELECT frame_id, count(*) AS tiles_total, count_if(NOT bad AND prob_x1000>=970) AS tiles_over,
+ coalesce(max(prob_x1000) FILTER (WHERE NOT bad),0) AS prob_max_x1000,
+ CASE WHEN max(prob_x1000) FILTER (WHERE NOT bad)>0 THEN arg_max(x, prob_x1000*100-tile_id) FILTER (WHERE NOT bad) ELSE -1 END AS x_max,
+ CASE WHEN max(prob_x1000) FILTER (WHERE NOT bad)>0 THEN arg_max(y, prob_x1000*100-tile_id) FILTER (WHERE NOT bad) ELSE -1 END AS y_max,
+ sum(ms_r)::BIGINT AS ms_resample, sum(ms_i)::BIGINT AS ms_infer, bool_or(bad) AS error FROM t GROUP BY frame_id""")
 def capture_result(spark, sf):
-    return rules.capture_result(V.tile_scores(spark, sf)).drop("alert")
+    f, t = F.col("frame_id"), F.col("tile_id")
+    tiles = V.tile_scores(spark, sf).withColumns({
+        "ms_resample": (f * 7 + t) % 9, "ms_infer": (f + t * 11) % 40,
+        "error": (f * 32 + t) % 997 == 0})
+    return rules.capture_result(tiles).drop("alert")
 
 
 @query("G7_frame_maximum", "tile_scores",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumewatch import constants as C
+from plumewatch.operators.rules import capture_result
 
 
 def capture_alerts(tiles: DataFrame, delay: str = "10 minutes",
@@ -14,18 +15,8 @@ def capture_alerts(tiles: DataFrame, delay: str = "10 minutes",
 
     `tiles` is a stream with frame_id, ts (TIMESTAMP), tile_id, x, y and prob_x1000.
     """
-    best = F.max(F.struct("prob_x1000", (-F.col("tile_id")).alias("neg_id"), "x", "y"))
-    agg = (
-        tiles.withWatermark("ts", delay).groupBy("ts", "frame_id").agg(
-            F.count(F.lit(1)).alias("tiles_total"),
-            F.count_if(F.col("prob_x1000") >= threshold_x1000).alias("tiles_over"),
-            best.alias("_best")))
-    some = F.col("_best.prob_x1000") > 0
-    return agg.select(
-        "frame_id", "tiles_total", "tiles_over", F.col("_best.prob_x1000").alias("prob_max_x1000"),
-        F.when(some, F.col("_best.x")).otherwise(-1).alias("x_max"),
-        F.when(some, F.col("_best.y")).otherwise(-1).alias("y_max"),
-        (F.col("tiles_over") >= min_tiles).alias("alert"))
+    return capture_result(
+        tiles.withWatermark("ts", delay), threshold_x1000, min_tiles, ("ts", "frame_id"))
 
 
 def once_a_day(readings: DataFrame, delay: str = "1 day") -> DataFrame:

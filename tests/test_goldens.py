@@ -191,3 +191,15 @@ def test_haze_keeps_range(spark):
 def test_gray(spark):
     px = F.array(*[F.lit(v) for v in (255, 255, 255, 0, 0, 0, 255, 0, 0, 9)])
     assert one(spark, scoring.gray_triples(px))[0] == [255] * 3 + [0] * 3 + [76] * 3
+
+
+def test_capture_result_ties_zeros_and_failed_tiles(spark):
+    from plumewatch.operators.rules import capture_result
+
+    rows = [(1, 0, 10, 0, 980, False), (1, 1, 20, 0, 980, False), (1, 2, 30, 0, 999, True),
+            (2, 0, 10, 0, 0, False), (3, 0, 10, 0, 990, True)]
+    df = spark.createDataFrame(
+        rows, "frame_id long, tile_id int, x int, y int, prob_x1000 int, error boolean")
+    got = {r.frame_id: tuple(r)[1:] for r in capture_result(df).collect()}
+    assert got == {1: (3, 2, 980, 10, 0, True, True), 2: (1, 0, 0, -1, -1, False, False),
+                   3: (1, 0, 0, -1, -1, False, True)}
