@@ -7,8 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plumewatch.llm.bpe import op1_byte_bpe
+from plumewatch.llm.exact import OP6_SQL, op6_content_sort
+from plumewatch.llm.mixing import op3_water_filling
+from plumewatch.llm.shards import op2_differencing
+from plumewatch.llm.simhash import op5_anchor_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_differencing": op2_differencing,
+    "op3_water_filling": op3_water_filling,
+    "op5_anchor_simhash": op5_anchor_simhash,
+    "op6_content_sort": op6_content_sort,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_content_sort": OP6_SQL}
