@@ -8,15 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumewatch.llm.bpe import op1_byte_bpe
 from plumewatch.llm.exact import OP6_SQL, op6_content_sort
+from plumewatch.llm.language import op9_family_svm
 from plumewatch.llm.mixing import op3_water_filling
 from plumewatch.llm.shards import op2_differencing
 from plumewatch.llm.simhash import op5_anchor_simhash
+from plumewatch.llm.tokenfiles import op4_elias_fano
+from plumewatch.llm.vectors import op8_metric_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_differencing": op2_differencing,
     "op3_water_filling": op3_water_filling,
+    "op4_elias_fano": op4_elias_fano,
     "op5_anchor_simhash": op5_anchor_simhash,
     "op6_content_sort": op6_content_sort,
+    "op8_metric_join": op8_metric_join,
+    "op9_family_svm": op9_family_svm,
 }
 SQL: dict[str, str] = {"op6_content_sort": OP6_SQL}
