@@ -10,6 +10,7 @@ from plumewatch.llm.bpe import op1_byte_bpe
 from plumewatch.llm.exact import OP6_SQL, op6_content_sort
 from plumewatch.llm.language import op9_family_svm
 from plumewatch.llm.mixing import op3_water_filling
+from plumewatch.llm.secrets import op10_ownership
 from plumewatch.llm.shards import op2_differencing
 from plumewatch.llm.simhash import op5_anchor_simhash
 from plumewatch.llm.tokenfiles import op4_elias_fano
@@ -24,5 +25,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_content_sort": op6_content_sort,
     "op8_metric_join": op8_metric_join,
     "op9_family_svm": op9_family_svm,
+    "op10_ownership": op10_ownership,
 }
 SQL: dict[str, str] = {"op6_content_sort": OP6_SQL}
