@@ -95,7 +95,7 @@ def plan(rows: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, epoc
     last = last.groupBy("b_source").agg(
         F.max(F.when(F.col("middle") <= F.col("rest"), F.col("draw"))).alias("inner"),
         F.min("b_cell").alias("b_cell")).select(
-        "b_source", F.coalesce("inner", F.shiftleft("b_cell", 48) - 1).alias("last_draw"))
+        "b_source", F.coalesce("inner", F.try_subtract(F.shiftleft("b_cell", 48), F.lit(1))).alias("last_draw"))
     found, _ = store(aims.join(last, F.col("aim").eqNullSafe(F.col("b_source")), "left").select(
         "aim", "source_size", "target", "whole", "last_draw"), "mix-plan")
     return found
@@ -106,7 +106,7 @@ def _small(found: DataFrame) -> DataFrame:
 
 
 def _repeats() -> Column:
-    # ties at the lowest possible draw cannot be told from "none" and are left out
+    # no last draw: the fraction takes nothing
     extra = F.coalesce(F.col("draw") <= F.col("last_draw"), F.lit(False))
     return F.col("whole") + extra.cast("long")
 
