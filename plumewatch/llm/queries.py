@@ -10,6 +10,7 @@ from plumewatch.llm.bpe import op1_byte_bpe
 from plumewatch.llm.exact import OP6_SQL, op6_content_sort
 from plumewatch.llm.language import op9_family_svm
 from plumewatch.llm.mixing import op3_water_filling
+from plumewatch.llm.pii import op7_char_crf
 from plumewatch.llm.secrets import op10_ownership
 from plumewatch.llm.shards import op2_differencing
 from plumewatch.llm.simhash import op5_anchor_simhash
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_elias_fano": op4_elias_fano,
     "op5_anchor_simhash": op5_anchor_simhash,
     "op6_content_sort": op6_content_sort,
+    "op7_char_crf": op7_char_crf,
     "op8_metric_join": op8_metric_join,
     "op9_family_svm": op9_family_svm,
     "op10_ownership": op10_ownership,
