@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from plumewatch import constants as C
 from plumewatch.functions import scoring
-from plumewatch.operators.ranking import running_totals, unit_cell
+from plumewatch.operators.ranking import running_totals, value_cell
 
 
 def score_curve(df: DataFrame, score: str, label: str, keys: Sequence[str]) -> DataFrame:
     """Positives and negatives at or above every distinct score."""
     counts = df.groupBy(*keys, score).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    return running_totals(counts, keys, unit_cell(F.col(score)), F.col(score), ["pos", "neg"],
+    return running_totals(counts, keys, value_cell(F.col(score)), F.col(score), ["pos", "neg"],
                           descending=True)
 
 

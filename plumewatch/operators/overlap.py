@@ -18,6 +18,9 @@ from plumewatch.functions.geometry import covered_share, meets
 from plumewatch.session import materialize
 
 CELL_PX = 160
+#: Cells along an axis; whatever lies outside belongs to the border cells, which keeps order and so
+#: the meeting of rectangles, and bounds the cells of a giant rectangle.
+GRID = 64
 DENSE_ROWS = 200
 HOT_ROWS = 1_000_000
 WHOLE = -1_000_000_000
@@ -25,6 +28,10 @@ EDGES = ("x0", "y0", "x1", "y1")
 KEY = ("frame_id", "_salt", "_cx", "_cy")
 
 
+def _cell(edge: str) -> str:
+    return f"int(least(greatest(floor({edge} / {CELL_PX}), 0), {GRID - 1}))"
+
+
 def _sides(windows: DataFrame, boxes: DataFrame, dense_rows: int,
            hot_rows: int) -> tuple[DataFrame, DataFrame]:
     """Both inputs with their rectangle packed and a place (salt, cell) to meet in.
@@ -40,11 +47,13 @@ def _sides(windows: DataFrame, boxes: DataFrame, dense_rows: int,
 
     def places(name, salts):
         def cells(low, high):
-            return (f"sequence(int(floor({name}.{low} / {CELL_PX})), greatest(int(floor({name}.{low}"
-                    f" / {CELL_PX})), int(ceil({name}.{high} / {CELL_PX})) - 1))")
+            first, last = _cell(f"{name}.{low}"), _cell(f"{name}.{high}")
+            return f"sequence({first}, greatest({first}, {last}))"
 
+        # a rectangle with a NULL edge meets nothing, so any place will do
+        gap = " OR ".join(f"{name}.{c} IS NULL" for c in EDGES)
         return F.expr(
-            f"if(_salts IS NULL, array(struct(0 AS s, {WHOLE} AS cx, {WHOLE} AS cy)), "
+            f"if(_salts IS NULL OR {gap}, array(struct(0 AS s, {WHOLE} AS cx, {WHOLE} AS cy)), "
             f"flatten(transform({salts}, s -> flatten(transform({cells('x0', 'x1')}, cx -> "
             f"transform({cells('y0', 'y1')}, cy -> struct(s, cx, cy)))))))")
 
@@ -71,8 +80,8 @@ def overlapping_pairs(windows: DataFrame, boxes: DataFrame, threshold: float = 0
     w, b = w.drop("_places"), b.drop("_places")
     win, box = F.col("win"), F.col("box")
     first_cell = (F.col("_cx") == WHOLE) | (
-        (F.col("_cx") == F.floor(F.greatest(win.x0, box.x0) / CELL_PX))
-        & (F.col("_cy") == F.floor(F.greatest(win.y0, box.y0) / CELL_PX)))
+        (F.col("_cx") == F.expr(_cell("greatest(win.x0, box.x0)")))
+        & (F.col("_cy") == F.expr(_cell("greatest(win.y0, box.y0)"))))
     return (
         w.join(b, list(KEY)).where(meets(win, box) & first_cell)
         .withColumn("share", covered_share(win, box))
@@ -84,16 +93,17 @@ def untouched_windows(windows: DataFrame, boxes: DataFrame, key: str = "window_i
                       dense_rows: int = DENSE_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Windows that touch no box of their frame; the pairs themselves are never emitted.
 
-    (frame_id, `key`) identifies a window.
+    Windows that share frame and `key` are judged one by one.
     """
-    w, b = _sides(windows, boxes, dense_rows, hot_rows)
+    tagged = windows.withColumn("_row", F.monotonically_increasing_id())
+    w, b = _sides(tagged, boxes, dense_rows, hot_rows)
     w, b = w.alias("w"), b.alias("b")
     same = meets(F.col("w.win"), F.col("b.box"))
     for c in KEY:
         same = same & (F.col(f"w.{c}") == F.col(f"b.{c}"))
     # a window is free if it survives in every place it was sent to
-    others = [c for c in windows.columns if c not in (*EDGES, "frame_id", key)]
-    free = w.join(b, same, "left_anti").groupBy("frame_id", key).agg(
+    others = [c for c in windows.columns if c not in EDGES]
+    free = w.join(b, same, "left_anti").groupBy("_row").agg(
         F.count(F.lit(1)).alias("_left"), F.any_value("_places").alias("_places"),
         *[F.any_value(f"win.{c}").alias(c) for c in EDGES],
         *[F.any_value(c).alias(c) for c in others])

@@ -13,12 +13,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-CELLS = 65536
+#: Cells for each power of two.
+CELLS = 2048
+_LARGEST = 1.7976931348623157e308
 
 
-def unit_cell(value: Column, cells: int = CELLS) -> Column:
-    """Monotone cell of a value in [0, 1]; values outside share the border cells."""
-    return F.least(F.greatest(F.floor(value * cells), F.lit(0)), F.lit(cells)).cast("int")
+def value_cell(value: Column, cells: int = CELLS) -> Column:
+    """Monotone cell of any number: its sign, power of two and leading bits.
+
+    Cells are as fine near zero as elsewhere, so scores piled up at 1e-9 are spread like others.
+    Infinity and NaN share the cell of the largest numbers.
+    """
+    # the logarithm is semi-monotonic, and so is its floor; 1,100 powers put the smallest number above 0
+    size = F.floor(F.log2(F.least(F.abs(value), F.lit(_LARGEST))) * cells) + 1100 * cells
+    return F.when(value == 0, 0).when(value > 0, size).when(value < 0, -size).cast("int")
 
 
 def hex_cell(digest: Column) -> Column:
@@ -62,7 +70,7 @@ def lower_rank_percentiles(df: DataFrame, value: str, probs: Sequence[float],
     keys = list(keys)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("n"))
-    run = running_totals(counts, keys, unit_cell(F.col(value)) if cell is None else cell,
+    run = running_totals(counts, keys, value_cell(F.col(value)) if cell is None else cell,
                          F.col(value), ["n"])
     aggs = [
         F.min(F.when(

@@ -211,3 +211,38 @@ def test_samples_do_not_depend_on_partitioning(spark):
     for r in orders[0]:
         sizes[r.batch_id] = sizes.get(r.batch_id, 0) + 1
     assert sorted(sizes) == list(range(47)) and set(list(sizes.values())[:46]) <= {64, 56}
+
+
+def test_ranks_of_tiny_and_odd_values(spark):
+    """Scores piled up near zero and outside [0, 1] are ranked exactly and spread over many cells."""
+    rng = random.Random(9)
+    vs = [rng.choice((10 ** rng.uniform(-9, -6), -10 ** rng.uniform(-9, 3), 10 ** rng.uniform(0, 30), 0.0, 5e-324))
+          for _ in range(4000)] + [float("inf"), -float("inf")]
+    df = spark.createDataFrame([(v,) for v in vs], "v double")
+    got = ranking.lower_rank_percentiles(df, "v", (0.01, 0.5, 0.9, 1.0)).first()
+    order = sorted(vs)
+    assert tuple(got) == tuple(order[int(p * (len(vs) - 1))] for p in (0.01, 0.5, 0.9, 1.0))
+    cells = df.where("v > 0 AND v < 1e-3 AND v > 1e-300").distinct().groupBy(
+        ranking.value_cell(F.col("v")).alias("c")).count()
+    total, most = cells.agg(F.sum("count"), F.max("count")).first()
+    assert most <= 0.02 * total
+    placed = [(r.c, r.v) for r in df.select("v", ranking.value_cell(F.col("v")).alias("c")).orderBy("v").collect()]
+    assert [c for c, _ in placed] == sorted(c for c, _ in placed)
+
+
+@pytest.mark.parametrize("dense_rows", [200, 0])
+def test_awkward_rectangles_and_repeated_windows(spark, dense_rows):
+    """NULL edges, giant boxes and windows with one key give the same rows on both paths."""
+    edges = "x0 double, y0 double, x1 double, y1 double"
+    w = spark.createDataFrame(
+        [(1, 1, 0.0, 0.0, 50.0, 50.0), (1, 1, 0.0, 0.0, 50.0, 50.0), (1, 1, 900.0, 0.0, 950.0, 50.0),
+         (1, 2, None, 0.0, 50.0, 50.0), (2, 1, 0.0, 0.0, 200.0, 200.0), (2, 2, -9e6, -9e6, -8e6, -8e6),
+         (3, 1, 5.0, 5.0, 6.0, 6.0)], f"frame_id long, window_id int, {edges}")
+    b = spark.createDataFrame(
+        [(1, 1, 920.0, 10.0, 930.0, 20.0), (1, 2, None, None, None, None), (2, 1, -1e6, -1e6, 1e6, 1e6),
+         (2, 2, 3e6, 3e6, 4e6, 4e6)], f"frame_id long, box_id int, {edges}")
+    free = overlap.untouched_windows(w, b, dense_rows=dense_rows).collect()
+    assert sorted((r.frame_id, r.window_id, r.x0 or -1) for r in free) == [
+        (1, 1, -1), (1, 1, -1), (1, 2, -1), (2, 2, -9e6), (3, 1, 5.0)]
+    pairs = overlap.overlapping_pairs(w, b, 0.0, dense_rows).collect()
+    assert sorted((r.frame_id, r.window_id, r.box_id) for r in pairs) == [(1, 1, 1), (2, 1, 1)]
