@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumewatch import constants as C
 from plumewatch import schemas as S
@@ -109,6 +110,8 @@ def uplink_errors(payload: Column, fport: Column) -> Column:
         return F.concat(F.lit(f"{kind} de "), n.cast("string"), F.lit(f" bytes, se esperaban {need}"))
 
     return F.array_compact(F.array(
+        F.when(payload.isNull(), F.lit("sin payload")),
+        F.when(fport.isNull(), F.lit("sin FPort")),
         F.when((fport == C.PORT_ALERT) & (n < C.ALERT_BYTES), short("alerta", C.ALERT_BYTES)),
         F.when((fport == C.PORT_HEARTBEAT) & (n < C.HEARTBEAT_BYTES),
                short("heartbeat", C.HEARTBEAT_BYTES)),
@@ -166,9 +169,11 @@ def uplink_text() -> Column:
 
 
 def link_message(text: Column) -> Column:
-    """Parsed JSON line; NULL when the text is not a message."""
-    parsed = F.from_json(text, S.LINK_MESSAGE, {"mode": "PERMISSIVE"})
-    return F.when(parsed.dispositivo.isNotNull(), parsed)
+    """Parsed JSON line; NULL when the text is not a message or a field has another type."""
+    kept = T.StructType([*S.LINK_MESSAGE.fields, T.StructField("_bad", T.StringType())])
+    parsed = F.from_json(text, kept, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    message = F.struct(*[parsed[f.name].alias(f.name) for f in S.LINK_MESSAGE.fields])
+    return F.when(parsed.dispositivo.isNotNull() & parsed["_bad"].isNull(), message)
 
 
 # fixed texts of the node trace

@@ -44,6 +44,16 @@ def action(hour: Column, clock_ok: Column, soc: Column) -> Column:
     )
 
 
+def sends_heartbeat(hour: Column, clock_ok: Column, soc: Column) -> Column:
+    """A capturing pass at or after the heartbeat hour, with a date to go by."""
+    return clock_ok & (action(hour, clock_ok, soc) == CAPTURE) & (hour >= C.HEARTBEAT_HOUR)
+
+
+def sends_battery_notice(hour: Column, clock_ok: Column, soc: Column) -> Column:
+    """An awake pass whose battery is critical, with a date to go by."""
+    return clock_ok & (action(hour, clock_ok, soc) == TELEMETRY)
+
+
 def next_interval(hour: Column, clock_ok: Column, soc: Column) -> Column:
     high_risk = (hour >= C.HIGH_RISK_HOURS[0]) & (hour < C.HIGH_RISK_HOURS[1])
     return (

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumewatch import constants as C
+from plumewatch.functions import policy
 
 CELL = "hour"
 
@@ -161,10 +162,18 @@ def first_of_day(df: DataFrame, eligible: Column, key: str = "node_id", ts: str
 
 
 def heartbeats_due(df: DataFrame, **kw) -> DataFrame:
-    ok = F.col("clock_ok") & (F.col("hour") >= C.HEARTBEAT_HOUR)
-    return first_of_day(df, ok, **kw)
+    """First pass of the day that captures at or after the set hour; a node that sleeps or saves its
+    battery sends none."""
+    return first_of_day(df, policy.sends_heartbeat(
+        F.col("hour"), F.col("clock_ok"), F.col("soc")), **kw)
 
 
 def battery_notices(df: DataFrame, **kw) -> DataFrame:
-    ok = F.col("clock_ok") & (F.col("soc") < C.SOC_CRITICAL)
-    return first_of_day(df, ok, **kw)
+    """First awake pass of the day with a critical battery."""
+    return first_of_day(df, policy.sends_battery_notice(
+        F.col("hour"), F.col("clock_ok"), F.col("soc")), **kw)
+
+
+def untrusted_clock(df: DataFrame) -> DataFrame:
+    """Rows that no dated notice can be made from."""
+    return df.where(~F.coalesce(F.col("clock_ok"), F.lit(False)))

@@ -14,7 +14,7 @@ from plumewatch.session import materialize, scratch_path
 from plumewatch.sources import telemetry as src
 from plumewatch.streaming import captures as live
 from plumewatch.streaming import state
-from plumewatch.streaming.runs import drain, event_stream
+from plumewatch.streaming.runs import drain, drain_latest, event_stream
 from plumewatch.streaming.uplinks import decode_available
 
 BYTE = "lpad(upper(to_hex(({})::BIGINT & 255)),2,'0')"
@@ -254,25 +254,42 @@ AUDIT_SQL = f"""WITH result AS ({RESULT_SQL.strip()} FROM tile_scores GROUP BY f
   {ACTION_SQL} AS action FROM telemetry_dense t JOIN result ON frame_id=event_id),
  a AS (SELECT *, action='capture' AND detected AND NOT camera_error AS alert,
   clock_ok AND action='capture' AND hour>=7 AS beat, clock_ok AND action='telemetry' AS low FROM passes),
- r AS (SELECT *, row_number() OVER (PARTITION BY node_id, date, hour, alert AND clock_ok ORDER BY ts, event_id) AS ra,
+ r AS (SELECT *, row_number() OVER (PARTITION BY node_id, date, hour, alert, clock_ok ORDER BY ts, event_id) AS ra,
   row_number() OVER (PARTITION BY node_id, date, beat ORDER BY ts, event_id) AS rb,
   row_number() OVER (PARTITION BY node_id, date, low ORDER BY ts, event_id) AS rl FROM a)
 SELECT event_id, node_id, action, CASE WHEN action='sleep' THEN 0 WHEN action='telemetry' THEN (CASE WHEN soc<35 THEN 16 ELSE 0 END)
- ELSE (CASE WHEN alert THEN 1 ELSE 0 END)+(CASE WHEN camera_error THEN 4 ELSE 0 END)+(CASE WHEN model_error THEN 8 ELSE 0 END)
+ ELSE (CASE WHEN alert THEN 1 ELSE 0 END)+(CASE WHEN camera_error THEN 4 ELSE 0 END)+(CASE WHEN model_error AND NOT camera_error THEN 8 ELSE 0 END)
  +(CASE WHEN soc<35 THEN 16 ELSE 0 END) END AS flags, alert,
  CASE WHEN action='sleep' THEN {DAWN_SQL} ELSE {INTERVAL_SQL} END AS wake_s,
- alert AND clock_ok AND ra<=2 AS send_alert, beat AND rb=1 AS send_heartbeat, low AND rl=1 AS send_battery FROM r"""
+ {{allowed}} AS send_alert, beat AND rb=1 AS send_heartbeat, low AND rl=1 AS send_battery FROM r"""
 
+# the node's counter: spans start at alerts whose hour differs from that of the alert before
+NODE_SQL = """ s AS (SELECT *, lag(hour) OVER (PARTITION BY node_id, alert ORDER BY ts, event_id) AS prev, low AND rl=1 AS note FROM r0),
+ p AS (SELECT *, sum(CASE WHEN alert AND prev IS DISTINCT FROM hour THEN 1 ELSE 0 END) OVER (PARTITION BY node_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS span FROM s),
+ r AS (SELECT *, sum(CASE WHEN alert OR note THEN 1 ELSE 0 END) OVER (PARTITION BY node_id, span ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS used FROM p)
+"""
 
-@query("C17_policy_audit", "tile_scores telemetry_dense", AUDIT_SQL)
-def policy_audit(spark, sf):
+
+def _audited(spark, sf, **how):
     # stored, because the audit reads its passes twice and tiles are 32 times as many
     result = materialize(rules.capture_result(V.tile_scores(spark, sf)).select(
         F.col("frame_id").alias("event_id"), F.col("alert").alias("detected")), "capture-results")
     e = F.col("event_id")
     passes = V.telemetry(spark, sf, dense=True).join(result, "event_id").withColumn(
         "camera_error", e % 37 == 0).withColumn("model_error", e % 41 == 0)
-    return audit.policy_audit(passes)
+    return audit.policy_audit(passes, **how)
+
+
+@query("C17_policy_audit", "tile_scores telemetry_dense", AUDIT_SQL.format(allowed="alert AND ra<=2"))
+def policy_audit(spark, sf):
+    return _audited(spark, sf)
+
+
+@query("C17_policy_audit_node", "tile_scores telemetry_dense", AUDIT_SQL.format(
+    allowed="alert AND used<=2").replace(" r AS (SELECT *, row_number()", " r0 AS (SELECT *, row_number()").replace(
+    "FROM a)\nSELECT", f"FROM a),\n{NODE_SQL}SELECT"))
+def policy_audit_node(spark, sf):
+    return _audited(spark, sf, mode="hour_change")
 
 
 @query("G16_node_days", "telemetry", """
@@ -310,7 +327,7 @@ def alert_cap_hour_change(spark, sf):
 
 @query("W4_daily_heartbeat", "telemetry", """
 SELECT node_id, date::VARCHAR AS date, event_id FROM (SELECT *, row_number() OVER (PARTITION BY node_id, date ORDER BY ts, event_id) AS r
-FROM telemetry WHERE clock_ok AND hour>=7) WHERE r=1""")
+FROM telemetry WHERE clock_ok AND hour>=7 AND hour<18 AND soc>=15) WHERE r=1""")
 def daily_heartbeat(spark, sf):
     return timeline.heartbeats_due(V.telemetry(spark, sf)).select(
         "node_id", F.col("date").cast("string").alias("date"), "event_id")
@@ -318,12 +335,18 @@ def daily_heartbeat(spark, sf):
 
 @query("W5_low_battery_notice", "telemetry", """
 SELECT node_id, date::VARCHAR AS date, event_id FROM (SELECT *, row_number() OVER (PARTITION BY node_id, date ORDER BY ts, event_id) AS r
-FROM telemetry WHERE clock_ok AND soc<15) WHERE r=1""")
+FROM telemetry WHERE clock_ok AND soc<15 AND hour>=6 AND hour<18) WHERE r=1""")
 def low_battery_notice(spark, sf):
     return timeline.battery_notices(V.telemetry(spark, sf)).select(
         "node_id", F.col("date").cast("string").alias("date"), "event_id")
 
 
+@query("W4_untrusted_clock", "telemetry", "SELECT node_id, event_id FROM telemetry WHERE NOT clock_ok")
+def untrusted_clock(spark, sf):
+    """The side output of W4 and W5: readings without a date to go by."""
+    return timeline.untrusted_clock(V.telemetry(spark, sf)).select("node_id", "event_id")
+
+
 # ---------------------------------------------------------------- streams
 
 def _timed(df, column="ts"):
@@ -349,8 +372,8 @@ def stateful_alert_cap(spark, sf):
 
 
 @query("T3_daily_notices", "telemetry", """
-SELECT DISTINCT node_id, date::VARCHAR AS date, 'heartbeat' AS kind FROM telemetry WHERE clock_ok AND hour>=7
-UNION ALL SELECT DISTINCT node_id, date::VARCHAR, 'bateria_baja' FROM telemetry WHERE clock_ok AND soc<15""")
+SELECT DISTINCT node_id, date::VARCHAR AS date, 'heartbeat' AS kind FROM telemetry WHERE clock_ok AND hour>=7 AND hour<18 AND soc>=15
+UNION ALL SELECT DISTINCT node_id, date::VARCHAR, 'bateria_baja' FROM telemetry WHERE clock_ok AND soc<15 AND hour>=6 AND hour<18""")
 def daily_notices(spark, sf):
     readings = _timed(V.telemetry_from(event_stream(spark, sf)))
     return drain(live.once_a_day(readings), "notices").withColumn(
@@ -389,8 +412,7 @@ def streamed_runs(spark, sf):
 
 
 @query("T6_capture_stream", "tile_scores", f"""
-SELECT *, tiles_over>=1 AS alert FROM ({RESULT_SQL.strip()} FROM tile_scores
- WHERE epoch_us(ts) <= (SELECT max(epoch_us(ts))//1000*1000-600000000 FROM tile_scores) GROUP BY frame_id)""")
+SELECT *, tiles_over>=1 AS alert FROM ({RESULT_SQL.strip()} FROM tile_scores GROUP BY frame_id)""")
 def capture_stream(spark, sf):
     caps, tiles = _capture_stream(spark, sf)
-    return drain(live.capture_alerts(_timed(tiles)), "capture-alerts")
+    return drain_latest(live.capture_alerts(_timed(tiles)), "frame_id", "capture-alerts")

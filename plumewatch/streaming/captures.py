@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumewatch import constants as C
+from plumewatch.functions import policy
 from plumewatch.operators.rules import capture_result
 
 
 def capture_alerts(tiles: DataFrame, delay: str = "10 minutes",
                    threshold_x1000: int = C.ALERT_X1000, min_tiles: int = C.MIN_TILES) -> DataFrame:
-    """One result per frame once the watermark has passed its time; later tiles are dropped.
+    """One result per frame; tiles that come after the watermark has passed its time are dropped.
 
-    `tiles` is a stream with frame_id, ts (TIMESTAMP), tile_id, x, y and prob_x1000.
+    `tiles` is a stream with frame_id, ts (TIMESTAMP), tile_id, x, y and prob_x1000; all tiles of a
+    frame carry its capture time. In append mode a frame appears once it is closed. `drain_latest`
+    runs it in update mode, which also gives the frames still open at the end.
     """
     return capture_result(
         tiles.withWatermark("ts", delay), threshold_x1000, min_tiles, ("ts", "frame_id"))
@@ -25,10 +28,10 @@ def once_a_day(readings: DataFrame, delay: str = "1 day") -> DataFrame:
     `readings` is a stream with node_id, ts (TIMESTAMP), hour, clock_ok and soc. The first row seen
     wins, which need not be the earliest one.
     """
-    ok = F.col("clock_ok")
+    seen = [F.col(c) for c in ("hour", "clock_ok", "soc")]
     kinds = F.array_compact(F.array(
-        F.when(ok & (F.col("hour") >= C.HEARTBEAT_HOUR), F.lit("heartbeat")),
-        F.when(ok & (F.col("soc") < C.SOC_CRITICAL), F.lit("bateria_baja"))))
+        F.when(policy.sends_heartbeat(*seen), F.lit("heartbeat")),
+        F.when(policy.sends_battery_notice(*seen), F.lit("bateria_baja"))))
     return (
         readings.withWatermark("ts", delay)
         .select("node_id", "ts", F.to_date("ts").alias("date"), F.explode(kinds).alias("kind"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumewatch.schemas import EVENTS
 from plumewatch.session import scratch_path
@@ -22,6 +23,27 @@ def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def drain_latest(stream: DataFrame, key: str, label: str) -> DataFrame:
+    """Process everything available in update mode and keep the last version of each key.
+
+    Every micro-batch overwrites its own folder, so a replayed batch leaves nothing twice.
+    """
+    spark = stream.sparkSession
+    out, state = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    query = (
+        stream.writeStream.foreachBatch(write).outputMode("update")
+        .option("checkpointLocation", state).trigger(availableNow=True).start())
+    query.awaitTermination()
+    kept = [c for c in stream.columns if c != key]
+    versions = spark.read.parquet(out)
+    return versions.groupBy(key).agg(F.max_by(F.struct(*kept), "batch").alias("_last")).select(
+        key, "_last.*")
+
+
 def event_stream(spark: SparkSession, sf: str, files_per_trigger: int | None = None) -> DataFrame:
     """The driver's event table as a file stream."""
     reader = spark.readStream.schema(EVENTS)
