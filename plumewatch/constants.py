@@ -12,7 +12,6 @@ NEGATIVE_SIDE = (0.85, 1.6)
 JITTER_SHARE = 0.6
 FRAME_SIZE = (1280, 720)
 OVERLAP = (1, 4)
-MAX_TILES = 96
 
 # splits
 HELD_OUT_PARTNER = "sdis-77"

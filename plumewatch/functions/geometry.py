@@ -142,18 +142,11 @@ def tile_axis(length: Column, window: int = C.WINDOW_PX, overlap=C.OVERLAP) -> C
     return F.when(n >= window, corners).otherwise(F.array().cast("array<int>"))
 
 
-def tile_grid(width: Column, height: Column, max_tiles: int | None = None) -> Column:
-    """Row-major array of tile corners (x, y); empty if the frame is smaller than a window.
-
-    With `max_tiles` a larger grid is empty too, as on a node with a fixed tile buffer.
-    """
+def tile_grid(width: Column, height: Column) -> Column:
+    """Row-major array of tile corners (x, y); empty if the frame is smaller than a window."""
     xs, ys = tile_axis(width), tile_axis(height)
-    grid = F.flatten(F.transform(ys, lambda y: F.transform(
+    return F.flatten(F.transform(ys, lambda y: F.transform(
         xs, lambda x: F.struct(x.alias("x"), y.alias("y")))))
-    if max_tiles is None:
-        return grid
-    return F.when(F.size(grid) <= max_tiles, grid).otherwise(
-        F.array().cast("array<struct<x:int,y:int>>"))
 
 
 def tile_coverage(box: Column, width: Column, height: Column) -> Column:

@@ -54,20 +54,19 @@ def fleet_verdict(copies: DataFrame, masters: DataFrame) -> DataFrame:
 
 
 def fleet_differences(copies: DataFrame, masters: DataFrame) -> DataFrame:
-    """Every differing file of every copy that has a master."""
-    expected = (
-        copies.select("copy_id", "library").distinct()
-        .join(masters, "library")
-        .select("copy_id", "library", "path", F.col("hash").alias("_a"),
-                F.lit(None).cast("string").alias("_b")))
+    """Every differing file of every copy that has a master.
+
+    Extra and different files are found from the copies' own rows. Only copies that lack files are
+    set against the files of their master.
+    """
+    key = ["library", "path"]
+    known = masters.select(*key, F.col("hash").alias("_master"))
     owned = masters.select("library").distinct()
-    actual = copies.join(owned, "library", "left_semi").select(
-        "copy_id", "library", "path", F.lit(None).cast("string").alias("_a"),
-        F.col("hash").alias("_b"))
-    merged = expected.unionByName(actual).groupBy("copy_id", "library", "path").agg(
-        F.max("_a").alias("_a"), F.max("_b").alias("_b"))
-    kind = (
-        F.when(F.col("_b").isNull(), MISSING).when(F.col("_a").isNull(), EXTRA)
-        .when(F.col("_a") != F.col("_b"), DIFFERENT))
-    return merged.select("copy_id", "library", "path", kind.alias("problem")).where(
-        F.col("problem").isNotNull())
+    kind = F.when(F.col("_master").isNull(), EXTRA).when(F.col("_master") != F.col("hash"), DIFFERENT)
+    own = copies.join(owned, "library", "left_semi").join(known, key, "left").select(
+        "copy_id", *key, kind.alias("problem")).where(F.col("problem").isNotNull())
+    short = fleet_verdict(copies, masters).where(
+        (F.col("verdict") == "differs") & (F.col("missing") > 0)).select("copy_id", "library")
+    absent = short.join(masters.select(*key), "library").join(
+        copies.select("copy_id", *key), ["copy_id", *key], "left_anti")
+    return own.unionByName(absent.select("copy_id", *key, F.lit(MISSING).alias("problem")))

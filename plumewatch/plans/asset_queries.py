@@ -107,7 +107,8 @@ def report_sink(spark, sf):
 # ---------------------------------------------------------------- trees
 
 @query("A14_file_tree", "", """
-SELECT count(*) AS files FROM (SELECT DISTINCT lang, source FROM documents)""")
+SELECT 'lang='||lang||'/source='||source AS folder, sha256(count(*)||chr(10)) AS hash, count(*) AS documents
+FROM documents GROUP BY lang, source""")
 def file_tree(spark, sf):
     """Store one small text file per (lang, source), then list and hash the tree."""
     path = scratch_path(spark, "tree")
@@ -115,8 +116,14 @@ def file_tree(spark, sf):
         F.count(F.lit(1)).cast("string").alias("value"))
     d.write.partitionBy("lang", "source").text(path)
     tree = reports.read_tree(spark, path).where(F.col("path").endswith(".txt"))
-    folders = tree.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), "hash")
-    return folders.where(F.length("hash") == 64).agg(F.count(F.lit(1)).alias("files"))
+    text = spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.col("value").cast("bigint").alias("documents"),
+        F.col("_metadata.file_path").alias("file"))
+    name = F.substring_index("file", "/", -1)
+    return tree.select("path", "hash").join(
+        text, F.substring_index("path", "/", -1) == name).where(
+        F.expr("endswith(file, path)")).select(
+        F.regexp_replace("path", "/[^/]*$", "").alias("folder"), "hash", "documents")
 
 
 _DIFF_SQL = """SELECT path, CASE WHEN b.hash IS NULL THEN 'falta' WHEN a.hash IS NULL THEN 'sobra' ELSE 'distinto' END AS problem

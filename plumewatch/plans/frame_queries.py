@@ -276,9 +276,9 @@ def tile_box_coverage(spark, sf):
 @query("J4_attach_part", "frame_base frame_boxes", f"""
 SELECT b.frame_id, box_no-1 AS item, camera, {V.sql_part()} AS part FROM frame_boxes b WHERE readable""")
 def attach_part(spark, sf):
-    cameras = camera_split(spark, sf).select("camera", "part")
-    return _exploded(spark, sf).select("frame_id", "item", "camera").join(
-        cameras, "camera", "left").select("frame_id", "item", "camera", "part")
+    return _exploded(spark, sf).select(
+        "frame_id", "item", "camera",
+        geo.split_part(F.col("camera"), F.col("partner")).alias("part"))
 
 
 @query("J5_negative_provenance", "", """

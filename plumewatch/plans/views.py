@@ -22,17 +22,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when a scan has fewer splits than the session has cores.
-
-    Scans of large tables have far more splits than that and are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def columns(spark: SparkSession, sf: str, name: str, *cols: str) -> DataFrame:
-    return spread(table(spark, sf, name).select(*cols))
+    """A pruned scan; its splits are those of the files."""
+    return table(spark, sf, name).select(*cols)
 
 
 def partner_of(n: Column) -> Column:

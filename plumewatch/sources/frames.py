@@ -11,8 +11,22 @@ from plumewatch.functions.geometry import readable_image
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """All shards as one table; image bytes are read only if a query uses them."""
-    return spark.read.schema(S.ANNOTATED_FRAME).option("ignoreCorruptFiles", "true").parquet(path)
+    """All shards as one table; image bytes are read only if a query uses them.
+
+    A shard that cannot be read stops the job.
+    """
+    return spark.read.schema(S.ANNOTATED_FRAME).parquet(path)
+
+
+def read_frames_and_skipped(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Frames of the readable shards, and `path` and `length` of the shards that gave no row."""
+    frames = spark.read.schema(S.ANNOTATED_FRAME).option("ignoreCorruptFiles", "true").parquet(path)
+    listed = (
+        spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
+        .option("recursiveFileLookup", True).load(path).select("path", "length"))
+    seen = frames.select(F.col("_metadata.file_name").alias("_seen")).distinct()
+    return frames, listed.join(
+        seen, F.substring_index("path", "/", -1) == F.col("_seen"), "left_anti")
 
 
 def per_file_limit(df: DataFrame, file: str, order: str, n: int) -> DataFrame:

@@ -29,7 +29,7 @@ def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
 
 def write_report(df: DataFrame, path: str) -> None:
     """Report rows as JSON lines; reports are small, so they go to one file."""
-    df.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    df.select(F.to_json(F.struct("*")).alias("value")).repartition(1).write.mode("overwrite").text(path)
 
 
 def training_summary(history: DataFrame, run: str = "run", order: str = "line",
@@ -59,7 +59,8 @@ def training_summary(history: DataFrame, run: str = "run", order: str = "line",
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
     """(path, hash) of every file below `root`."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    # the first occurrence ends the root: names below it may repeat it
     base = root.rstrip("/") + "/"
     return files.select(
-        F.substring_index("path", base, -1).alias("path"),
+        F.substr("path", F.locate(base, F.col("path")) + F.lit(len(base))).alias("path"),
         F.sha2("content", 256).alias("hash"))

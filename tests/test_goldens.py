@@ -26,10 +26,6 @@ def test_grid_order(spark):
     assert grid == [(x, y) for y in (0, 168, 336, 496) for x in xs]
 
 
-def test_grid_buffer_limit(spark):
-    assert one(spark, geo.tile_grid(F.lit(2592), F.lit(1944), C.MAX_TILES))[0] == []
-
-
 def test_parse_boxes_skips_malformed(spark):
     text = "0 0.5 0.5 0.1 0.2\r\n\n 1 2 3\n0 0.5 0.5 0.1 x\n  0\t0.25 0.5 0.1 0.2  \n0 1 2 3 4 5"
     boxes = one(spark, geo.parse_boxes(F.lit(text), F.lit(1000), F.lit(100)))[0]

@@ -57,12 +57,21 @@ def test_sweep_reads_its_scores_once(spark, sf):
     assert text.count("FileScan") == 1
 
 
-def test_corrupt_shard_is_skipped(spark, sf, tmp_path):
+def test_corrupt_shard_stops_or_is_listed(spark, sf, tmp_path):
     path = tmp_path / "frames"
-    V.frames(spark, sf).drop("frame_id").coalesce(1).write.parquet(str(path))
+    V.frames(spark, sf).drop("frame_id").repartition(2).write.parquet(str(path))
     n = src.read_frames(spark, str(path)).count()
     (path / "broken.parquet").write_bytes(b"PAR1 not a table")
-    assert src.read_frames(spark, str(path)).count() == n
+    with pytest.raises(Exception, match="broken.parquet"):
+        src.read_frames(spark, str(path)).select("camera", "annotations").collect()
+    frames, skipped = src.read_frames_and_skipped(spark, str(path))
+    assert frames.count() == n
+    assert [(r.path.rsplit("/", 1)[1], r.length) for r in skipped.collect()] == [("broken.parquet", 16)]
+
+
+@pytest.mark.parametrize("name", LAZY)
+def test_no_round_robin(spark, sf, name):
+    assert "RoundRobin" not in plan(catalog.QUERIES[name](spark, sf))
 
 
 def test_per_file_limit_over_several_files(spark, tmp_path):
