@@ -18,9 +18,8 @@ from plumewatch.session import ship_package
 FRACTION_BITS = 22
 
 
-@lru_cache(maxsize=4096)
-def axis_weights(size: int, start: float, length: float, out: int) -> tuple[int, np.ndarray]:
-    """First input index and integer weights (out x taps) of an antialiased triangle filter.
+def axis_taps(size: int, start: float, length: float, out: int) -> tuple[np.ndarray, np.ndarray]:
+    """Input places and integer weights (both out x taps) of an antialiased triangle filter.
 
     Output sample i is centred on its share of [start, start + length); the triangle widens with the
     reduction factor, its taps are normalised and rounded to 22 fraction bits.
@@ -30,35 +29,52 @@ def axis_weights(size: int, start: float, length: float, out: int) -> tuple[int,
     centres = start + (np.arange(out) + 0.5) * step
     low = np.maximum((centres - reach + 0.5).astype(np.int64), 0)
     high = np.minimum((centres + reach + 0.5).astype(np.int64), size)
-    taps = np.arange(low.min(), high.max())
-    distance = np.abs((taps[None, :] - centres[:, None] + 0.5) * (1.0 / reach))
-    inside = (taps[None, :] >= low[:, None]) & (taps[None, :] < high[:, None])
-    weights = np.where(inside, np.clip(1.0 - distance, 0.0, None), 0.0)
+    taps = low[:, None] + np.arange(max(1, int((high - low).max())))
+    distance = np.abs((taps - centres[:, None] + 0.5) * (1.0 / reach))
+    weights = np.where(taps < high[:, None], np.clip(1.0 - distance, 0.0, None), 0.0)
     total = weights.sum(axis=1, keepdims=True)
     weights = np.divide(weights, total, out=np.zeros_like(weights), where=total != 0)
-    return int(low.min()), np.floor(weights * (1 << FRACTION_BITS) + 0.5)
+    return np.minimum(taps, size - 1), np.floor(weights * (1 << FRACTION_BITS) + 0.5).astype(np.int32)
 
 
-def _pass(weights: np.ndarray, lines: np.ndarray) -> np.ndarray:
-    # float64 holds these integer sums exactly (below 2**53) and has the fast matrix product
-    mixed = np.tensordot(weights, lines.astype(np.float64), axes=(1, 0)).astype(np.int64)
-    return np.clip((mixed + (1 << (FRACTION_BITS - 1))) >> FRACTION_BITS, 0, 255).astype(np.uint8)
+#: Whole-pixel windows, as tiles are, repeat; random windows never do and are not kept.
+_kept_taps = lru_cache(maxsize=128)(axis_taps)
+
+
+def _taps(size: int, start: float, length: float, out: int) -> tuple[np.ndarray, np.ndarray]:
+    whole = start.is_integer() and length.is_integer()
+    return (_kept_taps if whole else axis_taps)(size, start, length, out)
+
+
+def _pass(places: np.ndarray, weights: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Weighted sums of lines, one tap at a time; they stay below 2**31."""
+    total = np.full((len(places), *lines.shape[1:]), 1 << (FRACTION_BITS - 1), np.int32)
+    for k in range(places.shape[1]):
+        total += weights[:, k].reshape(-1, *[1] * (lines.ndim - 1)) * lines[places[:, k]]
+    return np.clip(total >> FRACTION_BITS, 0, 255).astype(np.uint8)
 
 
 def resample(image: np.ndarray, window: tuple[float, float, float, float],
-             out: int = C.PATCH_PX) -> np.ndarray:
+             out: int = C.PATCH_PX, out_height: int | None = None) -> np.ndarray:
     """Window of an (h, w, 3) uint8 image as out x out x 3, saturated to 8 bits after each pass.
 
-    Taps at the window edge may reach pixels just outside it. For the result of a node, which sees
-    each tile alone, pass the tile cut out of the frame.
+    `out_height` gives another height than width. Taps at the window edge may reach pixels just outside
+    it. For the result of a node, which sees each tile alone, pass the tile cut out of the frame.
     """
     h, w = image.shape[:2]
     x0, y0, x1, y1 = (float(v) for v in window)
-    left, across = axis_weights(w, x0, x1 - x0, out)
-    top, down = axis_weights(h, y0, y1 - y0, out)
-    part = image[top:top + down.shape[1], left:left + across.shape[1]]
-    rows = _pass(across, part.transpose(1, 0, 2)).transpose(1, 0, 2)
-    return _pass(down, rows)
+    across, across_weights = _taps(w, x0, x1 - x0, out)
+    down, down_weights = _taps(h, y0, y1 - y0, out_height or out)
+    # only the columns and rows that a tap reaches
+    left, top = int(across.min()), int(down.min())
+    part = image[top:int(down.max()) + 1, left:int(across.max()) + 1].astype(np.int32)
+    rows = _pass(across - left, across_weights, part.transpose(1, 0, 2)).transpose(1, 0, 2)
+    return _pass(down - top, down_weights, rows.astype(np.int32))
+
+
+def signed_levels(patch: np.ndarray) -> np.ndarray:
+    """Levels as a quantised network takes them: 0..255 becomes -128..127."""
+    return (patch.astype(np.int16) - 128).astype(np.int8)
 
 
 def extract_patches(df: DataFrame, windows: str = "windows", out: int = C.PATCH_PX,

@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumewatch import constants as C
-from plumewatch.functions.geometry import box_struct, random_windows, split_part, touches_any
+from plumewatch.functions.geometry import (
+    box_struct, jitter_draws, random_windows, split_part, touches_any, window_around)
 from plumewatch.functions.hashing import between, digest, unit
 from plumewatch.operators.ranking import hex_cell, running_totals
 
@@ -147,6 +148,35 @@ def all_patches(df: DataFrame, seed: int = C.SEED) -> DataFrame:
         .withColumn("win", F.when(positive, F.col("win")).otherwise(F.col("box"))))
 
 
+def frame_windows(df: DataFrame, seed: int = C.SEED) -> DataFrame:
+    """Add `windows`, the patches of `all_patches` as an array in the frame's own row, and `part`.
+
+    The form that pixel extraction takes: a frame with its pixels crosses to Python once.
+    """
+    size = F.col("width"), F.col("height")
+
+    def patch(label, source, item, crop, win):
+        return F.struct(
+            F.lit(label).alias("label"), source.alias("source"), item.cast("int").alias("item"),
+            crop.cast("int").alias("crop"), *[win[c].alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+    made = [F.transform(F.col("boxes"), _positive(crop, size, seed, patch))
+            for crop in range(C.CROPS_PER_BOX)]
+    kind = F.when(F.size("boxes") > 0, C.HARD).otherwise(C.CLEAN)
+    negatives = F.transform(F.col("negatives"), lambda n, i: patch(0, kind, i, n.attempt, n.win))
+    return with_negative_windows(df, seed).select(
+        *df.columns, split_part(F.col("camera"), F.col("partner")).alias("part"),
+        F.concat(*made, negatives).alias("windows"))
+
+
+def _positive(crop: int, size, seed: int, patch):
+    def one(box: Column, item: Column) -> Column:
+        draws = jitter_draws(F.col("frame_id"), item, seed) if crop else None
+        return patch(1, F.lit(C.POSITIVE), item, F.lit(crop), window_around(box, *size, draws))
+
+    return one
+
+
 def fixed_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """`n` rows without replacement, in key order; equal digests fall back to the key."""
     return (

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumewatch import constants as C
 from plumewatch.functions import geometry as geo
-from plumewatch.operators import overlap, sampling, summaries
+from plumewatch.operators import overlap, pixels, sampling, summaries
 from plumewatch.operators.ranking import lower_rank_percentiles
 from plumewatch.plans import views as V
 from plumewatch.plans.registry import query
@@ -106,6 +106,54 @@ def patch_dataset(spark, sf):
         F.round(F.sum("s"), 2).alias("side_sum"))
 
 
+PATCH_OUT = 8
+
+
+def _taps_sql(name: str, low: str, length: str, size: str) -> str:
+    """Weights of the triangle filter for each patch's own start and length."""
+    step = f"(({length})/{PATCH_OUT}.0::DOUBLE)"
+    return f"""
+ {name}_c AS (SELECT pid, i, {low}+(i+0.5::DOUBLE)*{step} AS c, greatest({step},1) AS reach, {size} AS n
+  FROM numbered CROSS JOIN range({PATCH_OUT}) r(i)),
+ {name}_t AS (SELECT *, unnest(range(greatest(trunc(c-reach+0.5::DOUBLE),0)::BIGINT, least(trunc(c+reach+0.5::DOUBLE),n)::BIGINT)) AS t FROM {name}_c),
+ {name} AS (SELECT pid, i, t, floor(w/sum(w) OVER (PARTITION BY pid, i)*4194304+0.5::DOUBLE)::BIGINT AS k FROM (
+  SELECT pid, i, t, greatest(0,1-abs((t-c+0.5::DOUBLE)*(1/reach))) AS w FROM {name}_t))"""
+
+
+_LEVEL = "least(255,greatest(0,(sum(k*v)::BIGINT+2097152)>>22))"
+PIXELS_SQL = PATCHES_SQL.replace("frame_base", "raster_base").replace("frame_boxes", "raster_boxes") + f""",
+ numbered AS (SELECT *, row_number() OVER () AS pid FROM patches),
+ lines AS (SELECT frame_id, r, substr(hx,(r*384+1)::BIGINT,384) AS seg FROM (SELECT frame_id, hx, unnest(range(48)) AS r FROM raster_base)),
+ px AS (SELECT frame_id, r, j//3 AS x, j%3 AS ch, ('0x'||substr(seg,j*2+1,2))::BIGINT AS v FROM (
+  SELECT *, unnest(range(192)) AS j FROM lines)),
+ {_taps_sql('across', 'x0', 'x1-x0', '64')}, {_taps_sql('down', 'y0', 'y1-y0', '48')},
+ mid AS (SELECT n.pid, r, i AS ix, ch, {_LEVEL} AS v FROM numbered n JOIN across a ON a.pid=n.pid
+  JOIN px ON px.frame_id=n.frame_id AND px.x=a.t GROUP BY ALL),
+ cut AS (SELECT d.pid, d.i AS iy, ix, ch, {_LEVEL} AS v FROM mid JOIN down d ON d.pid=mid.pid AND d.t=mid.r GROUP BY ALL),
+ sums AS (SELECT pid, count(*) AS n_bytes, sum(v)::BIGINT AS level_sum, sum(v*((iy*{PATCH_OUT}+ix)*3+ch+1))::BIGINT AS weighted_sum
+  FROM cut GROUP BY pid)
+SELECT frame_id, part, source, label, item, crop, n_bytes, level_sum, weighted_sum FROM numbered JOIN sums USING (pid)"""
+
+
+@query("A8_pixel_dataset", "raster_base raster_boxes", PIXELS_SQL)
+def pixel_dataset(spark, sf):
+    """The whole dataset build: boxes, windows, pixels cut and resampled, stored by part, read back."""
+    path = scratch_path(spark, "pixel-patches")
+    frames = sampling.frame_windows(V.raster_frames(spark, sf)).drop("boxes", "partner")
+    cut = pixels.extract_patches(frames, out=PATCH_OUT).select(
+        "frame_id", "camera", "part", "window.*", "patch")
+    src.write_patches(cut, path)
+    stored = src.read_patches(spark, path).select(
+        "*", F.length("patch").alias("n_bytes"), F.hex("patch").alias("h"))
+    levels = F.expr("transform(sequence(0, n_bytes - 1), "
+                    "i -> cast(conv(substring(h, i * 2 + 1, 2), 16, 10) AS BIGINT))")
+    return stored.withColumn("v", levels).select(
+        "frame_id", "part", "source", "label", "item", "crop", "n_bytes",
+        F.expr("aggregate(v, 0L, (a, x) -> a + x)").alias("level_sum"),
+        F.expr("aggregate(transform(v, (x, i) -> x * (i + 1)), 0L, (a, x) -> a + x)")
+        .alias("weighted_sum"))
+
+
 @query("A9_dataset_document", "frame_base frame_boxes", PATCHES_SQL + """
 SELECT part, '{"ventana_px":224,"salida_px":96,"semilla":42,"partner_cruzado":"sdis-77","n":'||count(*)
  ||',"positivos":'||count_if(label=1)||',"negativos":'||count_if(label=0)||',"camaras":'||count(DISTINCT camera)||'}' AS resumen

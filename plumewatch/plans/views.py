@@ -75,6 +75,42 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
     return frames_from(columns(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderdate"))
 
 
+RASTER = (64, 48)
+
+
+def raster_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """The bytes of each document as a run of small RGB frames with up to two boxes each.
+
+    A frame is 9,216 bytes; the last one of a document repeats its bytes to fill the raster.
+    """
+    w, h = RASTER
+    size = w * h * 3
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    count = F.greatest(F.lit(1), F.ceil(F.length(raw) / size)).cast("int")
+    shots = columns(spark, sf, "documents", "doc_id", "text").select(
+        "doc_id", raw.alias("raw"), F.explode_outer(F.sequence(F.lit(0), count - 1)).alias("shot"))
+    shots = shots.select(
+        (F.col("doc_id") * 1000000 + F.col("shot")).alias("frame_id"),
+        F.expr(f"substring(raw, shot * {size} + 1, {size})").alias("raw"))
+    k = F.col("frame_id")
+    hexed = F.when(F.length("raw") > 0, F.hex("raw")).otherwise("00")
+
+    def thousandths(v):
+        return F.concat(F.lit("0."), F.lpad(v.cast("string"), 3, "0"))
+
+    text = F.array_join(F.transform(
+        F.when(k % 3 > 0, F.sequence(F.lit(1), (k % 3).cast("int"))).otherwise(
+            F.array().cast("array<int>")), lambda i: F.concat_ws(
+            " ", F.lit("0"), thousandths(200 + (k * 31 + i * 97) % 600),
+            thousandths(200 + (k * 17 + i * 53) % 600), thousandths(40 + (k + i * 7) % 90),
+            thousandths(60 + (k + i * 13) % 90))), "\n")
+    return shots.select(
+        k, F.concat(F.lit("cam-"), (k % 50).cast("string")).alias("camera"),
+        partner_of(k).alias("partner"), F.lit(w).alias("width"), F.lit(h).alias("height"),
+        parse_boxes(text, F.lit(w), F.lit(h)).alias("boxes"),
+        F.unhex(F.rpad(hexed, w * h * 6, hexed)).alias("data"))
+
+
 def framed_boxes(spark: SparkSession, sf: str) -> DataFrame:
     """Readable frames with parsed pixel boxes."""
     df = frames(spark, sf).where(readable_image(F.col("image.bytes")))
@@ -357,6 +393,17 @@ CTE = {
  SELECT *, (100+(o_custkey*7919+i*131)%800)/1000.0::DOUBLE AS xc,(100+(frame_id*31+i*977)%800)/1000.0::DOUBLE AS yc,
  (15+(frame_id+i*7)%50)/1000.0::DOUBLE AS bw,(23+i*10)/1000.0::DOUBLE AS bh FROM (
  SELECT f.*, unnest(range(1,n_boxes+1)) AS i FROM frame_base f))"""),
+    "raster_base": ((), f"""SELECT frame_id,'cam-'||(frame_id%50) AS camera,{_sql_partner('frame_id')} AS partner,
+ 64 AS width,48 AS height,true AS readable,frame_id%3 AS n_boxes,
+ rpad(CASE WHEN part='' THEN '00' ELSE part END,18432,CASE WHEN part='' THEN '00' ELSE part END) AS hx FROM (
+ SELECT doc_id*1000000+shot AS frame_id, substr(h,(shot*18432+1)::BIGINT,18432) AS part FROM (
+ SELECT *, unnest(range(greatest(1,(length(h)+18431)//18432))) AS shot FROM (
+ SELECT doc_id, hex(encode(coalesce(text,''))) AS h FROM documents)))"""),
+    "raster_boxes": (("raster_base",), """SELECT *,(xc-bw/2)*width AS x0,(yc-bh/2)*height AS y0,
+ (xc-bw/2)*width+bw*width AS x1,(yc-bh/2)*height+bh*height AS y1 FROM (
+ SELECT frame_id,camera,partner,width,height,readable,i AS box_no,(200+(frame_id*31+i*97)%600)/1000.0::DOUBLE AS xc,
+ (200+(frame_id*17+i*53)%600)/1000.0::DOUBLE AS yc,(40+(frame_id+i*7)%90)/1000.0::DOUBLE AS bw,
+ (60+(frame_id+i*13)%90)/1000.0::DOUBLE AS bh FROM (SELECT f.*, unnest(range(1,n_boxes+1)) AS i FROM raster_base f))"""),
     "line_boxes": ((), """SELECT frame_id,box_id,part_key,supp_key,(xc-bw/2)*1280 AS x0,(yc-bh/2)*720 AS y0,
  (xc-bw/2)*1280+bw*1280 AS x1,(yc-bh/2)*720+bh*720 AS y1 FROM (
  SELECT l_orderkey AS frame_id,l_linenumber AS box_id,l_partkey AS part_key,l_suppkey AS supp_key,

@@ -26,6 +26,7 @@ PATCH = T.StructType([
     T.StructField("item", T.IntegerType()),
     T.StructField("crop", T.IntegerType()),
     *BOX.fields,
+    T.StructField("patch", T.BinaryType()),
 ])
 
 TILE_SCORE = T.StructType([

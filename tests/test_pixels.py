@@ -79,3 +79,36 @@ def test_model_is_loaded_once_per_worker_stream(spark):
     got = [r[0] for r in df.select(pixels.score_with(
         pixels.logistic_model([0.1, -2.0], 0.5), F.col("f"))).collect()]
     assert got == pytest.approx([1 / (1 + math.exp(-(0.1 * i - 1.5))) for i in range(100)])
+
+
+def test_other_height_and_signed_levels():
+    image = np.random.default_rng(4).integers(0, 256, (30, 40, 3), dtype=np.uint8)
+    out = pixels.resample(image, (0, 0, 40, 30), 16, 9)
+    assert out.shape == (9, 16, 3)
+    flat = pixels.resample(np.full((20, 20, 3), 77, np.uint8), (1.5, 2.5, 18.5, 17.0), 5, 3)
+    assert (flat == 77).all()
+    assert pixels.signed_levels(np.array([0, 128, 255], np.uint8)).tolist() == [-128, 0, 127]
+
+
+def test_random_windows_are_not_kept():
+    before = pixels._kept_taps.cache_info().currsize
+    for i in range(300):
+        pixels.resample(np.zeros((8, 8, 3), np.uint8), (0.5 + i / 1000, 0.25, 7.5, 7.75), 4)
+    assert pixels._kept_taps.cache_info().currsize == before
+    assert pixels._kept_taps.cache_info().maxsize <= 128
+
+
+def _rounded(df):
+    return sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect())
+
+
+def test_frame_windows_are_those_of_the_patch_build(spark, sf):
+    from plumewatch.operators import sampling
+    from plumewatch.plans import views as V
+
+    frames = V.raster_frames(spark, sf)
+    cols = ["frame_id", "label", "source", "item", "crop", "x0", "y0", "x1", "y1"]
+    inside = sampling.frame_windows(frames).select("frame_id", F.inline("windows")).select(cols)
+    flat = sampling.all_patches(frames).select(cols)
+    assert _rounded(inside) == _rounded(flat)
+    assert "Exchange" not in inside._jdf.queryExecution().executedPlan().toString()
