@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -54,6 +54,12 @@ def kth_scores(tiles: DataFrame, ks: Sequence[int] = (1, 2, 3), score: str = "sc
         *[F.max(F.when(F.col("_r") == k, F.col(score))).alias(f"top_{k}") for k in ks])
 
 
+def top_columns(scores: Column, ks: Sequence[int] = (1, 2, 3)) -> list[Column]:
+    """k-th largest score of a frame that carries its tile scores as an array; NULL beyond its size."""
+    best = F.slice(F.sort_array(scores, False), 1, max(ks))
+    return [F.get(best, F.lit(k - 1)).alias(f"top_{k}") for k in ks]
+
+
 RULE_CAPS = {
     "1_de_N": (0.10,),
     "2_de_N": (0.10, 0.01),
@@ -70,8 +76,21 @@ def effective_scores(tiles: DataFrame, meta: DataFrame, ks: Sequence[int] = (1,
     The per-frame scores are written once: they feed the per-camera history twice and are a small
     fraction of the tile table.
     """
-    frames = kth_scores(tiles, ks).join(
-        meta.select("frame_id", "camera", "ts", "smoke"), "frame_id")
+    return _rule_scores(kth_scores(tiles, ks).join(
+        meta.select("frame_id", "camera", "ts", "smoke"), "frame_id"), ks, ns)
+
+
+def effective_scores_of_frames(frames: DataFrame, ks: Sequence[int] = (1, 2, 3),
+                               ns: Sequence[int] = (2, 3), scores: str = "scores") -> DataFrame:
+    """The same for frames that carry their tile scores as an array, as scoring emits them.
+
+    The k-th scores are taken inside the row: no shuffle over tiles and no join with the captures.
+    """
+    return _rule_scores(frames.select(
+        "frame_id", "camera", "ts", "smoke", *top_columns(F.col(scores), ks)), ks, ns)
+
+
+def _rule_scores(frames: DataFrame, ks: Sequence[int], ns: Sequence[int]) -> DataFrame:
     frames = materialize(frames, "frame-scores")
     frames = confirmed_scores(frames, ns, score="top_1")
     rules = [F.struct(F.lit(f"{k}_de_N").alias("rule"), F.col(f"top_{k}").alias("score"))

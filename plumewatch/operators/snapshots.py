@@ -28,6 +28,13 @@ def only_in_first(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("path").subtract(b.select("path"))
 
 
+def one_sided(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Paths of exactly one tree with the side they are on ("a" or "b"): one aggregate, one scan each."""
+    both = a.select("path", F.lit(1).alias("_side")).unionByName(b.select("path", F.lit(2).alias("_side")))
+    seen = both.groupBy("path").agg(F.bit_or("_side").alias("_side")).where("_side < 3")
+    return seen.select(F.when(F.col("_side") == 1, "a").otherwise("b").alias("side"), "path")
+
+
 def in_both(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("path").intersect(b.select("path"))
 

@@ -38,31 +38,59 @@ def _history(spark, sf):
 _METRIC = f"round(0.5::DOUBLE+0.02::DOUBLE*line+0.2::DOUBLE*{V.sql_unit('h', 0)},6)"
 
 
+OTHERS = ("auc_pr", "exactitud", "loss", "precision", "recall", "val_exactitud", "val_loss",
+          "val_precision", "val_recall")
+
+
+def _others_sql() -> str:
+    return ", ".join(
+        f"sum(round({V.sql_unit(f'md5({chr(39)}{c}:{chr(39)}||event_id)', 0)}*1000000)::BIGINT)::BIGINT AS {c}_sum"
+        for c in OTHERS)
+
+
 @query("A5_history_csv", "", f"""
-SELECT event_id//20%8 AS model, count(*) AS epochs, sum(round({_METRIC}*1000000)::BIGINT)::BIGINT AS metric_sum
-FROM (SELECT event_id, event_id%20 AS line, md5('run:'||event_id) AS h FROM events) GROUP BY model""")
+SELECT event_id//20%8 AS model, count(*) AS epochs, sum(round({_METRIC}*1000000)::BIGINT)::BIGINT AS metric_sum,
+ {_others_sql()} FROM (SELECT event_id, event_id%20 AS line, md5('run:'||event_id) AS h FROM events) GROUP BY model""")
 def history_csv(spark, sf):
     """Logs as CSV files in one folder per model, read back with a fixed schema."""
     path = scratch_path(spark, "history")
     columns = [f.name for f in reports.S.HISTORY.fields]
     _history(spark, sf).select((F.col("run") % 8).alias("model"), *columns).write.partitionBy(
         "model").option("header", True).csv(path)
-    return reports.read_history(spark, path).groupBy("model").agg(
+    logs = reports.read_history(spark, path).withColumn(
+        "model", F.regexp_extract("run", r"model=(\d+)", 1).cast("bigint"))
+    return logs.groupBy("model").agg(
         F.count("val_auc_pr").alias("epochs"),
-        F.sum(F.round(F.col("val_auc_pr") * 1000000).cast("bigint")).alias("metric_sum"))
+        F.sum(F.round(F.col("val_auc_pr") * 1000000).cast("bigint")).alias("metric_sum"),
+        *[F.sum(F.round(F.col(c) * 1000000).cast("bigint")).alias(f"{c}_sum") for c in OTHERS])
 
 
-@query("W7_training_summary", "", f"""
+SUMMARY_SQL = f"""
 WITH t AS (SELECT event_id//20 AS run, line, CASE WHEN line<6 THEN 1 ELSE 2 END AS phase, CASE WHEN line<6 THEN line ELSE line-6 END AS epoch,
  {_METRIC} AS m FROM (SELECT event_id, event_id%20 AS line, md5('run:'||event_id) AS h FROM events)),
 b AS (SELECT *, max(m) OVER (PARTITION BY run, phase ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM t),
 s AS (SELECT *, epoch-max(CASE WHEN before IS NULL OR m>before THEN epoch END) OVER (PARTITION BY run, phase ORDER BY line ROWS UNBOUNDED PRECEDING) AS stale FROM b)
-SELECT run, phase, arg_max(epoch, m) AS best_epoch, max(m) AS best, min(CASE WHEN stale>=4 THEN epoch END) AS stop_epoch, count(*) AS epochs FROM s GROUP BY run, phase""")
+SELECT run, phase, arg_max(epoch, m) AS best_epoch, max(m) AS best, min(CASE WHEN stale>=4 THEN epoch END) AS stop_epoch, count(*) AS epochs FROM s GROUP BY run, phase"""
+
+
+@query("W7_training_summary", "", SUMMARY_SQL)
 def training_summary(spark, sf):
     return reports.training_summary(_history(spark, sf)).withColumn(
         "phase", F.col("phase").cast("int"))
 
 
+@query("W7_summary_of_files", "", SUMMARY_SQL)
+def summary_of_files(spark, sf):
+    """The logs as files, one per run, scanned and summarised in the order of their lines."""
+    path = scratch_path(spark, "logs")
+    columns = [f.name for f in reports.S.HISTORY.fields]
+    _history(spark, sf).repartition("run").sortWithinPartitions("run", "line").select(
+        F.col("run").alias("log"), *columns).write.partitionBy("log").option("header", True).csv(path)
+    out = reports.training_summary(reports.read_history(spark, path), order=("block", "line"))
+    return out.withColumn("run", F.regexp_extract("run", r"log=(\d+)", 1).cast("bigint")).withColumn(
+        "phase", F.col("phase").cast("int"))
+
+
 def _evaluation_rows(spark, sf):
     half = metrics.with_rates(metrics.confusion(
         _both_models(spark, sf), "score", "label", (0.5,), ["precision_kind", "part"]))
@@ -159,9 +187,7 @@ def fleet_differences(spark, sf):
 SELECT 'a' AS side, path FROM (SELECT path FROM tree_a EXCEPT SELECT path FROM tree_b)
 UNION ALL SELECT 'b', path FROM (SELECT path FROM tree_b EXCEPT SELECT path FROM tree_a)""")
 def paths_only_in_one(spark, sf):
-    a, b = V.tree_a(spark, sf), V.tree_b(spark, sf)
-    return snapshots.only_in_first(a, b).select(F.lit("a").alias("side"), "path").unionByName(
-        snapshots.only_in_first(b, a).select(F.lit("b").alias("side"), "path"))
+    return snapshots.one_sided(V.tree_a(spark, sf), V.tree_b(spark, sf))
 
 
 @query("U3_paths_in_both", "tree_a tree_b", "SELECT path FROM tree_a INTERSECT SELECT path FROM tree_b")

@@ -11,7 +11,7 @@ from plumewatch.functions.hashing import between, digest, hex_int, unit
 from plumewatch.operators import curves, metrics, rules, sampling, timeline
 from plumewatch.plans import views as V
 from plumewatch.plans.registry import query
-from plumewatch.session import materialize
+from plumewatch.session import build_or_read, materialize, table_state
 
 # ---------------------------------------------------------------- SQL pieces
 
@@ -40,12 +40,19 @@ SELECT 'A' AS model, count(*) AS tiles, count(DISTINCT frame_id) AS frames, sum(
  count(DISTINCT x*10000+y) AS corners FROM tile_scores
 UNION ALL SELECT 'B', count(*), count(DISTINCT frame_id), sum(b)::BIGINT, count(DISTINCT x*10000+y) FROM model_b_scores""")
 def tile_table(spark, sf):
-    """Tiles are cut once, stored, and scored by two models."""
-    w, h = (F.lit(v) for v in C.FRAME_SIZE)
-    caps = V.captures(spark, sf).select(
-        "frame_id", "smoke", F.posexplode(tile_grid(w, h)).alias("tile_id", "t")).select(
-        "frame_id", "smoke", "tile_id", "t.x", "t.y")
-    tiles = materialize(caps, "tiles-1280x720-224")
+    """Tiles are cut once and stored under their frame size and input, then scored by two models.
+
+    A later call over the same table reads them.
+    """
+    w, h = C.FRAME_SIZE
+
+    def cut():
+        return V.captures(spark, sf).select(
+            "frame_id", "smoke", F.posexplode(tile_grid(F.lit(w), F.lit(h))).alias("tile_id", "t")).select(
+            "frame_id", "smoke", "tile_id", "t.x", "t.y")
+
+    held = table_state(spark, f"{sf.rstrip('/')}/events.parquet")
+    tiles = build_or_read(cut, spark, "tiles", f"{w}x{h}:{C.WINDOW_PX}:{C.OVERLAP}:{held}")
     key = [F.col("frame_id"), F.col("tile_id")]
     rows = tiles.select("*", F.inline(F.array(
         F.struct(F.lit("A").alias("model"), digest(*key).alias("h")),
@@ -54,10 +61,11 @@ def tile_table(spark, sf):
     planted = F.col("smoke") & (F.col("tile_id") == F.col("frame_id") % V.TILES)
     b = F.when(planted, F.greatest(b1, b2)).otherwise(F.floor(b1 * b2 / 256))
     per_corner = rows.withColumn("b", b).groupBy("model", "x", "y").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("b").alias("s"))
+        F.count(F.lit(1)).alias("n"), F.sum("b").alias("s"),
+        F.count_if(F.col("tile_id") == 0).alias("f"))
     return per_corner.groupBy("model").agg(
         F.sum("n").alias("tiles"),
-        (F.sum("n") / F.count(F.lit(1))).cast("bigint").alias("frames"),
+        F.sum("f").alias("frames"),
         F.sum("s").alias("level_sum"), F.count(F.lit(1)).alias("corners"))
 
 
@@ -198,9 +206,18 @@ WITH r AS (SELECT frame_id, score, row_number() OVER (PARTITION BY frame_id ORDE
 SELECT frame_id, max(score) FILTER (WHERE r=1) AS top_1, max(score) FILTER (WHERE r=2) AS top_2,
  max(score) FILTER (WHERE r=3) AS top_3, count_if(score>=0.6) AS tiles_at_060 FROM r GROUP BY frame_id""")
 def kth_score(spark, sf):
-    t = V.tile_scores(spark, sf)
-    over = t.groupBy("frame_id").agg(F.count_if(F.col("score") >= 0.6).alias("tiles_at_060"))
-    return rules.kth_scores(t).join(over, "frame_id")
+    frames = V.frame_tile_scores(spark, sf)
+    return frames.select("frame_id", *rules.top_columns(F.col("scores")), F.size(F.filter(
+        "scores", lambda s: s >= 0.6)).alias("tiles_at_060"))
+
+
+@query("G8_kth_score_long", "tile_scores", """
+WITH r AS (SELECT frame_id, score, row_number() OVER (PARTITION BY frame_id ORDER BY score DESC) AS r FROM tile_scores)
+SELECT frame_id, max(score) FILTER (WHERE r=1) AS top_1, max(score) FILTER (WHERE r=2) AS top_2,
+ max(score) FILTER (WHERE r=3) AS top_3 FROM r GROUP BY frame_id""")
+def kth_score_long(spark, sf):
+    """The form for a long tile table whose rows of a frame may lie apart."""
+    return rules.kth_scores(V.tile_scores(spark, sf))
 
 
 @query("G9_capture_alert", "tile_scores", """
@@ -344,8 +361,7 @@ _RULES_SQL = f"""
   FROM swept s JOIN wanted w ON s.rule=w.rule AND s.fpr<=w.cap) WHERE r=1)
 SELECT w.regla, umbral, tp, fp, fn, tn, recall, precision, f1, fpr FROM wanted w LEFT JOIN best b ON b.regla=w.regla""")
 def rule_leaderboard(spark, sf):
-    return rules.leaderboard(rules.effective_scores(
-        V.tile_scores(spark, sf), V.captures(spark, sf)))
+    return rules.leaderboard(rules.effective_scores_of_frames(V.frame_tile_scores(spark, sf)))
 
 
 # ---------------------------------------------------------------- windows over captures

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,6 +71,33 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def build_or_read(build: Callable[[], DataFrame], spark: SparkSession, label: str, key: str,
+                  ) -> DataFrame:
+    """The stored table of a key: read if it is complete, else built and published in one rename.
+
+    `key` must name everything the table depends on. Of two builders at a time one publishes.
+    """
+    target = f"{scratch_root(spark)}/{label}-{hashlib.md5(key.encode()).hexdigest()}"
+    jvm = spark._jvm.org.apache.hadoop.fs.Path
+    final = jvm(target)
+    files = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(jvm(f"{target}/_SUCCESS")):
+        made = scratch_path(spark, f"{label}-building")
+        build().write.parquet(made)
+        if not files.exists(final):
+            files.rename(jvm(made), final)
+    return spark.read.parquet(target)
+
+
+def table_state(spark: SparkSession, path: str) -> str:
+    """Path, bytes and number of files of a table, for keys of what is built from it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = files.getContentSummary(target)
+    changed = files.getFileStatus(target).getModificationTime()
+    return f"{path}:{held.getLength()}:{held.getFileCount()}:{changed}"
+
+
 def materialize(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write once, read many: the stored table outlives any executor."""
     spark = df.sparkSession

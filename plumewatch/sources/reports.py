@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,10 +12,15 @@ from plumewatch import schemas as S
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """Training-history CSV files, one run per file; `line` keeps the order inside a file."""
+    """Training-history CSV files, one run per file.
+
+    (`block`, `line`) is the order inside a file: a split is read from its first line to its last by
+    one task, and splits are ordered by where they start.
+    """
     return (
         spark.read.option("header", True).schema(S.HISTORY).csv(path)
-        .select("*", F.col("_metadata.file_path").alias("run"),
+        .select(*S.HISTORY.fieldNames(), F.col("_metadata.file_path").alias("run"),
+                F.col("_metadata.file_block_start").alias("block"),
                 F.monotonically_increasing_id().alias("line")))
 
 
@@ -32,18 +39,19 @@ def write_report(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*")).alias("value")).repartition(1).write.mode("overwrite").text(path)
 
 
-def training_summary(history: DataFrame, run: str = "run", order: str = "line",
+def training_summary(history: DataFrame, run: str = "run", order: str | Sequence[str] = "line",
                      metric: str = "val_auc_pr", patience: int = 4) -> DataFrame:
     """Per run and phase: best epoch, and the epoch at which early stopping would end it.
 
     A phase starts when the epoch number does not grow. A training run has at most some hundred
     epochs, so one window per run stays small.
     """
-    w = W.partitionBy(run).orderBy(order)
+    order = [order] if isinstance(order, str) else list(order)
+    w = W.partitionBy(run).orderBy(*order)
     restart = F.coalesce((F.lag("epoch").over(w) >= F.col("epoch")).cast("int"), F.lit(0))
     df = history.withColumn("_restart", restart).withColumn(
         "phase", F.sum("_restart").over(w.rowsBetween(W.unboundedPreceding, 0)) + 1)
-    p = W.partitionBy(run, "phase").orderBy(order)
+    p = W.partitionBy(run, "phase").orderBy(*order)
     before = F.max(metric).over(p.rowsBetween(W.unboundedPreceding, -1))
     df = df.withColumn("_better", before.isNull() | (F.col(metric) > before))
     last_better = F.max(F.when(F.col("_better"), F.col("epoch"))).over(

@@ -78,9 +78,14 @@ def _with_history(stream: DataFrame, step: Callable[[DataFrame, DataFrame | None
 
     def write(batch: DataFrame, batch_id: int) -> None:
         old = None if batch_id == 0 else batch.sparkSession.read.parquet(f"{kept}/v{batch_id - 1}")
-        rows, history = step(batch, old)
-        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        history.write.mode("overwrite").parquet(f"{kept}/v{batch_id}")
+        # two tables come from the batch; it is read and parsed once
+        batch = batch.persist()
+        try:
+            rows, history = step(batch, old)
+            rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            history.write.mode("overwrite").parquet(f"{kept}/v{batch_id}")
+        finally:
+            batch.unpersist()
 
     query = (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", state)
