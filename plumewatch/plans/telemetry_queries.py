@@ -368,7 +368,8 @@ def continuous_decode(spark, sf):
 @query("T2_stateful_alert_cap", "alerts", CAP_SQL)
 def stateful_alert_cap(spark, sf):
     alerts = _timed(V.alerts_from(event_stream(spark, sf)))
-    return drain(state.capped_alert_stream(alerts), "capped")
+    return drain_latest(state.capped_alert_stream(alerts), ["node_id", "hour_start"], "capped").select(
+        "node_id", "event_id", "rank")
 
 
 @query("T3_daily_notices", "telemetry", """
@@ -415,4 +416,4 @@ def streamed_runs(spark, sf):
 SELECT *, tiles_over>=1 AS alert FROM ({RESULT_SQL.strip()} FROM tile_scores GROUP BY frame_id)""")
 def capture_stream(spark, sf):
     caps, tiles = _capture_stream(spark, sf)
-    return drain_latest(live.capture_alerts(_timed(tiles)), "frame_id", "capture-alerts")
+    return drain_latest(live.capture_alerts(_timed(tiles)), ["frame_id"], "capture-alerts")

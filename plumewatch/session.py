@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -52,15 +53,15 @@ def ship_package(spark: SparkSession) -> None:
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for written intermediates.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a session that sets none and runs with a
-    local master falls back to a temporary folder of this machine.
+    A cluster names it in ``spark.checkpoint.dir``. Only a session that sets none and runs in one
+    process, as tests may, falls back to a temporary folder of this machine.
     """
     global _local_root
     configured = (
         spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir())
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     if _local_root is None or not os.path.isdir(_local_root):
         _local_root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")

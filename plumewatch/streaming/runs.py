@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumewatch.schemas import EVENTS
@@ -23,8 +26,8 @@ def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def drain_latest(stream: DataFrame, key: str, label: str) -> DataFrame:
-    """Process everything available in update mode and keep the last version of each key.
+def drain_latest(stream: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+    """Process everything available in update mode and keep the rows of each key's last version.
 
     Every micro-batch overwrites its own folder, so a replayed batch leaves nothing twice.
     """
@@ -38,10 +41,9 @@ def drain_latest(stream: DataFrame, key: str, label: str) -> DataFrame:
         stream.writeStream.foreachBatch(write).outputMode("update")
         .option("checkpointLocation", state).trigger(availableNow=True).start())
     query.awaitTermination()
-    kept = [c for c in stream.columns if c != key]
-    versions = spark.read.parquet(out)
-    return versions.groupBy(key).agg(F.max_by(F.struct(*kept), "batch").alias("_last")).select(
-        key, "_last.*")
+    newest = F.max("batch").over(W.partitionBy(*keys))
+    return spark.read.parquet(out).withColumn("_newest", newest).where(
+        "batch = _newest").select(*stream.columns)
 
 
 def event_stream(spark: SparkSession, sf: str, files_per_trigger: int | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -16,51 +17,51 @@ from plumewatch.session import scratch_path
 
 CAPPED = T.StructType([
     T.StructField("node_id", T.IntegerType()),
+    T.StructField("hour_start", T.LongType()),
     T.StructField("event_id", T.LongType()),
     T.StructField("rank", T.IntegerType()),
 ])
 
 
 def hour_cap(limit: int, grace_ms: int):
-    """Function for one node hour: passes its first alerts, remembers how many have passed."""
+    """Function for one node hour: holds its earliest alerts and emits them whenever they change."""
     def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        before = state.get[0] if state.exists else 0
-        room = limit - before
-        best: pd.DataFrame | None = None
+        held = json.loads(state.get[0]) if state.exists else []
+        best = held
         for chunk in chunks:
-            if room > 0:
-                # only the earliest rows that can still pass are held
-                pool = chunk if best is None else pd.concat([best, chunk])
-                best = pool.sort_values(["ts", "event_id"]).head(room)
-        passed = 0 if best is None else len(best)
-        state.update((before + passed,))
+            # only the earliest rows can pass, whatever batch they come in
+            early = chunk.sort_values(["ts", "event_id"]).head(limit)
+            rows = [[t.value, int(e)] for t, e in zip(early["ts"], early["event_id"])]
+            best = sorted(best + rows)[:limit]
+        state.update((json.dumps(best),))
         hour_end = (int(key[1]) + 3600) * 1000
         state.setTimeoutTimestamp(max(hour_end + grace_ms, state.getCurrentWatermarkMs() + 1))
-        if passed:
+        if best != held:
             yield pd.DataFrame({
-                "node_id": [int(key[0])] * passed,
-                "event_id": best["event_id"].astype("int64").to_list(),
-                "rank": range(before + 1, before + 1 + passed)})
+                "node_id": [int(key[0])] * len(best), "hour_start": [int(key[1])] * len(best),
+                "event_id": [e for _, e in best], "rank": range(1, len(best) + 1)})
 
     return step
 
 
 def capped_alert_stream(alerts: DataFrame, limit: int = C.MAX_ALERTS_PER_HOUR,
                         delay: str = "1 hour", grace_ms: int = 60_000) -> DataFrame:
-    """Hourly alert cap on a stream with node_id, event_id and ts (TIMESTAMP).
+    """Hourly alert cap on a stream with node_id, event_id and ts (TIMESTAMP), in update mode.
 
-    The grouping key holds the hour, so a busy node spreads over its hours, and its counters are
-    cleared when the watermark has passed them. Alerts later than the watermark are not seen.
+    The earliest alerts of a node hour pass, not the first to arrive: when an earlier one comes later, the
+    hour is emitted anew, and its newest version counts (`drain_latest`). The grouping key holds the hour,
+    so a busy node spreads over its hours; at most `limit` alerts are kept for each, until the watermark
+    has passed it.
     """
     return (
         alerts.select("node_id", "event_id", "ts").withWatermark("ts", delay)
         .withColumn("hour_start", F.unix_seconds(F.date_trunc("hour", F.col("ts"))))
         .groupBy("node_id", "hour_start")
         .applyInPandasWithState(
-            hour_cap(limit, grace_ms), CAPPED, "sent int", "append",
+            hour_cap(limit, grace_ms), CAPPED, "held string", "update",
             GroupStateTimeout.EventTimeTimeout))
 
 

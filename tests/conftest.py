@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -12,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 def spark():
     from plumewatch.session import build_session
 
-    session = build_session(8, "tests")
+    session = build_session(8, "tests", spark__checkpoint__dir=tempfile.mkdtemp(prefix="spark-"))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
