@@ -29,10 +29,18 @@ WITH lines AS (SELECT frame_id, string_agg('0 0.'||lpad((round(xc*1000)::INT)::V
  ||lpad((round(bh*1000)::INT)::VARCHAR,3,'0'), chr(10) ORDER BY box_no) AS t FROM frame_boxes GROUP BY frame_id)
 SELECT f.frame_id, 'frame_'||f.frame_id||'.jpg' AS image_name, camera, partner, date,
  CASE WHEN f.frame_id%101=0 THEN NULL WHEN f.frame_id%97=0 THEN coalesce(t,'')||chr(10)||'0 0.500 0.500 0.100'
- ELSE coalesce(t,'') END AS annotations FROM frame_base f LEFT JOIN lines USING (frame_id)""")
+ ELSE coalesce(t,'') END AS annotations, CASE WHEN readable THEN width END AS width, CASE WHEN readable THEN height END AS height
+FROM frame_base f LEFT JOIN lines USING (frame_id)""")
 def scan_frames(spark, sf):
-    return V.frames(spark, sf).select(
-        "frame_id", "image_name", "camera", "partner", "date", "annotations")
+    """Stored shards, whose images hold their bytes only, read with the size that the bytes tell."""
+    path = scratch_path(spark, "frames")
+    held = V.frames(spark, sf)
+    held.select(F.struct("image.bytes").alias("image"), *[
+        c for c in held.columns if c not in ("frame_id", "image")]).write.parquet(path)
+    frames = src.with_frame_size(src.read_frames(spark, path))
+    return frames.select(
+        F.regexp_extract("image_name", r"frame_(\d+)", 1).cast("bigint").alias("frame_id"),
+        "image_name", "camera", "partner", "date", "annotations", "width", "height")
 
 
 @query("A2_per_file_limit", "", """

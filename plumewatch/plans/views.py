@@ -37,6 +37,9 @@ def partner_of(n: Column) -> Column:
 def frames_from(orders: DataFrame) -> DataFrame:
     """One annotated frame per order; `n_boxes` boxes as text, some rows malformed or unreadable."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
+    size = [
+        F.when(k % 23 == 0, big).when(k % 29 == 0, small).when(k % 31 == 0, tiny).otherwise(usual)
+        for big, small, tiny, usual in ((1600, 640, 200, 1280), (1200, 480, 200, 720))]
 
     def thousandths(v):
         return F.concat(F.lit("0."), F.lpad(v.cast("string"), 3, "0"))
@@ -55,10 +58,12 @@ def frames_from(orders: DataFrame) -> DataFrame:
             F.array().cast("array<int>")), line), "\n")
     text = F.when(k % 101 == 0, F.lit(None).cast("string")).when(
         k % 97 == 0, F.concat(text, F.lit("\n0 0.500 0.500 0.100"))).otherwise(text)
-    size = [
-        F.when(k % 23 == 0, big).when(k % 29 == 0, small).when(k % 31 == 0, tiny).otherwise(usual)
-        for big, small, tiny, usual in ((1600, 640, 200, 1280), (1200, 480, 200, 720))]
-    head = F.when(k % 43 == 0, F.lit("00000000")).otherwise(F.lit("FFD8FFE0"))
+    # the first bytes of a PNG or a JPEG image of that size; the rest is noise
+    wide, high = (F.lpad(F.hex(v), 8, "0") for v in size)
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), wide, high, F.lit("0802000000"))
+    jpeg = F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFC0001108"),
+                    F.substring(high, 5, 4), F.substring(wide, 5, 4), F.lit("03012200021101031101"))
+    head = F.when(k % 43 == 0, F.lit("00000000")).when(k % 2 == 0, png).otherwise(jpeg)
     return orders.select(
         k.alias("frame_id"),
         F.struct(

@@ -199,3 +199,19 @@ def test_capture_result_ties_zeros_and_failed_tiles(spark):
     got = {r.frame_id: tuple(r)[1:] for r in capture_result(df).collect()}
     assert got == {1: (3, 2, 980, 10, 0, True, True), 2: (1, 0, 0, -1, -1, False, False),
                    3: (1, 0, 0, -1, -1, False, True)}
+
+
+def test_frame_size_from_bytes(spark):
+    """PNG, JPEG with other segments and fill bytes before the frame header, cut and unknown images."""
+    from plumewatch.sources.frames import with_frame_size
+
+    png = "89504E470D0A1A0A0000000D4948445200000280000001E00802000000"
+    jpeg = "FFD8FFE000104A46494600010100000100010000FFDB0004AABBFFFFC2001108012C019003"
+    rows = [(1, png), (2, jpeg), (3, jpeg[:50]), (4, "00000000"), (5, ""), (6, None), (7, "FFD8FFC4000400")]
+    df = spark.createDataFrame(
+        [(i, (None if h is None else bytearray.fromhex(h), None, None)) for i, h in rows]
+        + [(8, (bytearray.fromhex(png), 7, 9))],
+        "id int, image struct<bytes:binary,width:int,height:int>")
+    got = {r.id: (r.width, r.height) for r in with_frame_size(df).collect()}
+    none = (None, None)
+    assert got == {1: (640, 480), 2: (400, 300), 3: none, 4: none, 5: none, 6: none, 7: none, 8: (7, 9)}
