@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumewatch.llm.frames import documents, fresh, name, packed
@@ -28,7 +28,7 @@ from plumewatch.session import ship_package
 
 FEATURES = 8192
 #: Documents that the machines are fitted on, at most.
-ROWS = 2000
+ROWS = 1200
 #: Characters turned into features at a time.
 BLOCK = 1 << 20
 UNKNOWN = "und"
@@ -74,18 +74,19 @@ def features(text: str) -> np.ndarray:
 def machine(x: np.ndarray, y: np.ndarray, rounds: int = 200, penalty: float = 1e-4) -> np.ndarray:
     """Weights and bias of a linear support vector machine (squared hinge, class-balanced).
 
-    Gradient descent with momentum on the whole sample; the result depends on the rows alone.
+    y is 1 or -1, and 0 for rows that play no part, so that no part of x is copied. Gradient descent with
+    momentum on the whole sample; the result depends on the rows alone.
     """
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    w, pull = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32)
+    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+    share = np.where(y == 0, 0, share).astype(np.float32)
+    w, pull = np.zeros(x.shape[1] + 1, np.float32), np.zeros(x.shape[1] + 1, np.float32)
     y = y.astype(np.float32)
     for _ in range(rounds):
-        short = np.maximum(0, 1 - y * (x @ w))
-        slope = penalty * w - 2 * ((share * y * short) @ x)
+        short = share * y * np.maximum(0, 1 - y * (x @ w[:-1] + w[-1]))
+        slope = penalty * w - 2 * np.append(short @ x, short.sum())
         pull = 0.9 * pull - 0.2 * slope
         w = w + pull
-    return w
+    return w.astype(np.float32)
 
 
 class Model:
@@ -103,9 +104,8 @@ class Model:
         self.pairs: dict[str, list[tuple[int, int, int]]] = {f: [] for f in self.families}
         for f in self.families:
             for (i, a), (j, b) in combinations(enumerate(self.members[f]), 2):
-                some = (y == a) | (y == b)
                 self.pairs[f].append((i, j, len(columns)))
-                columns.append(machine(x[some], np.where(y[some] == a, 1, -1)))
+                columns.append(machine(x, np.where(y == a, 1, np.where(y == b, -1, 0))))
         self.weights = np.stack(columns, axis=1) if columns else np.zeros((FEATURES + 1, 0), np.float32)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -166,18 +166,18 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", row_id: str
             yield pa.RecordBatch.from_arrays([
                 pa.array([langs[i] for i in some], pa.string()),
                 pa.array([picks[i] for i in some], pa.int64()),
-                pa.array([features(texts[i]).tobytes() for i in some], pa.binary())],
+                pa.array([features(texts[i]).astype(np.float16).tobytes() for i in some], pa.binary())],
                 names=["lang", "pick", "row"])
 
-    found = near.mapInArrow(run, "lang string, pick long, row binary").toArrow().to_pylist()
-    found.sort(key=lambda r: (r["lang"], r["pick"], r["row"]))
-    taken, kept = {}, []
-    for r in found:
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= each:
-            kept.append(r)
-    x = np.frombuffer(b"".join(r["row"] for r in kept), np.float32).reshape(-1, FEATURES)
-    return Model(x, [r["lang"] for r in kept])
+    # at most `each` rows of a label, 16 KB each, reach the driver
+    lowest = Window.partitionBy("lang").orderBy("pick", "row")
+    found = near.mapInArrow(run, "lang string, pick long, row binary").withColumn(
+        "place", F.row_number().over(lowest)).where(F.col("place") <= each).orderBy(
+        "lang", "place").select("lang", "row").toArrow()
+    x = np.zeros((found.num_rows, FEATURES), np.float32)
+    for i, row in enumerate(found.column("row")):
+        x[i] = np.frombuffer(row.as_buffer(), np.float16)
+    return Model(x, found.column("lang").to_pylist())
 
 
 def predict(df: DataFrame, model: Model, text: str = "text", lang_out: str = "lang_pred",
@@ -188,7 +188,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang_out: str = "la
     kept = [c for c in df.columns if c not in (lang_out, score_out)]
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             names = batch.schema.names
             langs, scores = shared.value.predict(batch.column(names.index(text)).to_pylist())
             yield pa.RecordBatch.from_arrays(
