@@ -6,8 +6,9 @@ then split into whole repetitions of every document and a fraction; the fraction
 whole documents, drawn so that the source's words come within half a document of the target.
 
 The draw of a document is a hash of seed, id and text, so reruns and other partitionings agree. The draw
-up to which documents are taken is found from a histogram of 65,536 cells per source and one exact look
-into the cell at the border; no source is ever gathered or sorted whole.
+up to which documents are taken is found from two histograms of 4,096 cells per source, the second one
+inside the border cell of the first, and one exact look into the last cell, which holds one document in
+16 million; no source is ever gathered or sorted whole.
 
 Null texts have no words. Null is a source like others and comes last. Repeated rows have the same draw
 and are taken together. Sources without words have target 0. An empty table gives an empty table.
@@ -29,6 +30,8 @@ EPOCHS = 2
 SEED = 20240611
 #: Up to this many sources their table is sent to all tasks; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 10_000
+#: Bits of the draw that each of two histograms resolves.
+CELL_BITS = 12
 
 
 def word_count(text: Column) -> Column:
@@ -62,6 +65,25 @@ def _level(sources: DataFrame, budget: float) -> float:
             return level
 
 
+def _cell(bits: int) -> Column:
+    """The leading bits of a draw."""
+    return F.shiftright("draw", 64 - bits)
+
+
+def _border(sums: DataFrame, aims: DataFrame) -> DataFrame:
+    """The cell of each source in which its fraction ends; `base` words come before all its cells."""
+    upto = Window.partitionBy("source").orderBy("cell")
+    before = F.col("base") + F.sum("words").over(upto) - F.col("words")
+    return sums.withColumn("before", before).join(aims, F.col("source").eqNullSafe(F.col("aim"))).where(
+        (F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words"))).select(
+        F.col("aim").alias("b_source"), F.col("cell").alias("b_cell"), "before", "rest")
+
+
+def _within(rows: DataFrame, border: DataFrame, bits: int) -> DataFrame:
+    return rows.join(border, F.col("source").eqNullSafe(F.col("b_source"))
+                     & (_cell(bits) == F.col("b_cell")))
+
+
 def plan(rows: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS,
          ) -> DataFrame:
     """Per source: source_size, target, whole repetitions and the last draw of the fraction.
@@ -82,20 +104,20 @@ def plan(rows: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, epoc
     aims = sources.withColumn("target", target).withColumn("whole", whole.cast("long")).select(
         F.col("source").alias("aim"), "source_size", "target", "whole",
         (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest"))
-    cell = F.shiftright("draw", 48)
-    upto = Window.partitionBy("source").orderBy("cell")
-    sums = rows.groupBy("source", cell.alias("cell")).agg(F.sum("size").alias("words")).withColumn(
-        "before", F.sum("words").over(upto) - F.col("words"))
-    border = sums.join(aims, F.col("source").eqNullSafe(F.col("aim"))).where(
-        (F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words"))).select(
-        F.col("aim").alias("b_source"), F.col("cell").alias("b_cell"), "before", "rest")
+    # the cell in which the fraction ends: first of 4,096 of a source, then of 4,096 of that cell
+    border = _border(rows.groupBy("source", _cell(CELL_BITS).alias("cell")).agg(
+        F.sum("size").alias("words"), F.lit(0).cast("long").alias("base")), aims.select("aim", "rest"))
+    near = _within(rows, border, CELL_BITS)
+    border = _border(near.groupBy("source", _cell(2 * CELL_BITS).alias("cell")).agg(
+        F.sum("size").alias("words"), F.first("before").alias("base")), aims.select("aim", "rest"))
     inside = Window.partitionBy("b_source", "b_cell").orderBy("draw")
-    last = rows.join(border, F.col("source").eqNullSafe(F.col("b_source")) & (cell == F.col("b_cell")))
-    last = last.withColumn("middle", F.col("before") + F.sum("size").over(inside) - F.col("size") / 2)
+    last = _within(rows, border, 2 * CELL_BITS).withColumn(
+        "middle", F.col("before") + F.sum("size").over(inside) - F.col("size") / 2)
     last = last.groupBy("b_source").agg(
         F.max(F.when(F.col("middle") <= F.col("rest"), F.col("draw"))).alias("inner"),
         F.min("b_cell").alias("b_cell")).select(
-        "b_source", F.coalesce("inner", F.try_subtract(F.shiftleft("b_cell", 48), F.lit(1))).alias("last_draw"))
+        "b_source", F.coalesce("inner", F.try_subtract(
+            F.shiftleft("b_cell", 64 - 2 * CELL_BITS), F.lit(1))).alias("last_draw"))
     found, _ = store(aims.join(last, F.col("aim").eqNullSafe(F.col("b_source")), "left").select(
         "aim", "source_size", "target", "whole", "last_draw"), "mix-plan")
     return found
