@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -198,9 +199,11 @@ def reconcile(text: str, base, candidates) -> list[tuple[int, int, int]]:
             good.append((score * (b - a), kind, a, b))
     taken: list[tuple[int, int, int]] = []
     for _, kind, a, b in sorted(good, key=lambda s: (-s[0], s[2])):
-        if all(b <= c or d <= a for _, c, d in taken):
-            taken.append((kind, a, b))
-    return sorted(taken)
+        # taken spans are apart, so only the two neighbours can be in the way
+        i = bisect_left(taken, (a, b, kind))
+        if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or b <= taken[i][0]):
+            taken.insert(i, (a, b, kind))
+    return sorted((kind, a, b) for a, b, kind in taken)
 
 
 def added_spans(tagger: Tagger | None, texts: list[str], bases: list[list]) -> list[list]:
