@@ -31,7 +31,9 @@ from plumewatch.llm.memo import Memo, Odd, cut, whole
 from plumewatch.session import ship_package
 
 #: Pieces that a worker remembers, in each of two generations.
-MEMO = 300_000
+MEMO = 200_000
+#: Tested pairs of tokens that a worker remembers, and rows encoded at a time.
+PAIRS, ROWS = 400_000, 1000
 #: A rank file is a few MB at most; a larger one is no vocabulary.
 MAX_VOCABULARY_BYTES = 64_000_000
 
@@ -123,7 +125,7 @@ class Encoder:
         Both tokens are taken apart again, latest merge first. If at any time the halves at the border
         form a token that is merged before the merge just undone, the border would have vanished.
         """
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) > PAIRS:
             self.pairs.clear()
         good = self.pairs[a * self.size + b] = self._fits(a, b)
         return good
@@ -240,6 +242,13 @@ def _with(batch: pa.RecordBatch, added: dict[str, pa.Array]) -> pa.RecordBatch:
         names=names + list(added))
 
 
+def _small(batches):
+    """Slices of the batches, so that a worker holds the results of few rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids",
            decoded: str | None = None) -> DataFrame:
     """Adds `ids` (binary, little-endian unsigned 32-bit) and, if named, the bytes they decode to.
@@ -250,7 +259,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 
     def run(batches):
         encoder = _encoder(shared)
-        for batch in batches:
+        for batch in _small(batches):
             texts = batch.column(batch.schema.names.index(text))
             blobs = [encoder.encode(t.as_py()) for t in texts]
             added = {ids: pa.array(blobs, pa.binary())}
@@ -270,7 +279,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
 
     def run(batches):
         encoder = _encoder(shared)
-        for batch in batches:
+        for batch in _small(batches):
             blobs = batch.column(batch.schema.names.index(ids))
             yield _with(batch, {out: pa.array(
                 [encoder.decode(b.as_py()).decode("utf-8", "replace") for b in blobs], pa.string())})
