@@ -196,6 +196,14 @@ class Encoder:
             return self.chunks[key[:-1]] + self.signs[key[-1]]
         return self._plain(whole(key))
 
+    def forget(self) -> None:
+        """Gives back what was remembered; idle workers would hold it through later stages."""
+        for memo in (self.pieces, self.chunks, self.firsts):
+            memo.clear()
+            memo.older = {}
+        self.pairs.clear()
+        pa.default_memory_pool().release_unused()
+
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
@@ -266,6 +274,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
             if decoded:
                 added[decoded] = pa.array([encoder.decode(b) for b in blobs], pa.binary())
             yield _with(batch, added)
+        encoder.forget()
 
     fields = [T.StructField(ids, T.BinaryType())]
     if decoded:
