@@ -22,7 +22,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +33,7 @@ from plumewatch.session import ship_package
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 64, 32
 #: Training windows, at most, and windows that one document may give.
-SAMPLE, PER_DOCUMENT = 3000, 4
+SAMPLE, PER_DOCUMENT, LOTS = 3000, 4, 50
 STEPS = 250
 #: Mean posterior of an added span.
 SURE = 0.9
@@ -141,12 +141,18 @@ def _windows(batches):
 
 
 def train(df: DataFrame, text: str = "text", steps: int = STEPS, sample: int = SAMPLE) -> Tagger | None:
-    """A tagger fitted on the windows with the lowest hashes; None if no window has a span."""
+    """A tagger fitted on the windows with the lowest hashes; None if no window has a span.
+
+    The lowest ones are found in `LOTS` lots, so that no task and not the driver sees those of all tasks.
+    """
     ship_package(df.sparkSession)
+    lot = Window.partitionBy(F.pmod("pick", F.lit(LOTS))).orderBy("pick", "x")
     rows = df.select(F.col(name(text)).alias("text")).mapInArrow(
-        _windows, "pick long, x binary, y binary").orderBy("pick", "x").limit(sample).collect()
+        _windows, "pick long, x binary, y binary").withColumn("place", F.row_number().over(lot)).where(
+        F.col("place") <= -(-sample // LOTS)).select("pick", "x", "y").collect()
     if not rows:
         return None
+    rows.sort()
     x = np.frombuffer(b"".join(r.x for r in rows), np.int16).reshape(-1, WINDOW)
     y = np.frombuffer(b"".join(r.y for r in rows), np.int8).reshape(-1, WINDOW).astype(np.int64)
     if not y.any():
