@@ -29,7 +29,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of fingerprints that links connect the document with the smallest id stays."""
+    """Of documents that pairs with five-word similarity 0.8 or more connect the one with the smallest id stays."""
     return simhash.dedup(docs)
 
 

@@ -40,6 +40,14 @@ CHUNK = 4096
 BLOCK = 65_535
 #: Pairs compared at a time.
 PAIRS = 2_000_000
+#: Words in a shingle of the similarity that near copies are judged by, and the least similarity in tenths.
+JUDGED, LEAST = 5, 8
+#: Bands and smallest hashes in each: of pairs with similarity 0.8 a share of 1 - (1 - 0.8^5)^20 = 99.96 % meets.
+BANDS, DEPTH = 20, 5
+#: Texts of a group compared with each other in a task, and those of them that all tasks of a group have.
+TEXTS, PIVOTS = 256, 8
+#: Shingles whose smallest hashes are taken at a time, and columns of a block of common shingles.
+HASHES, COLUMNS = 1_000_000, 8_192
 
 
 def _mixed(hashes: np.ndarray, number: int) -> np.ndarray:
@@ -249,27 +257,171 @@ def clusters(df: DataFrame, text: str = "text", row_id: str = "doc_id", words: i
         "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def print_tables(df: DataFrame, text: str, words: int, prints: int, out: str = "prints") -> DataFrame:
-    """The other columns of `df` with an array of independent fingerprints."""
-    ship_package(df.sparkSession)
-    kept = [c for c in df.columns if c not in (text, out)]
+# ---------------------------------------------------------------- near copies by similarity
+
+def shingles(text: str | None, words: int = JUDGED) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles; a text without words has one, of the empty shingle."""
+    parts = (text or "").encode().lower().split()
+    digest, k = xxhash.xxh64_intdigest, min(words, len(parts))
+    return np.unique(np.array([digest(b" ".join(parts[i:i + k]), HASH_SEED)
+                               for i in range(len(parts) - k + 1)], np.uint64))
+
+
+def bands(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set `BANDS` keys; two sets share a key if the smallest hashes of a band agree."""
+    out = np.zeros((len(sets), BANDS), np.uint64)
+    sizes = np.cumsum([len(s) for s in sets])
+    at = 0
+    while at < len(sets):
+        base = sizes[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(sizes, base + HASHES, "right")))
+        hashes = np.concatenate(sets[at:to])
+        starts = np.concatenate([[0], sizes[at:to - 1] - base]).astype(np.int64)
+        for band in range(BANDS):
+            key = np.full(to - at, band, np.uint64)
+            for number in range(band * DEPTH, (band + 1) * DEPTH):
+                key = _mixed(key ^ np.minimum.reduceat(_mixed(hashes, number + 1), starts), BANDS * DEPTH + 1)
+            out[at:to, band] = key
+        at = to
+    return out
+
+
+def similar(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs whose sets have at least `LEAST` tenths of their union in common."""
+    found, column = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    # neighbouring columns hold common shingles, the others are left out
+    common = np.bincount(column, minlength=len(found)) > 1
+    place = np.where(common, np.cumsum(common) - 1, -1)[column]
+    sizes = np.array([len(s) for s in (*left, *right)])
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    row, place = row[place >= 0], place[place >= 0]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    n, shared = len(left), np.zeros((len(left), len(right)))
+    for low in range(0, int(common.sum()), COLUMNS):
+        i, j = np.searchsorted(place, (low, low + COLUMNS))
+        block = np.zeros((len(sizes), min(COLUMNS, int(common.sum()) - low)), np.float32)
+        block[row[i:j], place[i:j] - low] = 1
+        shared += block[:n] @ block[n:].T
+    union = sizes[:n, None] + sizes[None, n:] - shared
+    return np.nonzero(10 * shared >= LEAST * union)
+
+
+def _judge(inner: bool):
+    """Homes of each (root, chunk) against the guests that follow them, with `inner` also with each other."""
 
     def run(batches):
+        key, homes, owners, guests, visits = None, [], [], [], []
+
+        def met(sets, own):
+            x, y = similar(sets, homes)
+            a, b = np.array(own, np.int64)[x], np.array(owners, np.int64)[y]
+            a, b = forest(a[a != b], b[a != b])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        def close():
+            if inner and len(homes) > 1:
+                yield from met(homes, owners)
+            if homes and guests:
+                yield from met(guests, visits)
+
         for batch in batches:
-            texts = batch.column(batch.schema.names.index(text))
-            found = np.array([fingerprints_of(t.as_py(), words, prints) for t in texts], np.uint64)
-            flat = pa.array(found.reshape(-1).view(np.int64))
-            offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * prints)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.names.index(c)) for c in kept]
-                + [pa.ListArray.from_arrays(offsets, flat)], names=[*kept, out])
+            for root, chunk, role, rid, text in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4)):
+                if key != (root, chunk):
+                    yield from close()
+                    key, homes, owners, guests, visits = (root, chunk), [], [], [], []
+                if role == 0:
+                    homes.append(shingles(text.as_py()))
+                    owners.append(rid)
+                    continue
+                guests.append(shingles(text.as_py()))
+                visits.append(rid)
+                if len(guests) == TEXTS and homes:
+                    yield from met(guests, visits)
+                    guests, visits = [], []
+        yield from close()
+
+    return run
+
+
+def _judged(placed: DataFrame, inner: bool) -> DataFrame:
+    table = placed.select("root", "chunk", "role", "rid", "text").repartition("root", "chunk")
+    return store(table.sortWithinPartitions("root", "chunk", "role").mapInArrow(
+        _judge(inner), "a long, b long"), "similar-texts")[0]
+
+
+def similar_groups(members: DataFrame) -> DataFrame:
+    """`node` and `root` of the texts (rid, root, text) that pairs of similar texts of one root connect.
+
+    All pairs of a root count. A root of up to `TEXTS` texts is one task's work. A larger one is cut into
+    chunks; a first pass compares the texts of each chunk with each other and with a few pivots, which
+    connects a dense group. Only the texts left outside its largest group then meet all chunks.
+    """
+    ship_package(members.sparkSession)
+    sizes, _ = store(members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(
+        F.col("n") > TEXTS).select(F.col("root").alias("h_root"), F.ceil(F.col("n") / TEXTS).cast("int").alias(
+            "chunks")), "large-roots")
+    if sizes.isEmpty():
+        edges = _judged(members.select("root", F.lit(0).alias("chunk"), F.lit(0).alias("role"), "rid", "text"), True)
+        return components(edges, "similar-groups")
+    cut, _ = store(members.join(sizes, F.col("root") == F.col("h_root"), "left").select(
+        "root", "rid", "text", F.coalesce("chunks", F.lit(1)).alias("chunks"),
+        F.pmod(F.xxhash64("rid"), F.coalesce("chunks", F.lit(1))).cast("int").alias("chunk")), "cut-texts")
+    homes = cut.select("root", "chunk", F.lit(0).alias("role"), "rid", "text")
+
+    def guests(rows):
+        return rows.select("root", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
+                           F.lit(1).alias("role"), "rid", "text")
+
+    large = cut.where("chunks > 1")
+    # `row_number` is applied inside each task before the shuffle
+    first = large.select("root", "rid").withColumn("place", F.row_number().over(
+        Window.partitionBy("root").orderBy("rid"))).where(F.col("place") <= PIVOTS).select("rid")
+    edges = _judged(homes.unionByName(guests(large.join(first, "rid", "left_semi"))), True)
+    found = components(edges, "similar-groups")
+    parts, _ = store(large.select("root", "rid").join(found.select(
+        F.col("node").alias("rid"), F.col("root").alias("part")), "rid", "left").select(
+        "root", "rid", F.coalesce("part", "rid").alias("part")), "similar-parts")
+    most = parts.groupBy("root", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(
+        F.max(F.struct("n", "part")).alias("most"))
+    outside, _ = store(parts.join(most, "root").where("part <> most.part").select("root", "rid"), "outside-texts")
+    if outside.isEmpty():
+        return found
+    # roots that the first pass connected whole are done
+    open_roots = outside.select("root").distinct()
+    again = homes.join(open_roots, "root", "left_semi").unionByName(
+        guests(cut.join(outside.select("rid"), "rid", "left_semi")))
+    return components(edges.unionByName(_judged(again, False)), "similar-groups")
+
+
+def print_tables(df: DataFrame, text: str, words: int, prints: int, out: str = "prints",
+                 keys: str = "bands") -> DataFrame:
+    """The other columns of `df` with an array of independent fingerprints and one of band keys."""
+    ship_package(df.sparkSession)
+    kept = [c for c in df.columns if c not in (text, out, keys)]
 
-    schema = df.select(*[name(c) for c in kept], F.array().cast("array<long>").alias(out)).schema
+    def lists(found):
+        flat = pa.array(found.reshape(-1).view(np.int64))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1]), flat)
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1_000):
+                batch = whole.slice(at, 1_000)
+                texts = [t.as_py() for t in batch.column(batch.schema.names.index(text))]
+                found = np.array([fingerprints_of(t, words, prints) for t in texts], np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(batch.schema.names.index(c)) for c in kept]
+                    + [lists(found), lists(bands([shingles(t) for t in texts]))], names=[*kept, out, keys])
+
+    schema = df.select(*[name(c) for c in kept], F.array().cast("array<long>").alias(out),
+                       F.array().cast("array<long>").alias(keys)).schema
     return df.mapInArrow(run, schema)
 
 
 def near_groups(rows: DataFrame, prints: int) -> DataFrame:
-    """`node` and `root` of the rows (rid, prints) that any of their fingerprints links with others."""
+    """`node` and `root` of the rows (rid, prints, bands) that any fingerprint or band links with others."""
     edges = None
     for k in range(prints):
         own = rows.select("rid", F.col("prints")[k].alias("print"))
@@ -281,28 +433,42 @@ def near_groups(rows: DataFrame, prints: int) -> DataFrame:
         part = stars.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(
             same.select(F.col("rid").alias("a"), F.col("rep").alias("b")))
         edges = part if edges is None else edges.unionByName(part)
-    return components(edges, "near-groups")
+    held = rows.select("rid", F.explode("bands").alias("band"))
+    shared, _ = store(held.groupBy("band").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("n")).where(
+        "n > 1").select("band", "rep"), "band-table")
+    met = held.join(shared, "band").where("rid <> rep").select(F.col("rid").alias("a"), F.col("rep").alias("b"))
+    return components(edges.unionByName(met.distinct()), "near-groups")
 
 
 def dedup(df: DataFrame, text: str = "text", row_id: str = "doc_id", words: int = 2, prints: int = 4,
           ) -> DataFrame:
     """One row of each near-duplicate group, with its own columns: the one with the smallest id.
 
-    Rows belong together if any of `prints` independent fingerprints of their word shingles links them. One
-    fingerprint within three bits finds few pairs whose five-word similarity is about 0.8; four of two-word
-    shingles find most, and hardly any below 0.7 (figures in the README).
+    Rows belong together if a chain of pairs connects them whose sets of five-word shingles have at least
+    0.8 of their union in common. Candidates are the groups linked by any of `prints` independent
+    fingerprints of word shingles or by equal bands of smallest hashes; inside these groups the whole texts
+    are compared, and no candidate link counts by itself (figures in the README).
 
     Of several rows with the smallest id, the one whose text has the smallest hash stays, one of them if
-    they are equal. Texts are shuffled once, for the semi-join with the rows that stay.
+    they are equal. Texts are shuffled for the semi-joins with the candidates and with the rows that stay.
     """
     content = F.xxhash64(F.coalesce(F.col(name(text)), F.lit("")))
     rows, _ = store(print_tables(df.select(
         F.col(name(row_id)).alias("doc_id"), content.alias("content"),
         F.monotonically_increasing_id().alias("rid"), F.col(name(text)).alias("text")),
         "text", words, prints), "print-rows")
-    found = rows.join(near_groups(rows, prints), F.col("rid") == F.col("node"), "left")
     order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "content")
-    stay = found.groupBy(F.coalesce("root", "rid")).agg(F.min(order).alias("first")).select(
+    # equal texts are one from here on
+    texts, _ = store(rows.groupBy("content", "prints", "bands").agg(
+        F.min(order).alias("first"), F.min("rid").alias("rid")), "print-texts")
+    groups, _ = store(texts.select("rid", "first").join(near_groups(texts, prints), F.col("rid") == F.col("node")).select(
+        "rid", "root", F.col("first.doc_id").alias("s_id"), F.col("first.content").alias("s_content")), "candidates")
+    members, _ = store(df.select(
+        F.col(name(row_id)).alias("id"), content.alias("content"), F.col(name(text)).alias("text")).join(
+        groups, F.col("id").eqNullSafe(F.col("s_id")) & (F.col("content") == F.col("s_content"))).select(
+        "rid", "root", "text").dropDuplicates(["rid"]), "candidate-texts")
+    found = texts.select("rid", "first").join(similar_groups(members), F.col("rid") == F.col("node"), "left")
+    stay = found.groupBy(F.coalesce("root", "rid")).agg(F.min("first").alias("first")).select(
         F.col("first.doc_id").alias("s_id"), F.col("first.content").alias("s_content")).distinct()
     ids = Window.partitionBy("id", "content").orderBy(F.lit(1))
     return df.select(packed(df).alias("row"), F.col(name(row_id)).alias("id"), content.alias("content")).join(
