@@ -4,7 +4,7 @@ Every text is scanned for the base kinds (assigned passwords and tokens, access
 and for further candidates: long strings of a key alphabet that mix letters and digits. Each candidate's
 hash is counted over the whole corpus: in how many documents it occurs and how many owners (sources) have
 it. A string that several owners share is a published example or a default; one that a single owner uses
-looks like a live credential. Further candidates become spans only in the latter case; base spans
+looks like a live credential, in however many documents and copies. Further candidates become spans only in the latter case; base spans
 always stay, and the report says how many of them look live.
 
 Positions come from the pieces between matches, so they count code points and texts are never cut. The hash
@@ -24,8 +24,6 @@ from plumewatch.llm.frames import documents, name, store
 
 #: Owners from which on a candidate counts as widely copied.
 SHARED_OWNERS = 2
-#: Documents from which on it does, whoever owns them.
-SHARED_DOCUMENTS = 20
 
 ASSIGN = (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?"""
           r"""([A-Za-z0-9+/_.=-]+)""")
@@ -103,11 +101,10 @@ def _listed(spans: Column) -> Column:
 
 
 def secrets(df: DataFrame, text: str = "text", row_id: str = "doc_id", owner: str = "source",
-            shared_owners: int = SHARED_OWNERS, shared_documents: int = SHARED_DOCUMENTS) -> DataFrame:
+            shared_owners: int = SHARED_OWNERS) -> DataFrame:
     """doc_id, `base` and `spans` (sorted arrays of spans with the secret and whether it looks live)."""
     rows = scan(df, text, row_id, owner)
-    stats = ownership(rows).select(F.col("hash").alias("s_hash"), (
-        (F.col("owners") < shared_owners) & (F.col("documents") < shared_documents)).alias("live"))
+    stats = ownership(rows).select(F.col("hash").alias("s_hash"), (F.col("owners") < shared_owners).alias("live"))
     each = rows.select("rid", F.explode(F.concat("base", "more")).alias("span")).withColumn(
         "hash", F.xxhash64("span.secret"))
     # spans of one row come together again; a row never has more than its own text gave
