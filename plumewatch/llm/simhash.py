@@ -165,7 +165,8 @@ def _compare(batches):
         chunk = batch.column(1).to_numpy(zero_copy_only=False)
         role = batch.column(2).to_numpy(zero_copy_only=False)
         own = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        if held_key == (key[0], chunk[0]):
+        continued = held_key == (key[0], chunk[0])
+        if continued:
             n = len(held)
             key, chunk = np.concatenate([np.full(n, key[0]), key]), np.concatenate(
                 [np.full(n, chunk[0]), chunk])
@@ -179,7 +180,10 @@ def _compare(batches):
         held_key, held = (key[-1], chunk[-1]), own[last:][role[last:] == 0].copy()
         # each visitor meets the homes at the head of its run
         run = np.repeat(np.arange(len(sizes)), sizes)
-        visits = np.flatnonzero((role == 1) & (homes[run] > 0) & (sizes[run] > 2))
+        # a home and its own visit give no link; part of a run that began in another batch says nothing of its size
+        whole = sizes > 2
+        whole[0] |= continued
+        visits = np.flatnonzero((role == 1) & (homes[run] > 0) & whole[run])
         meets = homes[run[visits]]
         upto = np.cumsum(meets)
         left, right = [], []
