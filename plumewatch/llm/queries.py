@@ -14,6 +14,7 @@ from plumewatch.llm.pii import op7_char_crf
 from plumewatch.llm.secrets import op10_ownership
 from plumewatch.llm.shards import op2_differencing
 from plumewatch.llm.simhash import op5_anchor_simhash
+from plumewatch.llm.sketches import op13_bottom_k
 from plumewatch.llm.tokenfiles import op4_elias_fano
 from plumewatch.llm.vectors import op8_metric_join
 
@@ -28,5 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_metric_join": op8_metric_join,
     "op9_family_svm": op9_family_svm,
     "op10_ownership": op10_ownership,
+    "op13_bottom_k": op13_bottom_k,
 }
 SQL: dict[str, str] = {"op6_content_sort": OP6_SQL}
