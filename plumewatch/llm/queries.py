@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumewatch.llm.alignment import op11_common_ends
 from plumewatch.llm.bpe import op1_byte_bpe
 from plumewatch.llm.exact import OP6_SQL, op6_content_sort
 from plumewatch.llm.language import op9_family_svm
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_metric_join": op8_metric_join,
     "op9_family_svm": op9_family_svm,
     "op10_ownership": op10_ownership,
+    "op11_common_ends": op11_common_ends,
     "op13_bottom_k": op13_bottom_k,
 }
 SQL: dict[str, str] = {"op6_content_sort": OP6_SQL}
