@@ -11,6 +11,7 @@ from plumewatch.llm.bpe import op1_byte_bpe
 from plumewatch.llm.exact import OP6_SQL, op6_content_sort
 from plumewatch.llm.language import op9_family_svm
 from plumewatch.llm.mixing import op3_water_filling
+from plumewatch.llm.phrases import OP12_SQL, op12_prefix_free
 from plumewatch.llm.pii import op7_char_crf
 from plumewatch.llm.secrets import op10_ownership
 from plumewatch.llm.shards import op2_differencing
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_family_svm": op9_family_svm,
     "op10_ownership": op10_ownership,
     "op11_common_ends": op11_common_ends,
+    "op12_prefix_free": op12_prefix_free,
     "op13_bottom_k": op13_bottom_k,
 }
-SQL: dict[str, str] = {"op6_content_sort": OP6_SQL}
+SQL: dict[str, str] = {"op6_content_sort": OP6_SQL, "op12_prefix_free": OP12_SQL}
