@@ -10,11 +10,12 @@ from plumewatch.operators import audit, rules, summaries, timeline
 from plumewatch.plans import views as V
 from plumewatch.plans.registry import query
 from plumewatch.plans.score_queries import RESULT_SQL, RUN_SQL
+from plumewatch.schemas import EVENTS
 from plumewatch.session import materialize, scratch_path
 from plumewatch.sources import telemetry as src
 from plumewatch.streaming import captures as live
 from plumewatch.streaming import state
-from plumewatch.streaming.runs import drain, drain_latest, event_stream
+from plumewatch.streaming.runs import event_stream
 from plumewatch.streaming.uplinks import decode_available
 
 BYTE = "lpad(upper(to_hex(({})::BIGINT & 255)),2,'0')"
@@ -368,8 +369,44 @@ def continuous_decode(spark, sf):
 @query("T2_stateful_alert_cap", "alerts", CAP_SQL)
 def stateful_alert_cap(spark, sf):
     alerts = _timed(V.alerts_from(event_stream(spark, sf)))
-    return drain_latest(state.capped_alert_stream(alerts), ["node_id", "hour_start"], "capped").select(
-        "node_id", "event_id", "rank")
+    return state.capped_alerts(alerts)[0].select("node_id", "event_id", "rank")
+
+
+# Events in three batches by time, a seventh of them held back to the last one, and the watermark before each batch.
+def _batches_sql(rows, delay_ms, ends):
+    return f"""b AS (SELECT *, epoch_us(ts)//1000 AS seen_ms, {ends} AS ends FROM ({rows})),
+w AS (SELECT i AS batch, greatest(0, coalesce((SELECT max(seen_ms) FROM b WHERE b.batch<i)-{delay_ms}, 0)) AS reached
+ FROM (SELECT unnest(range(3)) AS i)),
+s AS (SELECT b.*, ends<=reached AS late FROM b JOIN w USING (batch))"""
+
+
+def _batch_sql(key, third):
+    return f"CASE WHEN {key}%7=3 THEN 2 ELSE least(2, {third}) END AS batch"
+
+
+def _in_batches(spark, sf, build):
+    """Feed the events to a stream in three runs of one checkpoint; rows held back come after their time."""
+    path, folder = scratch_path(spark, "late-events"), scratch_path(spark, "late-run")
+    third = F.floor(F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)") / 864000)
+    batch = F.when(F.col("event_id") % 7 == 3, 2).otherwise(F.least(F.lit(2), third))
+    for i in range(3):
+        V.table(spark, sf, "events").where(batch == i).write.mode("append").parquet(path)
+        out = build(spark.readStream.schema(EVENTS).parquet(path), folder)
+    return out
+
+
+@query("T2_late_alerts", "alerts", f"""
+WITH {_batches_sql(f"SELECT *, {_batch_sql('event_id', 'secs//36000')} FROM alerts", 3600000,
+                   "(epoch_us(ts)//3600000000+1)*3600000+60000")}
+SELECT node_id, event_id, rank, false AS late FROM (SELECT *, row_number() OVER (PARTITION BY node_id, date, hour ORDER BY ts, event_id) AS rank
+ FROM s WHERE NOT late) WHERE rank<=2
+UNION ALL SELECT node_id, event_id, NULL, true FROM s WHERE late""")
+def late_alerts(spark, sf):
+    """The streamed cap over batches that are out of order, with the alerts that came after their hour had closed."""
+    capped, late = _in_batches(spark, sf, lambda events, folder: state.capped_alerts(
+        _timed(V.alerts_from(events)), folder=folder))
+    return capped.select("node_id", "event_id", "rank", F.lit(False).alias("late")).unionByName(
+        late.select("node_id", "event_id", F.lit(None).cast("int").alias("rank"), F.lit(True).alias("late")))
 
 
 @query("T3_daily_notices", "telemetry", """
@@ -377,8 +414,25 @@ SELECT DISTINCT node_id, date::VARCHAR AS date, 'heartbeat' AS kind FROM telemet
 UNION ALL SELECT DISTINCT node_id, date::VARCHAR, 'bateria_baja' FROM telemetry WHERE clock_ok AND soc<15 AND hour>=6 AND hour<18""")
 def daily_notices(spark, sf):
     readings = _timed(V.telemetry_from(event_stream(spark, sf)))
-    return drain(live.once_a_day(readings), "notices").withColumn(
-        "date", F.col("date").cast("string"))
+    return live.once_a_day(readings)[0].select("node_id", F.col("date").cast("string").alias("date"), "kind")
+
+
+_NOTICES = f"""SELECT *, {_batch_sql('event_id', 'secs//864000')} FROM (
+SELECT *, 'heartbeat' AS kind FROM telemetry WHERE clock_ok AND hour>=7 AND hour<18 AND soc>=15
+UNION ALL SELECT *, 'bateria_baja' FROM telemetry WHERE clock_ok AND soc<15 AND hour>=6 AND hour<18)"""
+
+
+@query("T3_late_notices", "telemetry", f"""
+WITH {_batches_sql(_NOTICES, 86400000, "(epoch_us(date::TIMESTAMP)//86400000000+1)*86400000")}
+SELECT node_id, kind, event_id, false AS late FROM (SELECT *, row_number() OVER (PARTITION BY node_id, date, kind ORDER BY ts, event_id) AS r
+ FROM s WHERE NOT late) WHERE r=1
+UNION ALL SELECT node_id, kind, event_id, true FROM s WHERE late""")
+def late_notices(spark, sf):
+    """Daily notices over batches that are out of order, with the readings that came after their day had closed."""
+    notices, late = _in_batches(spark, sf, lambda events, folder: live.once_a_day(
+        _timed(V.telemetry_from(events)), folder=folder))
+    return notices.select("node_id", "kind", "event_id", F.lit(False).alias("late")).unionByName(
+        late.select("node_id", "kind", "event_id", F.lit(True).alias("late")))
 
 
 def _capture_stream(spark, sf):
@@ -416,4 +470,26 @@ def streamed_runs(spark, sf):
 SELECT *, tiles_over>=1 AS alert FROM ({RESULT_SQL.strip()} FROM tile_scores GROUP BY frame_id)""")
 def capture_stream(spark, sf):
     caps, tiles = _capture_stream(spark, sf)
-    return drain_latest(live.capture_alerts(_timed(tiles)), ["frame_id"], "capture-alerts")
+    return live.capture_alerts(_timed(tiles))[0]
+
+
+@query("T6_late_tiles", "tile_scores", f"""
+WITH {_batches_sql(f"SELECT *, {_batch_sql('(frame_id*32+tile_id)', '(epoch_us(ts)//1000000-1704067200)//864000')} FROM tile_scores",
+                   600000, "epoch_us(ts)//1000")}
+SELECT frame_id, NULL AS tile_id, tiles_total, tiles_over, prob_max_x1000, x_max, y_max, false AS late FROM (
+ {RESULT_SQL.strip()} FROM s WHERE NOT late GROUP BY frame_id)
+UNION ALL SELECT frame_id, tile_id, NULL, NULL, NULL, NULL, NULL, true FROM s WHERE late""")
+def late_tiles(spark, sf):
+    """Capture results over batches that are out of order, with the tiles that came after their frame had closed."""
+    tile = "frame_id long, ts timestamp, tile_id int, x int, y int, prob_x1000 int"
+    path, folder = scratch_path(spark, "late-tiles"), scratch_path(spark, "late-run")
+    tiles = _timed(V.tile_scores(spark, sf)).select(*[c.split()[0] for c in tile.split(", ")])
+    third = F.floor((F.unix_seconds("ts") - V.EPOCH0) / 864000)
+    batch = F.when((F.col("frame_id") * 32 + F.col("tile_id")) % 7 == 3, 2).otherwise(F.least(F.lit(2), third))
+    for i in range(3):
+        tiles.where(batch == i).write.mode("append").parquet(path)
+        frames, late = live.capture_alerts(spark.readStream.schema(tile).parquet(path), folder=folder)
+    cols = ["tiles_total", "tiles_over", "prob_max_x1000", "x_max", "y_max"]
+    blank = [F.lit(None).cast(frames.schema[c].dataType).alias(c) for c in cols]
+    return frames.select("frame_id", F.lit(None).cast("int").alias("tile_id"), *cols, F.lit(False).alias("late")).unionByName(
+        late.select("frame_id", "tile_id", *blank, F.lit(True).alias("late")))

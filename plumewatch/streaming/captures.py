@@ -2,38 +2,83 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumewatch import constants as C
 from plumewatch.functions import policy
-from plumewatch.operators.rules import capture_result
+from plumewatch.streaming.closing import Rule, closing, drain_closing
 
 
-def capture_alerts(tiles: DataFrame, delay: str = "10 minutes",
-                   threshold_x1000: int = C.ALERT_X1000, min_tiles: int = C.MIN_TILES) -> DataFrame:
-    """One result per frame; tiles that come after the watermark has passed its time are dropped.
+class Capture(Rule):
+    """Tiles of a frame: how many, how many over the threshold, and the best one."""
 
-    `tiles` is a stream with frame_id, ts (TIMESTAMP), tile_id, x, y and prob_x1000; all tiles of a
-    frame carry its capture time. In append mode a frame appears once it is closed. `drain_latest`
-    runs it in update mode, which also gives the frames still open at the end.
+    result = ("frame_id long, tiles_total long, tiles_over long, prob_max_x1000 int, x_max int, y_max int, "
+              "alert boolean")
+    reads = ("frame_id", "tile_id", "x", "y", "prob_x1000")
+
+    def __init__(self, threshold_x1000: int, min_tiles: int):
+        self.threshold, self.min_tiles = threshold_x1000, min_tiles
+
+    def fold(self, held, rows: pd.DataFrame):
+        total, over, best = held or [0, 0, None]
+        scored = rows[rows["prob_x1000"].notna()]
+        over += int((scored["prob_x1000"] >= self.threshold).sum())
+        if len(scored):
+            top = scored[scored["prob_x1000"] == scored["prob_x1000"].max()]
+            first = top.loc[top["tile_id"].idxmin()]
+            # highest score, then lowest tile
+            mine = [int(first["prob_x1000"]), -int(first["tile_id"]), int(first["x"]), int(first["y"])]
+            best = mine if best is None else max(best, mine)
+        return [total + len(rows), over, best]
+
+    def shown(self, key, held):
+        total, over, best = held
+        x, y = best[2:] if best and best[0] > 0 else (-1, -1)
+        return [(int(key[1]), total, over, best[0] if best else 0, x, y, 0 < self.min_tiles <= over)]
+
+
+def capture_alerts(tiles: DataFrame, delay: str = "10 minutes", threshold_x1000: int = C.ALERT_X1000,
+                   min_tiles: int = C.MIN_TILES, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """One result per frame, open frames included, and the tiles that came after their frame had closed.
+
+    `tiles` is a stream with frame_id, ts (TIMESTAMP), tile_id, x, y and prob_x1000; all tiles of a frame carry
+    its capture time. A frame closes when the watermark reaches that time.
     """
-    return capture_result(
-        tiles.withWatermark("ts", delay), threshold_x1000, min_tiles, ("ts", "frame_id"))
+    rows = tiles.select("frame_id", "tile_id", "x", "y", "prob_x1000", "ts", F.unix_millis("ts").alias("at_ms"))
+    stream = closing(rows, ["at_ms", "frame_id"], Capture(threshold_x1000, min_tiles), F.col("at_ms"), delay)
+    return drain_closing(stream, ["frame_id"], "capture-alerts", folder)
+
+
+class Notice(Rule):
+    """One notice for each key, with the earliest reading that asks for it."""
+
+    result = "node_id int, date date, kind string, event_id long"
+    reads = ("node_id", "event_id", "kind", "at_us")
+
+    def fold(self, held, rows: pd.DataFrame):
+        first = rows.sort_values(["at_us", "event_id"]).iloc[0]
+        mine = [int(first["at_us"]), int(first["event_id"])]
+        return mine if held is None else min(held, mine)
+
+    def shown(self, key, held):
+        return [(int(key[0]), key[1], key[2], held[1])]
 
 
-def once_a_day(readings: DataFrame, delay: str = "1 day") -> DataFrame:
-    """One notice per (node, date, kind): heartbeats after the set hour, low-battery notices.
+def once_a_day(readings: DataFrame, delay: str = "1 day", folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """One notice per (node, date, kind), from the earliest reading; and the readings later than their date.
 
-    `readings` is a stream with node_id, ts (TIMESTAMP), hour, clock_ok and soc. The first row seen
-    wins, which need not be the earliest one.
+    `readings` is a stream with node_id, event_id, ts (TIMESTAMP), hour, clock_ok and soc. Kinds are heartbeats
+    after the set hour and low-battery notices. A date closes when the watermark reaches its end.
     """
     seen = [F.col(c) for c in ("hour", "clock_ok", "soc")]
     kinds = F.array_compact(F.array(
         F.when(policy.sends_heartbeat(*seen), F.lit("heartbeat")),
         F.when(policy.sends_battery_notice(*seen), F.lit("bateria_baja"))))
-    return (
-        readings.withWatermark("ts", delay)
-        .select("node_id", "ts", F.to_date("ts").alias("date"), F.explode(kinds).alias("kind"))
-        .dropDuplicatesWithinWatermark(["node_id", "date", "kind"])
-        .select("node_id", "date", "kind"))
+    rows = readings.select(
+        "node_id", "event_id", "ts", F.unix_micros("ts").alias("at_us"), F.to_date("ts").alias("date"),
+        F.explode(kinds).alias("kind"))
+    end = F.unix_millis(F.date_add("date", 1).cast("timestamp"))
+    keys = ["node_id", "date", "kind"]
+    return drain_closing(closing(rows, keys, Notice(), end, delay), keys, "notices", folder)

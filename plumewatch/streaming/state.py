@@ -2,67 +2,49 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plumewatch import constants as C
 from plumewatch.operators.timeline import confirmed_scores, newest_scores, run_lengths
 from plumewatch.session import scratch_path
+from plumewatch.streaming.closing import Rule, closing, drain_closing
 
-CAPPED = T.StructType([
-    T.StructField("node_id", T.IntegerType()),
-    T.StructField("hour_start", T.LongType()),
-    T.StructField("event_id", T.LongType()),
-    T.StructField("rank", T.IntegerType()),
-])
-
-
-def hour_cap(limit: int, grace_ms: int):
-    """Function for one node hour: holds its earliest alerts and emits them whenever they change."""
-    def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = json.loads(state.get[0]) if state.exists else []
-        best = held
-        for chunk in chunks:
-            # only the earliest rows can pass, whatever batch they come in
-            early = chunk.sort_values(["ts", "event_id"]).head(limit)
-            rows = [[t.value, int(e)] for t, e in zip(early["ts"], early["event_id"])]
-            best = sorted(best + rows)[:limit]
-        state.update((json.dumps(best),))
-        hour_end = (int(key[1]) + 3600) * 1000
-        state.setTimeoutTimestamp(max(hour_end + grace_ms, state.getCurrentWatermarkMs() + 1))
-        if best != held:
-            yield pd.DataFrame({
-                "node_id": [int(key[0])] * len(best), "hour_start": [int(key[1])] * len(best),
-                "event_id": [e for _, e in best], "rank": range(1, len(best) + 1)})
-
-    return step
-
-
-def capped_alert_stream(alerts: DataFrame, limit: int = C.MAX_ALERTS_PER_HOUR,
-                        delay: str = "1 hour", grace_ms: int = 60_000) -> DataFrame:
-    """Hourly alert cap on a stream with node_id, event_id and ts (TIMESTAMP), in update mode.
+class HourCap(Rule):
+    """The earliest alerts of a node hour."""
+
+    result = "node_id int, hour_start long, event_id long, rank int"
+    reads = ("node_id", "event_id", "at_us")
+
+    def __init__(self, limit: int):
+        self.limit = limit
+
+    def fold(self, held, rows: pd.DataFrame):
+        # only the earliest rows can pass, whatever batch they come in
+        early = rows.sort_values(["at_us", "event_id"]).head(self.limit)
+        return sorted((held or []) + [[int(t), int(e)] for t, e in zip(early["at_us"], early["event_id"])])[:self.limit]
+
+    def shown(self, key, held):
+        return [(int(key[0]), int(key[1]), e, i + 1) for i, (_, e) in enumerate(held)]
+
+
+def capped_alerts(alerts: DataFrame, limit: int = C.MAX_ALERTS_PER_HOUR, delay: str = "1 hour",
+                  grace_ms: int = 60_000, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Hourly alert cap on a stream with node_id, event_id and ts (TIMESTAMP): capped alerts and late ones.
 
     The earliest alerts of a node hour pass, not the first to arrive: when an earlier one comes later, the
-    hour is emitted anew, and its newest version counts (`drain_latest`). The grouping key holds the hour,
-    so a busy node spreads over its hours; at most `limit` alerts are kept for each, until the watermark
-    has passed it.
+    hour is emitted anew, and its newest version counts. The grouping key holds the hour, so a busy node
+    spreads over its hours; at most `limit` alerts are kept for each. An hour closes when the watermark is
+    `grace_ms` past its end; alerts of a closed hour are the second table.
     """
-    return (
-        alerts.select("node_id", "event_id", "ts").withWatermark("ts", delay)
-        .withColumn("hour_start", F.unix_seconds(F.date_trunc("hour", F.col("ts"))))
-        .groupBy("node_id", "hour_start")
-        .applyInPandasWithState(
-            hour_cap(limit, grace_ms), CAPPED, "held string", "update",
-            GroupStateTimeout.EventTimeTimeout))
+    rows = alerts.select("node_id", "event_id", "ts", F.unix_micros("ts").alias("at_us"), F.unix_seconds(
+        F.date_trunc("hour", F.col("ts"))).alias("hour_start"))
+    end = (F.col("hour_start") + 3600) * 1000 + grace_ms
+    return drain_closing(closing(rows, ["node_id", "hour_start"], HourCap(limit), end, delay),
+                         ["node_id", "hour_start"], "capped", folder)
 
 
 def _with_history(stream: DataFrame, step: Callable[[DataFrame, DataFrame | None],

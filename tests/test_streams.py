@@ -9,7 +9,6 @@ from plumewatch.schemas import EVENTS
 from plumewatch.session import scratch_path
 from plumewatch.streaming import captures, state
 from plumewatch.operators.rules import capture_result
-from plumewatch.streaming.runs import drain, drain_latest
 from plumewatch.streaming.uplinks import decode_available
 
 FILES = 4
@@ -38,10 +37,6 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def capped(df):
-    return drain_latest(df, ["node_id", "hour_start"], "t").select("node_id", "event_id", "rank")
-
-
 def test_earliest_alerts_pass_whatever_the_order_of_batches(spark, sf, tmp_path):
     """Files with rows of all times: the same as the batch operator."""
     path = str(tmp_path / "mixed")
@@ -49,17 +44,20 @@ def test_earliest_alerts_pass_whatever_the_order_of_batches(spark, sf, tmp_path)
     for i in (2, 0, 3, 1):
         events.where(F.pmod(F.xxhash64("event_id"), F.lit(4)) == i).coalesce(1).write.mode(
             "append").parquet(path)
-    got = capped(state.capped_alert_stream(timed(V.alerts_from(stream(spark, path))), delay="60 days"))
+    got, late = state.capped_alerts(timed(V.alerts_from(stream(spark, path))), delay="60 days")
+    got = got.select("node_id", "event_id", "rank")
+    assert late.isEmpty()
     want = timeline.capped_alerts(V.alerts_from(events)).select("node_id", "event_id", "rank")
     assert rows(got) == rows(want)
     tiles = timed(V.tiles_of(V.captures_from(stream(spark, path))))
-    frames = drain_latest(captures.capture_alerts(tiles, delay="60 days"), ["frame_id"], "frames")
+    frames, late = captures.capture_alerts(tiles, delay="60 days")
+    assert late.isEmpty()
     batch = capture_result(V.tile_scores(spark, sf))
     assert rows(frames.select(batch.columns)) == rows(batch)
 
 
 def test_alert_cap_across_batches(spark, sf, split_events):
-    got = capped(state.capped_alert_stream(timed(V.alerts_from(stream(spark, split_events)))))
+    got = state.capped_alerts(timed(V.alerts_from(stream(spark, split_events))))[0].select("node_id", "event_id", "rank")
     want = timeline.capped_alerts(V.alerts_from(V.table(spark, sf, "events"))).select(
         "node_id", "event_id", "rank")
     assert rows(got) == rows(want)
@@ -106,24 +104,41 @@ def test_decode_across_batches(spark, sf, split_events):
     assert ids | broken == set(range(1000)) and not ids & broken
 
 
-def test_late_tiles_are_dropped(spark, sf, tmp_path):
-    path = str(tmp_path / "tiles")
+def test_every_tile_is_in_a_frame_or_in_the_late_table(spark, tmp_path):
+    path, folder = str(tmp_path / "tiles"), str(tmp_path / "run")
     tile = "frame_id long, ts timestamp, tile_id int, x int, y int, prob_x1000 int"
 
     def put(*batch):
         spark.createDataFrame(
-            [(f, None, t, 0, 0, p, s) for f, s, t, p in batch], tile + ", s long"
+            [(f, None, t, 7, 8, p, s) for f, s, t, p in batch], tile + ", s long"
         ).withColumn("ts", F.timestamp_seconds("s")).drop("s").coalesce(1).write.mode(
             "append").parquet(path)
+        tiles = spark.readStream.schema(tile).parquet(path)
+        frames, late = captures.capture_alerts(tiles, folder=folder)
+        return ({r.frame_id: tuple(r)[1:] for r in frames.collect()},
+                sorted((r.frame_id, r.tile_id, r.prob_x1000) for r in late.collect()))
 
     base = 1704067200
-    put((1, base, 0, 980), (1, base, 1, 990), (2, base + 60, 0, 0))
-    put((3, base + 7200, 0, 10))
-    put((5, base + 7260, 0, 10))  # the batch that closes frame 1
-    put((1, base, 2, 999), (4, base + 20000, 0, 1))  # frame 1 is closed by now
-    tiles = spark.readStream.schema(tile).option("maxFilesPerTrigger", 1).parquet(path)
-    got = {r.frame_id: (r.tiles_total, r.tiles_over, r.prob_max_x1000, r.x_max, r.alert)
-           for r in drain(captures.capture_alerts(tiles), "late").collect()}
-    assert got[1] == (2, 2, 990, 0, True)
-    assert got[2] == (1, 0, 0, -1, False)
-    assert 4 not in got
+    frames, late = put((1, base, 1, 990), (1, base, 0, 980), (2, base + 60, 0, 0))
+    assert frames == {1: (2, 2, 990, 7, 8, True), 2: (1, 0, 0, -1, -1, False)} and late == []
+    frames, late = put((1, base, 2, None), (3, base + 7200, 0, 10))  # frame 1 is open until this batch has been read
+    assert frames[1] == (3, 2, 990, 7, 8, True) and late == []
+    frames, late = put((1, base, 3, 999), (4, base + 20000, 0, 1), (3, base + 7200, 1, 10), (9, base + 5, 4, 1000))
+    assert frames[1] == (3, 2, 990, 7, 8, True) and frames[3][:2] == (2, 0) and frames[4][:2] == (1, 0)
+    assert late == [(1, 3, 999), (9, 4, 1000)] and 9 not in frames
+
+
+def test_alerts_in_any_order_are_capped_or_late(spark, sf, tmp_path):
+    """Shuffled files: the cap over what was in time and the late table make up all alerts."""
+    path, folder = str(tmp_path / "in"), str(tmp_path / "run")
+    events = V.table(spark, sf, "events")
+    for i in (1, 3, 0, 2):
+        events.where(F.floor(F.col("event_id") / 250) == i).coalesce(1).write.mode("append").parquet(path)
+        capped, late = state.capped_alerts(timed(V.alerts_from(spark.readStream.schema(EVENTS).parquet(path))),
+                                           folder=folder)
+    gone = {r.event_id for r in late.collect()}
+    alerts = V.alerts_from(events)
+    assert gone and len(gone) == late.count()
+    want = timeline.capped_alerts(alerts.where(~F.col("event_id").isin(list(gone)))).select("node_id", "event_id", "rank")
+    assert rows(capped.select("node_id", "event_id", "rank")) == rows(want)
+    assert gone <= {r.event_id for r in alerts.collect()}
