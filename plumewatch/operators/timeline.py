@@ -19,44 +19,43 @@ from plumewatch.functions import policy
 CELL = "hour"
 
 
-def _celled(df: DataFrame, ts: str, cell: str) -> DataFrame:
+def _celled(df: DataFrame, ts: str, cell: str = CELL) -> DataFrame:
     return df.withColumn("_cell", F.date_trunc(cell, F.col(ts)))
 
 
-def confirmed_scores(df: DataFrame, ns: Sequence[int], key: str = "camera", ts: str = "ts",
-                     tie: str = "frame_id", score: str = "score", cell: str = CELL,
-                     history: DataFrame | None = None) -> DataFrame:
-    """Add `confirmed_<n>`: the lowest of the last n scores of the key, NULL if there are fewer.
+def score_tails(celled: DataFrame, depth: int, key: str, ts: str, tie: str, score: str) -> DataFrame:
+    """(key, cell, `_tail`): the last `depth` scores of each cell, oldest first.
 
-    `history` (key, past) may hold the newest scores before the first row, oldest first.
+    Tails combine: that of two neighbouring cells is the end of both in a row.
     """
-    depth = max(ns) - 1
-    df = _celled(df, ts, cell)
     newest_first = W.partitionBy(key, "_cell").orderBy(F.col(ts).desc(), F.col(tie).desc())
-    tails = (
-        df.select(key, "_cell", ts, tie, score)
+    return (
+        celled.select(key, "_cell", ts, tie, score)
         .withColumn("_r", F.row_number().over(newest_first)).where(F.col("_r") <= depth)
         .groupBy(key, "_cell")
         .agg(F.sort_array(F.collect_list(F.struct((-F.col("_r")).alias("o"), F.col(score).alias("s"))))
              .alias("_t"))
         .select(key, "_cell", F.transform("_t", lambda e: e.s).alias("_tail")))
-    earlier = W.partitionBy(key).orderBy("_cell")
-    recent = F.flatten(F.collect_list("_tail").over(earlier.rowsBetween(-depth, -1)))
-    if history is None:
-        past = tails.select(key, "_cell", recent.alias("_past"))
-    else:
-        ordinal = F.row_number().over(earlier)
-        past = tails.select(key, "_cell", recent.alias("_recent"), ordinal.alias("_o")).join(
-            history, key, "left")
-        past = past.select(key, "_cell", F.when(
-            F.col("_o") <= depth, F.concat(F.coalesce("past", F.array().cast("array<double>")),
-                                           F.col("_recent"))).otherwise(F.col("_recent"))
-            .alias("_past"))
+
+
+def score_carries(tails: DataFrame, depth: int, key: str) -> DataFrame:
+    """(key, cell, `_past`): the last `depth` scores before each cell, oldest first."""
+    earlier = W.partitionBy(key).orderBy("_cell").rowsBetween(-depth, -1)
+    recent = F.flatten(F.collect_list("_tail").over(earlier))
+    size = F.size(recent)
+    return tails.select(key, "_cell", F.slice(
+        recent, F.greatest(size - depth + 1, F.lit(1)), F.lit(depth)).alias("_past"))
+
+
+def confirmed_rows(celled: DataFrame, carries: DataFrame, ns: Sequence[int], key: str, ts: str, tie: str,
+                   score: str) -> DataFrame:
+    """Add `confirmed_<n>` to the rows of whole cells, given what came before each cell."""
+    depth = max(ns) - 1
     inside = W.partitionBy(key, "_cell").orderBy(ts, tie)
-    rows = df.select(
+    rows = celled.select(
         "*", F.row_number().over(inside).alias("_n"),
         *[F.lag(score, i).over(inside).alias(f"_lag{i}") for i in range(1, depth + 1)])
-    rows = rows.join(past, [key, "_cell"])
+    rows = rows.join(carries, [key, "_cell"])
 
     def before(i: int) -> Column:
         carried = F.try_element_at(
@@ -70,60 +69,72 @@ def confirmed_scores(df: DataFrame, ns: Sequence[int], key: str = "camera", ts:
             complete = complete & p.isNotNull()
         rows = rows.withColumn(f"confirmed_{n}", F.when(
             complete, F.least(*parts) if n > 1 else parts[0]))
-    return rows.drop("_cell", "_n", "_past", *[f"_lag{i}" for i in range(1, depth + 1)])
-
+    return rows.drop("_n", "_past", *[f"_lag{i}" for i in range(1, depth + 1)])
 
-def newest_scores(df: DataFrame, depth: int, key: str = "camera", ts: str = "ts",
-                  tie: str = "frame_id", score: str = "score") -> DataFrame:
-    """(key, past): the newest `depth` scores of each key, oldest first."""
-    w = W.partitionBy(key).orderBy(F.col(ts).desc(), F.col(tie).desc())
-    return (
-        df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= depth)
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct((-F.col("_r")).alias("o"), F.col(score).alias("s"))))
-             .alias("_t"))
-        .select(key, F.transform("_t", lambda e: e.s).alias("past")))
 
+def confirmed_scores(df: DataFrame, ns: Sequence[int], key: str = "camera", ts: str = "ts",
+                     tie: str = "frame_id", score: str = "score", cell: str = CELL) -> DataFrame:
+    """Add `confirmed_<n>`: the lowest of the last n scores of the key, NULL if there are fewer."""
+    depth = max(ns) - 1
+    df = _celled(df, ts, cell)
+    carries = score_carries(score_tails(df, depth, key, ts, tie, score), depth, key)
+    return confirmed_rows(df, carries, ns, key, ts, tie, score).drop("_cell")
 
-def run_lengths(df: DataFrame, hit: Column, key: str, ts: str = "ts", tie: str = "event_id",
-                cell: str = CELL, wrap_at: int | None = None,
-                history: DataFrame | None = None) -> DataFrame:
-    """Add `run`: consecutive hits up to and including the row, 0 on a miss.
 
-    `wrap_at` makes the counter wrap as an unsigned integer would (256 on a node).
-    `history` (key, carry) may hold the run at the end of earlier data.
-    """
-    df = _celled(df, ts, cell).withColumn("_hit", F.coalesce(hit, F.lit(False)))
+def _numbered_hits(celled: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
     inside = W.partitionBy(key, "_cell").orderBy(ts, tie)
-    rows = df.withColumn("_n", F.row_number().over(inside))
-    last_miss = F.max(F.when(~F.col("_hit"), F.col("_n"))).over(
-        inside.rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("_miss", last_miss)
+    rows = celled.withColumn("_n", F.row_number().over(inside))
+    return rows.withColumn("_miss", F.max(F.when(~F.col("_hit"), F.col("_n"))).over(
+        inside.rowsBetween(W.unboundedPreceding, 0)))
+
+
+def _segments(numbered: DataFrame, key: str) -> DataFrame:
     # the group has the distribution of the window above, so it adds no shuffle
-    summary = rows.groupBy(key, "_cell").agg(
+    return numbered.groupBy(key, "_cell").agg(
         F.max("_n").alias("_rows"), F.max("_miss").alias("_gone")).select(
         key, "_cell", F.col("_gone").isNotNull().alias("_reset"),
         (F.col("_rows") - F.coalesce("_gone", F.lit(0))).alias("_tail"))
+
+
+def run_segments(celled: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
+    """(key, cell, `_reset`, `_tail`): whether a cell has a miss, and the hits at its end.
+
+    Segments combine: two neighbouring cells have the right one's tail, lengthened by the left one's if the
+    right one has no miss.
+    """
+    return _segments(_numbered_hits(celled, key, ts, tie), key)
+
+
+def run_carries(segments: DataFrame, key: str) -> DataFrame:
+    """(key, cell, `_carry`): the run that goes into each cell."""
     order = W.partitionBy(key).orderBy("_cell")
-    summary = summary.withColumn("_island", F.sum(F.col("_reset").cast("int")).over(
+    islands = segments.withColumn("_island", F.sum(F.col("_reset").cast("int")).over(
         order.rowsBetween(W.unboundedPreceding, 0)))
     upto = W.partitionBy(key, "_island").orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)
-    summary = summary.withColumn("_end", F.sum("_tail").over(upto))
-    start = F.lit(0)
-    if history is not None:
-        summary = summary.join(history, key, "left")
-        start = F.coalesce("carry", F.lit(0))
-        summary = summary.withColumn(
-            "_end", F.col("_end") + F.when(F.col("_island") == 0, start).otherwise(0))
-    carried = summary.select(
-        key, "_cell", F.coalesce(F.lag("_end").over(order), start).alias("_carry"))
+    return islands.withColumn("_end", F.sum("_tail").over(upto)).select(
+        key, "_cell", F.coalesce(F.lag("_end").over(order), F.lit(0)).alias("_carry"))
+
+
+def run_rows(celled: DataFrame, carries: DataFrame | None, key: str, ts: str, tie: str,
+             wrap_at: int | None = None) -> DataFrame:
+    """Add `run` to the rows of whole cells; without carries these are all cells, and they are found here."""
+    rows = _numbered_hits(celled, key, ts, tie)
+    carried = run_carries(_segments(rows, key), key) if carries is None else carries
     run = F.when(F.col("_miss").isNull(), F.col("_n") + F.col("_carry")).otherwise(
         F.col("_n") - F.col("_miss"))
     if wrap_at:
         run = run % wrap_at
-    return (
-        rows.join(carried, [key, "_cell"]).withColumn("run", run)
-        .drop("_cell", "_hit", "_n", "_miss", "_carry"))
+    return rows.join(carried, [key, "_cell"]).withColumn("run", run).drop("_n", "_miss", "_carry")
+
+
+def run_lengths(df: DataFrame, hit: Column, key: str, ts: str = "ts", tie: str = "event_id",
+                cell: str = CELL, wrap_at: int | None = None) -> DataFrame:
+    """Add `run`: consecutive hits up to and including the row, 0 on a miss.
+
+    `wrap_at` makes the counter wrap as an unsigned integer would (256 on a node).
+    """
+    df = _celled(df, ts, cell).withColumn("_hit", F.coalesce(hit, F.lit(False)))
+    return run_rows(df, None, key, ts, tie, wrap_at).drop("_cell", "_hit")
 
 
 def capped_alerts(alerts: DataFrame, key: str = "node_id", ts: str = "ts", tie: str = "event_id",

@@ -458,6 +458,36 @@ def streamed_confirmation(spark, sf):
     return rows.select("event_id", "camera", "confirmed_2", "confirmed_3")
 
 
+def _scores_of(events):
+    return V.telemetry_from(events).select(
+        "event_id", F.concat(F.lit("cam-"), (F.col("node_id") % 4).cast("string")).alias("camera"), "ts",
+        (F.col("prob_x1000") / 1000.0).alias("score"))
+
+
+@query("T4_late_confirmation", "telemetry", """
+WITH h AS (SELECT event_id, prob_x1000/1000.0::DOUBLE AS score, lag(prob_x1000/1000.0::DOUBLE,1) OVER w AS l1,
+ lag(prob_x1000/1000.0::DOUBLE,2) OVER w AS l2 FROM telemetry WINDOW w AS (PARTITION BY node_id%4 ORDER BY ts, event_id))
+SELECT event_id, CASE WHEN l1 IS NOT NULL THEN least(score,l1) END AS confirmed_2,
+ CASE WHEN l2 IS NOT NULL THEN least(score,l1,l2) END AS confirmed_3 FROM h""")
+def late_confirmation(spark, sf):
+    """Four busy cameras over batches that are out of order: the newest versions are those of one pass in order."""
+    rows = _in_batches(spark, sf, lambda events, folder: state.confirmed_stream(
+        _scores_of(events), (2, 3), tie="event_id", folder=folder))
+    return rows.select("event_id", "confirmed_2", "confirmed_3")
+
+
+@query("T5_late_runs", "telemetry", f"""
+WITH f AS (SELECT event_id AS frame_id, node_id%4 AS camera, ts, prob_x1000>=100 AS hit FROM telemetry), {RUN_SQL}""")
+def late_runs(spark, sf):
+    """Runs of four busy cameras over batches that are out of order."""
+    def run(events, folder):
+        t = V.telemetry_from(events).select(
+            "event_id", (F.col("node_id") % 4).cast("long").alias("camera"), "ts", "prob_x1000")
+        return state.run_length_stream(t, F.col("prob_x1000") >= 100, "camera", folder=folder)
+
+    return _in_batches(spark, sf, run).select(F.col("event_id").alias("frame_id"), "camera", "run")
+
+
 @query("T5_streamed_runs", "telemetry", f"""
 WITH f AS (SELECT event_id AS frame_id, node_id AS camera, ts, prob_x1000>=300 AS hit FROM telemetry), {RUN_SQL}""")
 def streamed_runs(spark, sf):

@@ -72,6 +72,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder that no plan reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def build_or_read(build: Callable[[], DataFrame], spark: SparkSession, label: str, key: str,
                   ) -> DataFrame:
     """The stored table of a key: read if it is complete, else built and published in one rename.

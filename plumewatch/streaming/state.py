@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumewatch import constants as C
-from plumewatch.operators.timeline import confirmed_scores, newest_scores, run_lengths
-from plumewatch.session import scratch_path
+from plumewatch.operators.timeline import (
+    CELL, confirmed_rows, run_carries, run_rows, run_segments, score_carries, score_tails)
+from plumewatch.session import remove, scratch_path
 from plumewatch.streaming.closing import Rule, closing, drain_closing
 
 class HourCap(Rule):
@@ -47,66 +48,92 @@ def capped_alerts(alerts: DataFrame, limit: int = C.MAX_ALERTS_PER_HOUR, delay:
                          ["node_id", "hour_start"], "capped", folder)
 
 
-def _with_history(stream: DataFrame, step: Callable[[DataFrame, DataFrame | None],
-                                                    tuple[DataFrame, DataFrame]],
-                  folder: str):
-    """Run a batch operator over every micro-batch, handing on a small per-key history table.
+def _repaired(stream: DataFrame, key: str, ts: str, tie: str, columns: Sequence[str],
+              segments: Callable[[DataFrame], DataFrame], carries: Callable[[DataFrame], DataFrame],
+              finish: Callable[[DataFrame, DataFrame], DataFrame], folder: str) -> DataFrame:
+    """Run a timeline operator over micro-batches whose rows may come in any order.
 
-    History is written per batch next to the output, so a replayed batch starts from the same state
-    and overwrites its own folders. Unlike a per-key stateful function, the operator can spread one
-    busy key over many tasks. A later call with the same folder goes on where this one stopped.
+    Timelines are cut into hours. What an hour does to the ones after it is a small segment, and segments
+    combine. A batch computes the segments of the hours it touches anew, from all their rows so far, and
+    with them what goes into each hour of its keys. Only hours that were touched or get something else from
+    before are worked out again; their rows come out with the batch as `version`, and the newest version of an
+    hour counts. A late row so costs its hour and those that its carry reaches, in one busy key as in many.
+
+    Everything is written per batch, so a replayed batch starts from the same state and overwrites its own
+    folders. Of the segments the state before a batch is kept, older ones are removed. A later call with the
+    same folder goes on where this one stopped.
     """
     spark = stream.sparkSession
-    out, kept, state = (f"{folder}/{name}" for name in ("rows", "history", "state"))
+    out, cells, kept, state = (f"{folder}/{name}" for name in ("rows", "cells", "segments", "state"))
+
+    def held(days: DataFrame, batch_id: int) -> DataFrame:
+        """Rows so far of the (key, hour) pairs; only the folders of their days are read."""
+        some = [r[0] for r in days.select(F.to_date("_cell").alias("day")).distinct().collect()]
+        return spark.read.parquet(cells).where((F.col("batch") <= batch_id) & F.col("day").isin(some)).join(
+            days, [key, "_cell"], "left_semi").drop("batch", "day")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        old = None if batch_id == 0 else batch.sparkSession.read.parquet(f"{kept}/v{batch_id - 1}")
-        # two tables come from the batch; it is read and parsed once
-        batch = batch.persist()
-        try:
-            rows, history = step(batch, old)
-            rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-            history.write.mode("overwrite").parquet(f"{kept}/v{batch_id}")
-        finally:
-            batch.unpersist()
+        dealt = batch.select(*columns).withColumn("_cell", F.date_trunc(CELL, F.col(ts)))
+        dealt.withColumn("day", F.to_date("_cell")).write.mode("overwrite").partitionBy("day").parquet(
+            f"{cells}/batch={batch_id}")
+        fresh = spark.read.schema(dealt.schema).parquet(f"{cells}/batch={batch_id}")
+        touched = fresh.select(key, "_cell").distinct()
+        if touched.isEmpty():
+            changed = None
+        else:
+            segments(held(touched, batch_id)).write.mode("overwrite").parquet(f"{folder}/changed")
+            changed = spark.read.parquet(f"{folder}/changed")
+        old = None if batch_id == 0 else spark.read.parquet(f"{kept}/v{batch_id - 1}")
+        if changed is None:
+            new = old if old is not None else segments(fresh)
+        else:
+            new = changed if old is None else changed.unionByName(old.join(changed, [key, "_cell"], "left_anti"))
+        new.write.mode("overwrite").parquet(f"{kept}/v{batch_id}")
+        if batch_id > 1:
+            remove(spark, f"{kept}/v{batch_id - 2}")
+        if changed is None:
+            return
+        mine = changed.select(key).distinct()
+        after = carries(spark.read.parquet(f"{kept}/v{batch_id}").join(mine, key, "left_semi"))
+        if old is not None:
+            # what goes into an hour, before and after this batch
+            value = next(c for c in after.columns if c not in (key, "_cell"))
+            before = carries(old.join(mine, key, "left_semi")).withColumnRenamed(value, "_was")
+            after = after.join(before, [key, "_cell"], "left").join(
+                touched.withColumn("_touched", F.lit(True)), [key, "_cell"], "left").where(
+                F.col("_touched") | ~F.col(value).eqNullSafe(F.col("_was"))).drop("_was", "_touched")
+        after.write.mode("overwrite").parquet(f"{folder}/carried")
+        carried = spark.read.parquet(f"{folder}/carried")
+        finish(held(carried.select(key, "_cell"), batch_id), carried).write.mode("overwrite").parquet(
+            f"{out}/version={batch_id}")
 
     query = (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", state)
         .trigger(availableNow=True).start())
     query.awaitTermination()
-    return spark.read.parquet(out).drop("batch")
+    rows = spark.read.parquet(out)
+    newest = rows.groupBy(key, "_cell").agg(F.max("version").alias("version"))
+    return rows.join(newest, [key, "_cell", "version"]).drop("_cell")
 
 
 def confirmed_stream(captures: DataFrame, ns: Sequence[int] = (2, 3), key: str = "camera",
                      ts: str = "ts", tie: str = "frame_id", score: str = "score",
                      folder: str | None = None) -> DataFrame:
-    """Temporal confirmation across micro-batches; the history is the last n - 1 scores of a key."""
+    """Temporal confirmation of captures in any order of batches; a segment is the last n - 1 scores of an hour."""
     depth = max(ns) - 1
-
-    def step(batch: DataFrame, old: DataFrame | None):
-        rows = confirmed_scores(batch, ns, key, ts, tie, score, history=old)
-        new = newest_scores(batch, depth, key, ts, tie, score)
-        if old is None:
-            return rows, new
-        merged = new.withColumnRenamed("past", "_new").join(old, key, "full")
-        empty = F.array().cast("array<double>")
-        joined = F.concat(F.coalesce("past", empty), F.coalesce("_new", empty))
-        size = F.size(joined)
-        return rows, merged.select(key, F.slice(
-            joined, F.greatest(size - depth + 1, F.lit(1)), F.lit(depth)).alias("past"))
-
-    return _with_history(
-        captures, step, folder or scratch_path(captures.sparkSession, "confirmed"))
+    return _repaired(
+        captures, key, ts, tie, captures.columns,
+        lambda rows: score_tails(rows, depth, key, ts, tie, score), lambda tails: score_carries(tails, depth, key),
+        lambda rows, carried: confirmed_rows(rows, carried, ns, key, ts, tie, score),
+        folder or scratch_path(captures.sparkSession, "confirmed"))
 
 
 def run_length_stream(captures: DataFrame, hit: Column, key: str = "node_id", ts: str = "ts",
                       tie: str = "event_id", folder: str | None = None) -> DataFrame:
-    """Consecutive-detection counter across micro-batches; the history is the run at the end."""
-    def step(batch: DataFrame, old: DataFrame | None):
-        rows = run_lengths(batch, hit, key, ts, tie, history=old)
-        last = rows.groupBy(key).agg(F.max_by("run", F.struct(ts, tie)).alias("carry"))
-        if old is None:
-            return rows, last
-        return rows, last.unionByName(old.join(last, key, "left_anti"))
-
-    return _with_history(captures, step, folder or scratch_path(captures.sparkSession, "runs"))
+    """Consecutive-detection counter over captures in any order of batches; a segment is the run at an hour's end."""
+    hits = captures.withColumn("_hit", F.coalesce(hit, F.lit(False)))
+    return _repaired(
+        hits, key, ts, tie, hits.columns, lambda rows: run_segments(rows, key, ts, tie),
+        lambda segments: run_carries(segments, key),
+        lambda rows, carried: run_rows(rows, carried, key, ts, tie).drop("_hit"),
+        folder or scratch_path(captures.sparkSession, "runs"))

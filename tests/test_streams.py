@@ -142,3 +142,27 @@ def test_alerts_in_any_order_are_capped_or_late(spark, sf, tmp_path):
     want = timeline.capped_alerts(alerts.where(~F.col("event_id").isin(list(gone)))).select("node_id", "event_id", "rank")
     assert rows(capped.select("node_id", "event_id", "rank")) == rows(want)
     assert gone <= {r.event_id for r in alerts.collect()}
+
+
+def test_any_order_of_batches_ends_with_the_batch_result(spark, sf, tmp_path):
+    """Rows of all times in every file: late rows change their hour and what its carry reaches, no more."""
+    path, folders = str(tmp_path / "in"), [str(tmp_path / n) for n in ("runs", "confirmed")]
+    # few cameras, so that runs reach over hours
+    events = V.table(spark, sf, "events").withColumn("user_id", F.col("user_id") % 3)
+    hit = F.col("score") >= 0.1
+    versions = []
+    for i in range(4):
+        events.where(F.pmod(F.xxhash64("event_id", F.lit(1)), F.lit(4)) == i).coalesce(1).write.mode(
+            "append").parquet(path)
+        runs = state.run_length_stream(scored(stream(spark, path)), hit, "camera", folder=folders[0])
+        versions.append({r.event_id: (r.run, r.version) for r in runs.collect()})
+        confirmed = state.confirmed_stream(scored(stream(spark, path)), (2, 3), tie="event_id", folder=folders[1])
+    want = {r.event_id: r.run for r in timeline.run_lengths(scored(events), hit, "camera").collect()}
+    assert {e: run for e, (run, _) in versions[-1].items()} == want and max(want.values()) > 20
+    cols = ["event_id", "confirmed_2", "confirmed_3"]
+    batch = timeline.confirmed_scores(scored(events), (2, 3), tie="event_id")
+    assert rows(confirmed.select(cols)) == rows(batch.select(cols))
+    # a value that changed has a newer version, and some hours were left alone by the last file
+    for old, new in zip(versions, versions[1:]):
+        assert all(new[e][1] > v for e, (run, v) in old.items() if new[e][0] != run)
+    assert any(v < 3 for _, v in versions[-1].values())
