@@ -17,13 +17,13 @@ import pyarrow.compute as pc
 ROWS, BYTES = 4_000, 16_000_000
 
 
-def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: int, size: int = BYTES) -> Iterator[pa.RecordBatch]:
     """A batch in slices of bounded rows and bytes of its text column."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         base = ends[at - 1] if at else 0
-        to = max(at + 1, min(at + ROWS, int(np.searchsorted(ends, base + BYTES, "right"))))
+        to = max(at + 1, min(at + ROWS, int(np.searchsorted(ends, base + size, "right"))))
         yield batch.slice(at, to - at)
         at = to
 

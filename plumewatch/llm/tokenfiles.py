@@ -14,7 +14,9 @@ file and any store that Spark reaches will do. Each row is a block:
     doc_id            ids of the documents
 
 The ends are those of Elias and Fano: 2 + log2(ids / documents) bits for each document, and no 64-bit
-table. One end is found with the select samples; a reader of all decodes them at once.
+table. Ends are found with the select samples, those of a few documents (`lookup`) as those of all.
+
+The content of a special token in a text gives its id, as the library does by default.
 
 Null texts count as empty: such a document has its end id only. Documents are in ascending id order, null
 ids first, repeated ids next to each other in any order. A document is never cut, so a very long one makes
@@ -29,20 +31,24 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumewatch.llm.frames import documents, name
-from plumewatch.llm.memo import Memo, Odd, cut, whole
+from plumewatch.llm.memo import Odd, whole
+from plumewatch.llm.pieces import Words, gather, slices
 from plumewatch.session import scratch_path, ship_package
 
 #: Ids of a block, unless one document has more.
 BLOCK_IDS = 1 << 20
 #: Set bits between two samples of the select structure.
 SAMPLE = 64
-#: Pieces that a worker remembers, in each of two generations.
-MEMO = 300_000
+#: Words that a worker remembers, in each of two generations, and the longest of them.
+MEMO, LONGEST = 300_000, 64
+#: Words encoded together, and those of them in one text.
+TOGETHER, RUN = 20_000, 500
 #: Tokenizer files have a few MB.
 MAX_TOKENIZER_BYTES = 64_000_000
 SIGNS = ".,;:!?"
@@ -79,36 +85,40 @@ class EliasFano:
         return self.low.tobytes(), self.low_bits, self.high.tobytes(), self.select.tobytes()
 
     def __getitem__(self, i: int) -> int:
-        """Value number i: from the nearest sample on, whole bytes are skipped by their set bits."""
         if not 0 <= i < self.count:
             raise IndexError(i)
-        at, left = int(self.select[i // SAMPLE]), i % SAMPLE
-        byte, skip = at >> 3, at & 7
-        value = int(self.high[byte]) >> skip << skip
-        while left >= value.bit_count():
-            left -= value.bit_count()
-            byte += 1
-            value = int(self.high[byte])
-        for _ in range(left):
-            value &= value - 1
-        place = byte * 8 + (value & -value).bit_length() - 1
-        low = 0
+        return int(self.at(np.array([i]))[0])
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """The values at some places: from the nearest sample on, whole bytes are skipped by their set bits."""
+        bit = self.select[places // SAMPLE].astype(np.int64)
+        byte, left = bit >> 3, places % SAMPLE
+        value = self.high[byte] >> (bit & 7).astype(np.uint8) << (bit & 7).astype(np.uint8)
+        while True:
+            held = np.bitwise_count(value)
+            on = np.flatnonzero(left >= held)
+            if not len(on):
+                break
+            left[on] -= held[on]
+            byte[on] += 1
+            value[on] = self.high[byte[on]]
+        for step in range(7):
+            value = np.where(left > step, value & (value - np.uint8(1)), value)
+        first = value & (~value + np.uint8(1))
+        out = (byte * 8 + np.bitwise_count(first - np.uint8(1)) - places) << self.low_bits
         for j in range(self.low_bits):
-            b = i * self.low_bits + j
-            low |= (int(self.low[b >> 3]) >> (b & 7) & 1) << j
-        return (place - i) << self.low_bits | low
-
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:self.count]
-        out = (ones - np.arange(self.count)) << self.low_bits
-        if self.low_bits:
-            bits = np.unpackbits(self.low, bitorder="little", count=self.count * self.low_bits)
-            out |= bits.reshape(-1, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits))
+            b = places * self.low_bits + j
+            out |= (self.low[b >> 3] >> (b & 7).astype(np.uint8) & 1).astype(np.int64) << j
         return out
 
 
 class Tokens:
-    """Encodes with the tokenizers library in one worker; pieces seen before are remembered."""
+    """Encodes with the tokenizers library in one worker; words seen before are remembered.
+
+    Texts are cut where the library's pattern always cuts, every distinct word of a slice is looked up once,
+    and the ids are gathered for the whole slice. Texts with other white space at those places, and texts that
+    hold the content of an added token, such as a special one, go to the library whole.
+    """
 
     def __init__(self, data: str):
         import os
@@ -118,69 +128,114 @@ class Tokens:
 
         self.source = data
         self.tokenizer = Tokenizer.from_str(data)
-        self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65_536 else 4
-        self.kind = f"<u{self.width}"
+        self.kind = np.dtype(f"<u{self.width}")
         self.code = "H" if self.width == 2 else "I"
-        self.memo = Memo(self._one, MEMO)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.memo, self.older = {}, {}
         # one sign after a word is always a piece of its own
         self.signs = dict(zip(SIGNS, self._many(list(SIGNS))))
+        space = self.tokenizer.encode(" a", add_special_tokens=False).tokens[0][0]
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.opens[i] = token.startswith(space)
 
     def _many(self, texts: list[str]) -> list[bytes]:
         code = self.code
         return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(
             texts, add_special_tokens=False)]
 
-    def _one(self, key: str) -> bytes:
-        if key[:-1].isalpha() and key[-1] in self.signs:
-            return self.memo[key[:-1]] + self.signs[key[-1]]
-        return self._many([whole(key)])[0]
-
-    def _learn(self, keys: set[str]) -> None:
-        """Encodes new pieces of a batch together. Odd ones are left to fail where they are met."""
-        new, texts = [], []
-        words = {key[:-1] if key[-1:] in self.signs and key[:-1].isalpha() else key
-                 for key in keys if key not in self.memo}
-        for key in words:
-            if key in self.memo or len(key) > self.memo.longest:
-                continue
-            if (old := self.memo.older.get(key)) is not None:
-                self.memo.put(key, old)
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """Words behind a space each: many at a time as one text, cut where a token opens with the space.
+
+        Words behind a line feed have no such token and are encoded one by one, at the end.
+        """
+        lines = len(words)
+        while lines and words[lines - 1][0] == "\n":
+            lines -= 1
+        runs = [words[i:min(i + RUN, lines)] for i in range(0, lines, RUN)]
+        out = []
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast(
+                ["".join(map(whole, run)) for run in runs], add_special_tokens=False)):
+            ids = np.array(e.ids, self.kind)
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) != len(run):
+                raise ValueError("this tokenizer does not open a token at each single space")
+            raw, cuts = ids.tobytes(), (at * self.width).tolist()
+            out += [raw[i:j] for i, j in zip(cuts, [*cuts[1:], len(raw)])]
+        return out + self._many([whole(w) for w in words[lines:]])
+
+    def _known(self, words: list[str], later: list[bool]) -> list[bytes | None]:
+        """The ids of the words of a slice that stand behind a space; None for those that cannot stand alone."""
+        out: list[bytes | None] = [None] * len(words)
+        new: dict[str, list[tuple[int, bytes]]] = {}
+        memo, older, signs = self.memo, self.older, self.signs
+        for i, w in enumerate(words):
+            if not later[i]:
                 continue
+            sign = signs.get(w[-1:], b"")
+            if sign:
+                if w[:-1].isalpha():
+                    w = w[:-1]
+                else:
+                    sign = b""
+            ids = memo.get(w)
+            if ids is None:
+                ids = older.get(w)
+                if ids is None:
+                    new.setdefault(w, []).append((i, sign))
+                    continue
+                memo[w] = ids
+            out[i] = ids + sign
+        fine = []
+        for w in new:
             try:
-                texts.append(whole(key))
-                new.append(key)
+                whole(w)
+                fine.append(w)
             except Odd:
                 continue
-        for key, ids in zip(new, self._many(texts)):
-            self.memo.put(key, ids)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cuts, plain, firsts, keys = [], [], [], set()
-        for i, text in enumerate(texts):
-            try:
-                first, rest = cut(text or "")
-                if not rest:
-                    raise Odd
-                cuts.append((i, first, rest))
-                firsts.append(first)
-                keys.update(rest)
-                if len(keys) > 100_000:
-                    self._learn(keys)
-                    keys = set()
-            except Odd:
-                plain.append(i)
-        self._learn(keys)
-        out: list[bytes] = [b""] * len(texts)
-        for (i, _, rest), head in zip(cuts, self._many(firsts)):
-            try:
-                out[i] = head + b"".join(map(self.memo.__getitem__, rest))
-            except Odd:
-                plain.append(i)
-        for i, ids in zip(plain, self._many([texts[i] or "" for i in plain])):
-            out[i] = ids
+        fine.sort(key=lambda w: w[0] == "\n")
+        for at in range(0, len(fine), TOGETHER):
+            some = fine[at:at + TOGETHER]
+            for w, ids in zip(some, self._encoded(some)):
+                for i, sign in new[w]:
+                    out[i] = ids + sign
+                if len(w) <= LONGEST:
+                    memo[w] = ids
+            if len(memo) >= MEMO:
+                self.older, self.memo = memo, {}
+                memo = self.memo
         return out
 
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a slice, one after the other, and how many each has."""
+        texts = pc.fill_null(texts, "")
+        cut = Words(texts, lines=True)
+        count, known = len(texts), len(cut.words)
+        special = np.zeros(count, bool)
+        for content in self.added:
+            special |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        later = np.zeros(known, bool)
+        places = np.ones(len(cut.index), bool)
+        places[cut.firsts] = False
+        later[cut.index[places]] = True
+        blobs = self._known(cut.words, later.tolist())
+        odd = cut.holding(np.fromiter((b is None for b in blobs), bool, known), but_first=True) | special
+        # what stands before the first cut is no word after a space; it is encoded as it is
+        alone = np.diff(cut.offsets) == 1
+        heads = [cut.words[i] for i in cut.index[cut.firsts].tolist()]
+        odd |= np.fromiter((h[-1:].isspace() for h in heads), bool, count) & ~alone
+        for i in np.flatnonzero(odd).tolist():
+            heads[i] = texts[i].as_py()
+        blobs = [b or b"" for b in blobs] + self._many(heads)
+        order = cut.index.copy()
+        order[cut.firsts] = known + np.arange(count)
+        lengths = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.width
+        counts = lengths[order]
+        counts[np.repeat(odd, np.diff(cut.offsets)) & places] = 0
+        flat = gather(np.frombuffer(b"".join(blobs), self.kind), lengths, order, counts)
+        return flat, np.add.reduceat(counts, cut.firsts) if count else counts
+
 
 _tokens: dict[int, Tokens] = {}
 
@@ -208,33 +263,33 @@ def write(df: DataFrame, tokenizer: str, path: str, text: str = "text", row_id:
 
     def run(batches):
         tokens = _tokenizer(shared)
-        end = np.array([end_id], tokens.kind).tobytes()
         shard, block, base = TaskContext.get().partitionId(), 0, 0
-        ids, blobs, size = [], [], 0
+        ids, runs, size = [], [], 0
 
         def close():
-            nonlocal block, base, ids, blobs, size
-            ends = np.cumsum(np.fromiter(map(len, blobs), np.int64, len(blobs)) // tokens.width)
+            nonlocal block, base, ids, runs, size
+            ends = np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs)))
             low, low_bits, high, select = EliasFano.pack(ends).parts()
             row = {
-                "shard": shard, "block": block, "base": base, "ids": b"".join(blobs),
+                "shard": shard, "block": block, "base": base, "ids": np.concatenate(runs).tobytes(),
                 "width": tokens.width, "documents": len(ids), "total": int(ends[-1]), "low": low,
                 "low_bits": low_bits, "high": high, "select": select, "doc_id": ids}
             block, base = block + 1, base + int(ends[-1])
-            ids, blobs, size = [], [], 0
+            ids, runs, size = [], [], 0
             return pa.RecordBatch.from_pylist([row], schema=_block_schema())
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                for key, blob in zip(part.column(0).to_pylist(), tokens.encode(
-                        part.column(1).to_pylist())):
-                    blob += end
-                    if ids and size + len(blob) > block_ids * tokens.width:
+            for part in slices(batch, 1):
+                flat, counts = tokens.encode(part.column(1))
+                ends = np.cumsum(counts)
+                flat = np.insert(flat, ends, end_id)
+                ends += np.arange(1, len(ends) + 1)
+                for key, i, j in zip(part.column(0).to_pylist(), (ends - counts - 1).tolist(), ends.tolist()):
+                    if ids and size + j - i > block_ids:
                         yield close()
                     ids.append(key)
-                    blobs.append(blob)
-                    size += len(blob)
+                    runs.append(flat[i:j])
+                    size += j - i
         if ids:
             yield close()
 
@@ -266,22 +321,57 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                ids, ends = _opened(row)
-                begins = np.concatenate([[0], ends[:-1]])
+                ids, begins, ends = _opened(row)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([row["shard"]] * len(ends), pa.int32()), pa.array(row["doc_id"], pa.int64()),
-                    pa.array(begins + row["base"]),
-                    pa.ListArray.from_arrays(np.append(begins, ends[-1:]).astype(np.int32),
-                                             ids.astype(np.int32))],
+                    pa.array(begins + row["base"]), _runs(ids, begins, ends)],
                     names=["shard", "doc_id", "inner", "ids"])
 
     rows = blocks.mapInArrow(run, "shard int, doc_id long, inner long, ids array<int>")
     return _placed(rows, blocks)
 
 
-def _opened(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    ends = EliasFano(row["low"], row["low_bits"], row["high"], row["select"], row["documents"]).all()
-    return np.frombuffer(row["ids"], f"<u{row['width']}"), ends
+def lookup(spark: SparkSession, path: str, wanted: DataFrame, row_id: str = "doc_id") -> DataFrame:
+    """doc_id, start and ids of the wanted documents only; ids that the files lack give no row.
+
+    The places of the wanted documents come from the id lists alone. Only their blocks are opened, and of
+    those only the ends asked for, by select.
+    """
+    ship_package(spark)
+    blocks = spark.read.schema(BLOCKS).parquet(path)
+    ids = wanted.select(F.col(name(row_id)).cast("long").alias("w_id")).distinct()
+    found = blocks.select("shard", "block", F.posexplode("doc_id").alias("place", "id")).join(
+        ids, F.col("id").eqNullSafe(F.col("w_id"))).groupBy("shard", "block").agg(
+        F.sort_array(F.collect_list("place")).alias("places"))
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                places = np.array(row["places"], np.int64)
+                ids, begins, ends = _opened(row, places)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([row["shard"]] * len(places), pa.int32()),
+                    pa.array([row["doc_id"][i] for i in row["places"]], pa.int64()),
+                    pa.array(begins + row["base"]), _runs(ids, begins, ends)],
+                    names=["shard", "doc_id", "inner", "ids"])
+
+    rows = blocks.join(found, ["shard", "block"]).mapInArrow(
+        run, "shard int, doc_id long, inner long, ids array<int>")
+    return _placed(rows, blocks)
+
+
+def _opened(row: dict, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ids of a block, with begins and ends of the documents at some places, or of all."""
+    ends = EliasFano(row["low"], row["low_bits"], row["high"], row["select"], row["documents"])
+    places = np.arange(row["documents"]) if places is None else places
+    begins = np.where(places > 0, ends.at(np.maximum(places - 1, 0)), 0)
+    return np.frombuffer(row["ids"], f"<u{row['width']}"), begins, ends.at(places)
+
+
+def _runs(ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    lengths = ends - begins
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), pa.array(
+        ids[np.repeat(ends - np.cumsum(lengths), lengths) + np.arange(lengths.sum())].astype(np.int32)))
 
 
 def _placed(rows: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -299,8 +389,7 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                ids, ends = _opened(row)
-                begins = np.concatenate([[0], ends[:-1]])
+                ids, begins, ends = _opened(row)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 sums = [zlib.crc32(raw[4 * i:4 * j]) for i, j in zip(begins.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -164,7 +165,7 @@ def test_op3_comes_near_the_target_where_documents_are_small(spark):
 
 def test_op4(spark, folder, rows):
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
+    assert plain.encode("<|endoftext|> a", add_special_tokens=False).ids == [50256, 257]
     got = sorted(run(spark, "op4", folder), key=lambda r: r.start)
     want = collections.Counter()
     for i, t, *_ in rows:
@@ -185,6 +186,27 @@ def test_op4_read_gives_the_ids_in_small_blocks(spark, tmp_path):
     got = {r.doc_id: r.ids for r in tokenfiles.read(spark, path).collect()}
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     assert got == {i: plain.encode("ab " * i).ids + [7] for i in range(40)}
+    starts = {r.doc_id: r.start for r in tokenfiles.read(spark, path).collect()}
+    some = spark.createDataFrame([(3,), (17,), (17,), (39,), (99,), (None,)], "`the id` long")
+    found = tokenfiles.lookup(spark, path, some, "the id").collect()
+    assert {r.doc_id: (r.start, r.ids) for r in found} == {i: (starts[i], got[i]) for i in (3, 17, 39)}
+
+
+def test_op4_random_slices():
+    from plumewatch.llm.tokenfiles import Tokens
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        data = file.read()
+    tokens, plain = Tokens(data), Tokenizer.from_str(data)
+    rnd = random.Random(8)
+    texts = [None, "", " ", "\n", "a", " a", "a ", "\na", "x\n\ny", "<|endoftext|>", "a<|endoftext|> <|endoftext|>b"] + [
+        "".join(rnd.choice(["ab", "the", " ", " ", " ", "\n", "\t", ".", ",", "é", "日", "😀", "'s", "01", "\x1c", "\u00a0",
+                            "<|endoftext|>"]) for _ in range(rnd.randrange(30))) for _ in range(3000)]
+    for at in range(0, len(texts), 97):
+        some = texts[at:at + 97]
+        flat, counts = tokens.encode(pa.array(some, pa.string()))
+        want = [plain.encode(t or "", add_special_tokens=False).ids for t in some]
+        assert counts.tolist() == list(map(len, want)) and flat.tolist() == sum(want, [])
 
 
 def test_elias_fano_offsets():
@@ -195,7 +217,8 @@ def test_elias_fano_offsets():
         for top in (1, 7, 1000, 10**9):
             v = np.array(sorted(rnd.randrange(top + 1) for _ in range(n)), np.int64)
             e = EliasFano.pack(v)
-            assert (e.all() == v).all() and [e[i] for i in range(n)] == v.tolist()
+            assert [e[i] for i in range(n)] == v.tolist()
+            assert (e.at(np.arange(n)[::-1].copy()) == v[::-1]).all()
 
 
 @pytest.mark.parametrize("chunk", [4096, 2])
