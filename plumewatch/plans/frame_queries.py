@@ -12,6 +12,7 @@ from plumewatch.plans import views as V
 from plumewatch.plans.registry import query
 from plumewatch.session import scratch_path
 from plumewatch.sources import frames as src
+from plumewatch.sources.footers import first_byte, read_footers
 
 BOX_COLS = ("x0", "y0", "x1", "y1")
 SQL_ROUND = ",".join(f"round({c},4) AS {c}" for c in BOX_COLS)
@@ -65,6 +66,40 @@ def quarantine(spark, sf):
     return src.split_readable(V.frames(spark, sf))[1].select("frame_id", "camera", "partner")
 
 
+def damage(spark, path: str, at: int, size: int = 64) -> None:
+    """Overwrites some bytes of a small file."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    data = bytearray(spark.read.format("binaryFile").load(path).first().content)
+    data[at:at + size] = b"\xff" * size
+    out = files.create(target, True)
+    out.write(data)
+    out.close()
+
+
+@query("A4_short_shards", "frame_base", """
+SELECT frame_id%3 AS half, count(*) AS footer_rows, CASE WHEN frame_id%3=2 THEN 1 ELSE 0 END AS short_shards,
+ frame_id%3=2 AS fewer_read FROM frame_base GROUP BY ALL""")
+def short_shards(spark, sf):
+    """Shards in three folders with equal file names; one is damaged in its second row group."""
+    path = scratch_path(spark, "sharded-frames")
+    held = V.frames(spark, sf)
+    for half in range(3):
+        # small row groups, so that the damaged shard has several
+        held.where(F.col("frame_id") % 3 == half).drop("frame_id").write.option(
+            "parquet.block.size", 1 if half == 2 else 1 << 27).parquet(f"{path}/half={half}")
+    whole = read_footers(spark, path)
+    victim = whole.where("row_groups > 1 and path like '%half=2%'").orderBy("length", "path").first()
+    damage(spark, victim.path, first_byte(victim.path, 1))
+    _, short = src.read_frames_and_short_shards(spark, path)
+    half = F.regexp_extract("path", "half=([0-9])", 1).cast("long").alias("half")
+    found = short.select(half, "rows", "rows_read").groupBy("half").agg(
+        F.count(F.lit(1)).alias("short_shards"), F.bool_and(F.col("rows_read") < F.col("rows")).alias("fewer_read"))
+    return whole.select(half, "rows").groupBy("half").agg(F.sum("rows").alias("footer_rows")).join(
+        found, "half", "left").select("half", "footer_rows", F.coalesce("short_shards", F.lit(0)).alias(
+            "short_shards"), F.coalesce("fewer_read", F.lit(False)).alias("fewer_read"))
+
+
 def _negatives_sql() -> str:
     h = "md5('42:window:'||frame_id||':'||attempt)"
     return f"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumewatch import schemas as S
 from plumewatch.functions.geometry import readable_image
 from plumewatch.session import ship_package
+from plumewatch.sources.footers import read_footers, short_shards
 
 PNG_HEAD = "89504E470D0A1A0A"
 
@@ -22,15 +23,13 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.ANNOTATED_FRAME).parquet(path)
 
 
-def read_frames_and_skipped(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Frames of the readable shards, and `path` and `length` of the shards that gave no row."""
+def read_frames_and_short_shards(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Frames of all readable parts, and the shards that gave fewer rows than their footers say, or have none.
+
+    The second table has path, length, row_groups, rows, readable and rows_read. Shards go by their full path.
+    """
     frames = spark.read.schema(S.ANNOTATED_FRAME).option("ignoreCorruptFiles", "true").parquet(path)
-    listed = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
-        .option("recursiveFileLookup", True).load(path).select("path", "length"))
-    seen = frames.select(F.col("_metadata.file_name").alias("_seen")).distinct()
-    return frames, listed.join(
-        seen, F.substring_index("path", "/", -1) == F.col("_seen"), "left_anti")
+    return frames, short_shards(frames, read_footers(spark, path))
 
 
 def _jpeg_size(data: bytes) -> tuple[int, int] | None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumewatch.operators import rules, sampling
 from plumewatch.plans import catalog, views as V
+from plumewatch.sources import footers
 from plumewatch.sources import frames as src
 
 LAZY = [n for n in catalog.QUERIES if n[0] != "T"]
@@ -64,9 +65,31 @@ def test_corrupt_shard_stops_or_is_listed(spark, sf, tmp_path):
     (path / "broken.parquet").write_bytes(b"PAR1 not a table")
     with pytest.raises(Exception, match="broken.parquet"):
         src.read_frames(spark, str(path)).select("camera", "annotations").collect()
-    frames, skipped = src.read_frames_and_skipped(spark, str(path))
+    frames, short = src.read_frames_and_short_shards(spark, str(path))
     assert frames.count() == n
-    assert [(r.path.rsplit("/", 1)[1], r.length) for r in skipped.collect()] == [("broken.parquet", 16)]
+    assert [(r.path.rsplit("/", 1)[1], r.length, r.rows, r.rows_read) for r in short.collect()] == [
+        ("broken.parquet", 16, None, 0)]
+
+
+def test_shards_go_by_their_full_path(spark, sf, tmp_path):
+    """Equal names in two folders, one of them with a space; the later row groups of one shard are damaged."""
+    frames = V.frames(spark, sf).drop("frame_id")
+    for folder in ("day=a b+c", "day=2"):
+        frames.limit(450).coalesce(1).write.option("parquet.block.size", 1).parquet(str(tmp_path / "in" / folder))
+        shard, = (tmp_path / "in" / folder).glob("*.parquet")
+        shard.rename(shard.with_name("part-0.parquet"))
+        (shard.parent / f".{shard.name}.crc").unlink()
+    whole = footers.read_footers(spark, str(tmp_path / "in")).collect()
+    assert len(whole) == 2 and all(r.readable and r.rows == 450 and r.row_groups > 2 for r in whole)
+    _, short = src.read_frames_and_short_shards(spark, str(tmp_path / "in"))
+    assert short.isEmpty()
+    shard = tmp_path / "in" / "day=2" / "part-0.parquet"
+    data = bytearray(shard.read_bytes())
+    at = footers.first_byte(str(shard), 1)
+    data[at:at + 64] = b"\xff" * 64
+    shard.write_bytes(data)
+    found, = src.read_frames_and_short_shards(spark, str(tmp_path / "in"))[1].collect()
+    assert found.path.endswith("/day=2/part-0.parquet") and found.readable and found.rows_read < found.rows == 450
 
 
 @pytest.mark.parametrize("name", LAZY)
