@@ -13,38 +13,40 @@ then sums phrases by their words: single words, two-word phrases whose bit is se
 two-word parts are. A bit set by another phrase lets too many through and none is lost, so all counts are exact
 whatever the size of the map; a full map only costs a larger shuffle.
 
-Everything is per language, null counting as `und`. Null and empty texts have no words. Very long texts are read
-piece by piece. Repeated rows count again. Ties in score and frequency go by the phrase in UTF-8
+Everything is per language, null counting as `und`. Null and empty texts have no words. Very long texts make a slice of
+their own. Repeated rows count again. Ties in score and frequency go by the phrase in UTF-8
 byte order. An empty table gives an empty table; other columns may have any names. A task holds one slice of
-texts, the words of one piece and a block of `WORDS` words.
+texts and a block of about `WORDS` words.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumewatch.llm.frames import UPPER, documents, name, store
-from plumewatch.llm.memo import Memo
-from plumewatch.llm.pieces import slices
+from plumewatch.llm.pieces import Words, slices
 from plumewatch.session import ship_package
 
 #: Longest phrases, least occurrences, percentage of them inside a longer phrase that drops one, rows per language.
 LONGEST, LEAST, INSIDE, FIRST = 3, 10, 50, 2000
 #: One of so many neighbouring pairs of words starts a chunk.
 MODULUS = 12
-#: Words counted together, chunks summed up before they leave a task, words that a worker remembers.
-WORDS, CHUNKS, MEMO = 1_000_000, 100_000, 200_000
+#: Words counted together, and bytes of text parsed together.
+WORDS, BYTES = 2_000_000, 2_000_000
 #: Bits of the map: at least these, 32 for each surviving hash, and at most these (16 MB).
 BITS_LEAST, BITS_MOST = 1 << 16, 1 << 27
-SIGNS = b".,;:!?\x0b\x0c\x0d"
-LINE = bytes.maketrans(SIGNS + b"\t" + UPPER.encode(), b"\n" * len(SIGNS) + b" " + UPPER.lower().encode())
+#: A byte that no UTF-8 text has ends a piece.
+END = b"\xff"
+SIGNS = b".,;:!?\n\x0b\x0c\r"
+LINE = bytes.maketrans(SIGNS + UPPER.encode(), END * len(SIGNS) + UPPER.lower().encode())
+BYTES_ODD = np.array([xxhash.xxh64_intdigest(bytes([b])) for b in range(256)], np.uint64)
 ODD_A, ODD_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -58,123 +60,123 @@ def _pairs(h: np.ndarray) -> np.ndarray:
     return _mixed(h[:-1] * ODD_A + h[1:] * ODD_B)
 
 
-def pieces(text: str) -> Iterator[list[bytes]]:
-    """The words of each piece that has any."""
-    for piece in text.encode().translate(LINE).split(b"\n"):
-        words = [w for w in piece.split(b" ") if w]
-        if words:
-            yield words
+# ---------------------------------------------------------------- the parse
 
+def _parsed(line: bytes, tail: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Chunks of a line of pieces, each with `END` behind it: words, owned words, and where it begins and bytes kept.
+
+    White space between words becomes one space.
+    """
+    raw = np.frombuffer(line, np.uint8)
+    gap = (raw == 32) | (raw == 9)
+    end = raw == 255
+    before = np.append(True, (gap | end)[:-1])
+    kept = ~(gap & before)
+    raw = np.where(gap, np.uint8(32), raw)[kept]
+    split = (raw == 32) | (raw == 255)
+    before = np.append(True, split[:-1])
+    starts, stops = np.flatnonzero(~split & before), np.flatnonzero(split & ~before)
+    if not len(starts):
+        return [], starts, starts, kept
+    piece = np.cumsum(raw == 255)[starts]
+    # any function of the words will do for the borders: a sum over their bytes
+    h = np.add.reduceat(np.where(split, np.uint64(0), BYTES_ODD[raw]), starts)
+    opens = np.append(True, piece[1:] != piece[:-1])
+    last = np.append(opens[1:], True)
+    opens[:-1] |= ~last[:-1] & (_pairs(h) % np.uint64(MODULUS) == 0)
+    first = np.flatnonzero(opens)
+    behind = np.append(first[1:], len(starts))
+    ends = np.flatnonzero(last)
+    stop = np.minimum(behind + tail, ends[np.searchsorted(ends, first)] + 1)
+    joined = raw.tobytes()
+    found = [joined[i:j] for i, j in zip(starts[first].tolist(), stops[stop - 1].tolist())]
+    return found, behind - first, starts[first], kept
 
-# ---------------------------------------------------------------- the parse
 
 def chunks(df: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST) -> DataFrame:
     """lang, chunk (words and a space between them), owned (words before the overlap) and freq.
 
-    Chunks of a task are summed up before the shuffle, so a passage repeated in it leaves it once.
+    Spark sums up the chunks of a task before the shuffle, so a passage repeated in it leaves it once.
     """
     ship_package(df.sparkSession)
     tail = longest - 1
 
     def run(batches):
-        memo = Memo(lambda w: xxhash.xxh64_intdigest(w), MEMO)
-        seen: dict[tuple[str, bytes, int], int] = {}
-
-        def out():
-            keys = list(seen)
-            made = pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()),
-                 pa.array([k[1] for k in keys], pa.binary()).cast(pa.string()),
-                 pa.array([k[2] for k in keys], pa.int32()), pa.array(list(seen.values()), pa.int64())],
-                names=["lang", "chunk", "owned", "freq"])
-            seen.clear()
-            return made
-
         for whole in batches:
-            for batch in slices(whole, 1):
-                for language, body in zip(batch.column(0), batch.column(1)):
-                    language = language.as_py()
-                    for words in pieces(body.as_py() or ""):
-                        starts = [0]
-                        if len(words) > 2:
-                            h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-                            starts += (np.flatnonzero(_pairs(h[1:]) % np.uint64(MODULUS) == 0) + 1).tolist()
-                        for i, j in itertools.pairwise([*starts, len(words)]):
-                            key = language, b" ".join(words[i:j + tail]), j - i
-                            seen[key] = seen.get(key, 0) + 1
-                        if len(seen) >= CHUNKS:
-                            yield out()
-        if seen:
-            yield out()
+            for batch in slices(whole, 1, BYTES):
+                texts = [(t.as_py() or "").encode().translate(LINE) + END for t in batch.column(1)]
+                found, owned, at, kept = _parsed(b"".join(texts), tail)
+                if not found:
+                    continue
+                sizes = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+                text_of = np.searchsorted(np.cumsum(kept)[sizes - 1], at, "right")
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(text_of)), pa.array(found, pa.binary()).cast(pa.string()),
+                     pa.array(owned.astype(np.int32))], names=["lang", "chunk", "owned"])
 
     source = df.select(F.coalesce(F.col(name(lang)), F.lit("und")).alias("lang"), F.col(name(text)).alias("text"))
-    parsed = source.mapInArrow(run, "lang string, chunk string, owned int, freq long")
-    return parsed.groupBy("lang", "chunk", "owned").agg(F.sum("freq").alias("freq"))
+    parsed = source.mapInArrow(run, "lang string, chunk string, owned int")
+    return parsed.groupBy("lang", "chunk", "owned").agg(F.count(F.lit(1)).alias("freq"))
 
 
 class Block:
-    """The words of many chunks, numbered; words of different languages have different numbers."""
-
-    def __init__(self):
-        self.numbers: dict[str, dict[bytes, int]] = {}
-        self.known: list[tuple[str, bytes]] = []
-        self.ids, self.sizes, self.owned, self.freq = [], [], [], []
-
-    def add(self, lang: str, words: list[bytes], owned: int, freq: int) -> None:
-        numbers = self.numbers.get(lang)
-        if numbers is None:
-            numbers = self.numbers[lang] = {}
-        for w in words:
-            i = numbers.get(w)
-            if i is None:
-                i = numbers[w] = len(self.known)
-                self.known.append((lang, w))
-            self.ids.append(i)
-        self.sizes.append(len(words))
-        self.owned.append(owned)
-        self.freq.append(freq)
-
-    def close(self):
-        """Word numbers, their hashes, weights of owned places, and words from each place to its chunk's end."""
-        seeds = {lang: xxhash.xxh64_intdigest(lang) for lang in self.numbers}
-        hashes = np.array([xxhash.xxh64_intdigest(w, seeds[lang]) for lang, w in self.known], np.uint64)
-        ids, sizes = np.array(self.ids, np.int64), np.array(self.sizes)
-        starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        place = np.arange(len(ids)) - starts
-        weight = np.where(place < np.repeat(self.owned, sizes), np.repeat(np.array(self.freq, np.int64), sizes), 0)
-        return ids, hashes[ids] if len(ids) else hashes, weight, np.repeat(sizes, sizes) - place
-
-
-def _blocks(batches) -> Iterator[Block]:
-    block = Block()
+    """The words of many chunks: a number for each distinct one, hashes, and weights of owned places."""
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(batches).combine_chunks()
+        lang, chunk, owned, freq = (c.chunk(0) for c in table.columns)
+        cut = Words(chunk)
+        self.words = pa.array(cut.words, pa.string())
+        self.ids, self.size = cut.index, np.int64(len(cut.words))
+        sizes = np.diff(cut.offsets)
+        coded = lang.dictionary_encode()
+        self.langs = coded.dictionary
+        self.lang = np.repeat(coded.indices.to_numpy().astype(np.int64), sizes)
+        place = np.arange(len(self.ids)) - np.repeat(cut.offsets[:-1], sizes)
+        #: how often the phrase that begins here counts, and words from here to the end of the chunk
+        self.weight = np.where(place < np.repeat(owned.to_numpy(), sizes), np.repeat(freq.to_numpy(), sizes), 0)
+        self.left = np.repeat(sizes, sizes) - place
+        seeds = np.array([xxhash.xxh64_intdigest(x.as_py()) for x in self.langs], np.uint64)
+        own = np.array([xxhash.xxh64_intdigest(w) for w in cut.words], np.uint64)
+        self.hashes = own[self.ids] ^ seeds[self.lang]
+
+
+def _blocks(batches, limit: int) -> Iterator[Block]:
+    held, size = [], 0
     for batch in batches:
-        for lang, chunk, owned, freq in zip(*(c.to_pylist() for c in batch.columns)):
-            block.add(lang, chunk.encode().split(b" "), owned, freq)
-            if len(block.ids) >= WORDS:
-                yield block
-                block = Block()
-    if block.ids:
-        yield block
-
-
-def _summed(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found, at = np.unique(keys, return_inverse=True)
-    total = np.zeros(len(found), np.int64)
-    np.add.at(total, at, weight)
-    return found, total
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        # words are at least as many as spaces; chunks have a few
+        size += pc.sum(pc.count_substring(batch.column(1), " ")).as_py() + batch.num_rows
+        if size >= limit:
+            yield Block(held)
+            held, size = [], 0
+    if held:
+        yield Block(held)
+
+
+def _summed(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, a place of each, and the sum of their weights."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    return ordered[first], order[first], np.add.reduceat(weight[order], first)
 
 
 def frequent_pairs(parse: DataFrame, least: int = LEAST) -> DataFrame:
     """Hashes of two-word phrases with at least so many occurrences; different phrases may share one."""
+    limit = WORDS
+
     def run(batches):
-        for block in _blocks(batches):
-            ids, h, weight, left = block.close()
-            some = np.flatnonzero((weight[:-1] > 0) & (left[:-1] > 1))
-            found, total = _summed(_pairs(h)[some], weight[some])
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(total)], names=["hash", "n"])
+        for block in _blocks(batches, limit):
+            some = np.flatnonzero((block.weight[:-1] > 0) & (block.left[:-1] > 1))
+            if len(some):
+                found, _, total = _summed(_pairs(block.hashes)[some], block.weight[some])
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(total)], names=["hash", "n"])
 
-    return parse.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(
-        F.col("n") >= least).select("hash")
+    return parse.select("lang", "chunk", "owned", "freq").mapInArrow(run, "hash long, n long").groupBy("hash").agg(
+        F.sum("n").alias("n")).where(F.col("n") >= least).select("hash")
 
 
 def bit_map(hashes: DataFrame) -> np.ndarray:
@@ -199,34 +201,35 @@ def _set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def counts(parse: DataFrame, bits: np.ndarray, longest: int = LONGEST) -> DataFrame:
-    """lang, words (in the phrase), phrase and n: all single words and every phrase that can be frequent."""
+    """lang, phrase, n and words (in the phrase): all single words and every phrase that can be frequent."""
     shared = parse.sparkSession.sparkContext.broadcast(bits)
+    limit = WORDS
 
     def run(batches):
-        for block in _blocks(batches):
-            ids, h, weight, left = block.close()
-            pair = np.append(_set(shared.value, _pairs(h)), False)
-            may = weight > 0
-            keys, size = ids, np.int64(len(block.known))
+        for block in _blocks(batches, limit):
+            ids, left = block.ids, block.left
+            pair = np.append(_set(shared.value, _pairs(block.hashes)), False)
+            may = block.weight > 0
+            keys = block.lang * block.size + ids
             for n in range(1, longest + 1):
                 if n > 1:
                     # a phrase may be frequent if it goes on from one that may and its last two words may
                     may = may[:-1] & (left[:len(may) - 1] >= n) & pair[n - 2:len(may) + n - 3]
-                    keys = _numbered(keys[:-1], ids[n - 1:], size, may)
+                    keys = _numbered(keys[:-1], ids[n - 1:], block.size, may)
                 some = np.flatnonzero(may)
                 if not len(some):
                     break
-                _, first, at = np.unique(keys[some], return_index=True, return_inverse=True)
-                total = np.zeros(len(first), np.int64)
-                np.add.at(total, at, weight[some])
-                phrases = [[block.known[ids[i + k]] for k in range(n)] for i in some[first].tolist()]
+                _, at, total = _summed(keys[some], block.weight[some])
+                at = some[at]
+                words = [block.words.take(pa.array(ids[at + k])) for k in range(n)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([p[0][0] for p in phrases], pa.string()), pa.array([n] * len(phrases), pa.int32()),
-                     pa.array([b" ".join(w for _, w in p) for p in phrases], pa.binary()).cast(pa.string()),
-                     pa.array(total)], names=["lang", "words", "phrase", "n"])
+                    [block.langs.take(pa.array(block.lang[at])),
+                     pc.binary_join_element_wise(*words, " ") if n > 1 else words[0], pa.array(total)],
+                    names=["lang", "phrase", "n"])
 
-    return parse.mapInArrow(run, "lang string, words int, phrase string, n long").groupBy(
-        "lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    return parse.select("lang", "chunk", "owned", "freq").mapInArrow(
+        run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).withColumn(
+        "words", F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1)
 
 
 def _numbered(keys: np.ndarray, last: np.ndarray, size: np.int64, may: np.ndarray) -> np.ndarray:
