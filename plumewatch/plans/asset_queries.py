@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumewatch.functions.geometry import box_struct
@@ -11,7 +12,7 @@ from plumewatch.plans import views as V
 from plumewatch.plans.registry import query
 from plumewatch.plans.score_queries import (
     _OPERATION_SQL, POINT_COLS, _both_models, operating_points, precision_loss)
-from plumewatch.session import scratch_path
+from plumewatch.session import materialize, scratch_path
 from plumewatch.sources import reports
 
 # ---------------------------------------------------------------- histories and reports
@@ -81,14 +82,21 @@ def training_summary(spark, sf):
 
 @query("W7_summary_of_files", "", SUMMARY_SQL)
 def summary_of_files(spark, sf):
-    """The logs as files, one per run, scanned and summarised in the order of their lines."""
+    """The logs as files of many runs, each run behind a header line, scanned and summarised in line order."""
     path = scratch_path(spark, "logs")
     columns = [f.name for f in reports.S.HISTORY.fields]
-    _history(spark, sf).repartition("run").sortWithinPartitions("run", "line").select(
-        F.col("run").alias("log"), *columns).write.partitionBy("log").option("header", True).csv(path)
-    out = reports.training_summary(reports.read_history(spark, path), order=("block", "line"))
-    return out.withColumn("run", F.regexp_extract("run", r"log=(\d+)", 1).cast("bigint")).withColumn(
-        "phase", F.col("phase").cast("int"))
+    held = _history(spark, sf)
+    lines = held.select("run", "line", F.to_csv(F.struct(*columns)).alias("value")).unionByName(
+        held.select("run").distinct().select("run", F.lit(-1).cast("long").alias("line"), F.lit(",".join(columns)).alias(
+            "value")))
+    lines.repartitionByRange("run").sortWithinPartitions("run", "line").select("value").write.text(path)
+    out = reports.training_summary(reports.read_history_logs(spark, path), ["file", "run_no"], ("block", "line"))
+    # files hold ranges of runs in the order of their names: a row for each file
+    out = materialize(out, "log-summaries")
+    files = out.groupBy("file").agg((F.max("run_no") + 1).alias("n"))
+    first = files.select("file", (F.sum("n").over(W.orderBy("file")) - F.col("n")).alias("first"))
+    return out.join(first, "file").select((F.col("first") + F.col("run_no")).alias("run"), F.col("phase").cast(
+        "int").alias("phase"), "best_epoch", "best", "stop_epoch", "epochs")
 
 
 def _evaluation_rows(spark, sf):

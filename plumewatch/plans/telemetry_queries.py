@@ -71,6 +71,23 @@ def trace_lines(spark, sf):
     return src.read_trace(spark, path).withColumn("payload_hex", F.hex("payload")).drop("payload")
 
 
+@query("A13_pass_records", "telemetry", f"""
+WITH t AS (SELECT *, event_id AS e, CASE WHEN prob_x1000>=1000 THEN 100 ELSE (prob_x1000+5)//10 END AS conf_pct,
+ greatest(-40,least(87,temp_c)) AS temp, 1 AS kind, event_id%32 AS flags FROM telemetry)
+SELECT date::VARCHAR AS date, hour, minute, soc, e AS captures, CASE WHEN e%5<>0 THEN e%4 END AS tiles_over,
+ CASE WHEN e%5<>0 THEN (e%1000)/1000.0::DOUBLE END AS prob_max, CASE WHEN e%5<>0 THEN e%9000 END AS ms_infer,
+ CASE WHEN e%7=0 THEN 2 ELSE 1 END AS n_uplinks, {ALERT_HEX} AS first_payload,
+ CASE WHEN e%7=0 THEN e+1 ELSE e END AS last_fcnt FROM t""")
+def pass_records(spark, sf):
+    """Trace lines put together again: every pass with its capture, if it has one, and its uplinks."""
+    path = scratch_path(spark, "trace")
+    V.trace_lines(spark, sf, ragged=True).write.text(path)
+    up = F.col("uplinks")
+    return src.read_passes(spark, path).select(
+        "date", "hour", "minute", "soc", "captures", "tiles_over", "prob_max", "ms_infer", F.size(up).alias(
+            "n_uplinks"), F.hex(up[0].payload).alias("first_payload"), F.element_at(up, -1).fcnt.alias("last_fcnt"))
+
+
 # ---------------------------------------------------------------- codec
 
 @query("C1_encode_alert", "uplinks", f"""

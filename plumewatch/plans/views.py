@@ -279,21 +279,25 @@ def link_lines(spark: SparkSession, sf: str) -> DataFrame:
         F.when(e % 89 == 0, F.substring(text, 1, 20)).otherwise(text).alias("value"))
 
 
-def trace_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Three trace lines per pass."""
+def trace_lines(spark: SparkSession, sf: str, ragged: bool = False) -> DataFrame:
+    """Three trace lines per pass; `ragged` passes have no capture, two uplinks or lines of other kinds."""
     e = F.col("event_id")
     t = telemetry(spark, sf)
     alert = F.hex(codec.encode_alert(
         F.col("node_id"), F.lit(1), codec.confidence_percent(F.col("prob_x1000")), F.col("soc"),
         F.col("temp_c"), e % 32))
-    return t.select(F.explode(F.array(
-        F.format_string("[nodo] %s %02d:%02d  SoC=%d%%  capturas=%d",
-                        F.col("date").cast("string"), "hour", "minute", "soc", e),
-        F.format_string(
-            "[nodo] teselas=32 sobre=%d pmax=0.%03d (%d,%d) remuestreo=%dms inferencia=%dms",
-            e % 4, e % 1000, (e % 7) * 168, (e % 3) * 168, e % 500, e % 9000),
-        F.format_string("[lora] uplink fport=10 fcnt=%d payload=%s", e, alert),
-    )).alias("value"))
+    head = F.format_string("[nodo] %s %02d:%02d  SoC=%d%%  capturas=%d",
+                           F.col("date").cast("string"), "hour", "minute", "soc", e)
+    capture = F.format_string(
+        "[nodo] teselas=32 sobre=%d pmax=0.%03d (%d,%d) remuestreo=%dms inferencia=%dms",
+        e % 4, e % 1000, (e % 7) * 168, (e % 3) * 168, e % 500, e % 9000)
+    uplink = F.format_string("[lora] uplink fport=10 fcnt=%d payload=%s", e, alert)
+    if not ragged:
+        return t.select(F.explode(F.array(head, capture, uplink)).alias("value"))
+    again = F.format_string("[lora] uplink fport=10 fcnt=%d payload=%s", e + 1, alert)
+    return t.select(F.explode(F.array_compact(F.array(
+        head, F.when(e % 3 == 0, F.lit("[nodo] AVISO: sin sesion LoRaWAN, la pasada no podra transmitir")),
+        F.when(e % 5 != 0, capture), uplink, F.when(e % 7 == 0, again)))).alias("value"))
 
 
 # ---------------------------------------------------------------- keyed trees

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumewatch import schemas as S
+from plumewatch.operators.segments import read_lines, with_record
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
@@ -24,6 +25,19 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
                 F.monotonically_increasing_id().alias("line")))
 
 
+def read_history_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Training logs in which a file may hold many runs, one after the other, each behind a header line.
+
+    `run_no` counts the runs of a file from 0, wherever its splits begin; (`block`, `line`) is the order inside a
+    file. A file without a header has one run of its own, with NULL as number.
+    """
+    names = S.HISTORY.fieldNames()
+    header = F.regexp_replace("value", r'[\s"]', "") == ",".join(names)
+    lines = with_record(read_lines(spark, path), header).where(~header & (F.trim("value") != ""))
+    return lines.withColumn("_row", F.from_csv("value", S.HISTORY.simpleString()[7:-1].replace(":", " "))).select(
+        "_row.*", "file", F.col("record_no").alias("run_no"), "block", "line")
+
+
 def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation reports flattened to one row per (model, part, precision kind, point)."""
     doc = spark.read.option("multiLine", True).schema(S.EVALUATION).json(path)
@@ -39,7 +53,7 @@ def write_report(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*")).alias("value")).repartition(1).write.mode("overwrite").text(path)
 
 
-def training_summary(history: DataFrame, run: str = "run", order: str | Sequence[str] = "line",
+def training_summary(history: DataFrame, run: str | Sequence[str] = "run", order: str | Sequence[str] = "line",
                      metric: str = "val_auc_pr", patience: int = 4) -> DataFrame:
     """Per run and phase: best epoch, and the epoch at which early stopping would end it.
 
@@ -47,17 +61,18 @@ def training_summary(history: DataFrame, run: str = "run", order: str | Sequence
     epochs, so one window per run stays small.
     """
     order = [order] if isinstance(order, str) else list(order)
-    w = W.partitionBy(run).orderBy(*order)
+    run = [run] if isinstance(run, str) else list(run)
+    w = W.partitionBy(*run).orderBy(*order)
     restart = F.coalesce((F.lag("epoch").over(w) >= F.col("epoch")).cast("int"), F.lit(0))
     df = history.withColumn("_restart", restart).withColumn(
         "phase", F.sum("_restart").over(w.rowsBetween(W.unboundedPreceding, 0)) + 1)
-    p = W.partitionBy(run, "phase").orderBy(*order)
+    p = W.partitionBy(*run, "phase").orderBy(*order)
     before = F.max(metric).over(p.rowsBetween(W.unboundedPreceding, -1))
     df = df.withColumn("_better", before.isNull() | (F.col(metric) > before))
     last_better = F.max(F.when(F.col("_better"), F.col("epoch"))).over(
         p.rowsBetween(W.unboundedPreceding, 0))
     df = df.withColumn("_stale", F.col("epoch") - last_better)
-    return df.groupBy(run, "phase").agg(
+    return df.groupBy(*run, "phase").agg(
         F.max_by("epoch", F.struct(F.col(metric), -F.col("epoch"))).alias("best_epoch"),
         F.max(metric).alias("best"),
         F.min(F.when(F.col("_stale") >= patience, F.col("epoch"))).alias("stop_epoch"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumewatch import constants as C
 from plumewatch import schemas as S
 from plumewatch.functions import codec
+from plumewatch.operators.segments import read_lines, with_record
 
 
 def read_uplinks(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
@@ -53,3 +54,24 @@ def read_link_messages(spark: SparkSession, path: str, stream: bool = False) ->
 def read_trace(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     reader = spark.readStream if stream else spark.read
     return reader.text(path).select(*codec.trace_fields(F.col("value")))
+
+
+def read_passes(spark: SparkSession, path: str) -> DataFrame:
+    """One row per pass: its own fields, those of its capture line, and its uplinks in order.
+
+    The capture and uplink lines up to the next pass line belong to a pass, also where a split of a large file
+    ends between them. A pass without a capture has NULL there, and of several captures the first counts. Lines
+    before the first pass of a file make a row without pass fields; lines of other kinds are left out.
+    """
+    fields = codec.trace_fields(F.col("value"))
+    lines = read_lines(spark, path).select("file", "block", "line", *fields).where("kind <> 'other'")
+    at = F.struct("block", "line")
+    own, capture = ["date", "hour", "minute", "soc", "captures"], [
+        "tiles_total", "tiles_over", "prob_max", "x_max", "y_max", "ms_resample", "ms_infer"]
+    made = with_record(lines, F.col("kind") == "pass").groupBy("file", "open_block", "open_line", "record_no").agg(
+        F.any_value(F.when(F.col("kind") == "pass", F.struct(*own)), True).alias("_pass"),
+        F.min_by(F.struct(*capture), F.when(F.col("kind") == "capture", at)).alias("_capture"),
+        F.sort_array(F.collect_list(F.when(F.col("kind") == "uplink", F.struct(
+            "block", "line", "fport", "fcnt", "payload")))).alias("_uplinks"))
+    return made.select("file", "record_no", "_pass.*", "_capture.*", F.transform(
+        "_uplinks", lambda u: F.struct(u.fport, u.fcnt, u.payload)).alias("uplinks"))
