@@ -11,6 +11,7 @@ from plumewatch.operators.ranking import lower_rank_percentiles
 from plumewatch.plans import views as V
 from plumewatch.plans.registry import query
 from plumewatch.session import scratch_path
+from plumewatch.sources import epochs
 from plumewatch.sources import frames as src
 from plumewatch.sources.footers import first_byte, read_footers
 
@@ -430,6 +431,22 @@ def epoch_order(spark, sf):
     return passes[0].unionByName(passes[1]).select("epoch", "event_id", "batch_id")
 
 
+@query("S6_epoch_files", "", """
+SELECT epoch, event_id, batch_id, row_number() OVER (PARTITION BY epoch ORDER BY batch_id, event_id)-1 AS position FROM (
+SELECT epoch, event_id, batch_id FROM (SELECT epoch, chunk, (row_number() OVER (PARTITION BY epoch
+ ORDER BY md5((42+epoch)||':'||chunk), chunk)-1)//8 AS batch_id FROM (SELECT DISTINCT event_id//8 AS chunk FROM events)
+ CROSS JOIN range(2) e(epoch)) JOIN events ON chunk=event_id//8)""")
+def epoch_files(spark, sf):
+    """Two epochs written in their order, with the place that every row has in the files."""
+    df = V.table(spark, sf, "events").select("event_id")
+    out = []
+    for epoch in (0, 1):
+        path = scratch_path(spark, "epoch")
+        epochs.write_epoch(df, path, "event_id", epoch, batches=16)
+        out.append(epochs.read_epoch(spark, path).withColumn("epoch", F.lit(epoch)))
+    return out[0].unionByName(out[1]).select("epoch", "event_id", "batch_id", "position")
+
+
 # ---------------------------------------------------------------- summaries
 
 @query("G1_part_summary", "frame_base frame_boxes", PATCHES_SQL + """

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from plumewatch import schemas as S
 from plumewatch.operators.segments import read_lines, with_record
-from plumewatch.sources import reports
+from plumewatch.operators.sampling import epoch_order
+from plumewatch.sources import epochs, reports
 from plumewatch.sources.telemetry import read_passes
 
 PASS = "[nodo] 2024-01-0{} 08:1{}  SoC=50%  capturas={}"
@@ -78,3 +79,20 @@ def test_a_record_longer_than_many_splits(spark, splits, tmp_path):
     assert out.where("record_no = 0").count() == 401 and out.select("open_block", "open_line").distinct().count() == 1
     none = with_record(read_lines(spark, str(tmp_path)), F.col("value") == "absent")
     assert none.where("record_no is null and open_line is null").count() == 401
+
+
+@pytest.mark.parametrize("rows,batches", [(1003, 2), (20_001, 40)])
+def test_epoch_files_hold_the_epoch_in_order(spark, tmp_path, rows, batches):
+    df = spark.range(rows).select((F.col("id") * 3).alias("i"), F.sha2(F.col("id").cast("string"), 256).alias("x"))
+    path = str(tmp_path / "epoch")
+    epochs.write_epoch(df.repartition(5), path, "i", 3, batches=batches)
+    want = sorted((r.batch_id, r.i) for r in epoch_order(df, "i", 3).collect())
+    files = sorted(p for p in (tmp_path / "epoch").iterdir() if p.suffix == ".parquet")
+    read, most = [], 0
+    for file in files:  # as a trainer would
+        part = [(r.batch_id, r.i) for r in spark.read.parquet(str(file)).collect()]
+        most, read = max(most, len(part)), read + part
+    assert read == want and len(files) > 3 and most < rows / 2
+    got = epochs.read_epoch(spark, path).collect()
+    assert [(r.batch_id, r.i) for r in sorted(got, key=lambda r: r.position)] == want
+    assert sorted(r.position for r in got) == list(range(rows))
