@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumewatch import constants as C
 from plumewatch.functions import scoring
-from plumewatch.operators.ranking import running_totals, value_cell
+from plumewatch.operators.ranking import COARSE, at_ranks, running_totals, value_cell
 
 
 def score_curve(df: DataFrame, score: str, label: str, keys: Sequence[str]) -> DataFrame:
@@ -27,26 +27,33 @@ def curve_points(df: DataFrame, score: str, label: str, keys: Sequence[str],
     The threshold is element int(f * n) of the descending negative scores, 1.0 when there is no such
     element; recall is the share of positives at or above it.
     """
-    keys = list(keys)
-    curve = score_curve(df, score, label, keys)
-    aggs = []
-    for i, f in enumerate(fprs):
-        rank = (F.lit(float(f)) * F.col("neg_all")).cast("bigint")
-        reached = F.col("neg_upto") > rank
-        aggs += [
-            F.max(F.when(reached, F.col(score))).alias(f"t_{i}"),
-            F.min(F.when(reached, F.col("pos_upto"))).alias(f"p_{i}")]
-    aggs += [F.max("pos_all").alias("pos_all"),
-             F.coalesce(F.max(F.when(F.col(score) >= 1.0, F.col("pos_upto"))), F.lit(0))
-             .alias("pos_at_one")]
-    wide = curve.groupBy(*keys).agg(*aggs)
+    own, keys = list(keys), [*keys] or ["_one"]
+    df = df if own else df.withColumn("_one", F.lit(1))
+
+    def counted(wanted):
+        return F.coalesce(F.col(label) == wanted, F.lit(False)).cast("int")
+
+    held = df.select(*keys, score, counted(0).alias("neg"), counted(1).alias("pos"))
+
+    def rank(f):
+        return lambda total: F.lit(float(f)) * total
+
+    hist, found = at_ranks(held, keys, score, ["neg", "pos"], [rank(f) for f in fprs], descending=True)
+    # the cell of 1.0 begins there
+    at_one = F.col("_coarse") >= value_cell(F.lit(1.0), COARSE)
+    totals = hist.groupBy(*keys).agg(
+        F.sum("pos").alias("pos_all"), F.coalesce(F.sum(F.when(at_one, F.col("pos"))), F.lit(0)).alias("pos_at_one"))
+    thresholds = found.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("_i") == i, F.col(c))).alias(f"{t}_{i}")
+        for i in range(len(fprs)) for t, c in (("t", score), ("p", "pos_upto"))])
+    wide = totals.join(thresholds, keys, "left")
     rows = F.array(*[F.struct(
         F.lit(float(f)).alias("fpr_target"),
         F.coalesce(F.col(f"t_{i}"), F.lit(1.0)).alias("umbral"),
         (F.coalesce(F.col(f"p_{i}"), F.col("pos_at_one")) / F.greatest(F.lit(1), F.col("pos_all")))
         .alias("recall")) for i, f in enumerate(fprs)])
-    return wide.select(*keys, F.inline(rows)).select(
-        *keys, "fpr_target", F.round("umbral", 4).alias("umbral"),
+    return wide.select(*own, F.inline(rows)).select(
+        *own, "fpr_target", F.round("umbral", 4).alias("umbral"),
         F.round("recall", 4).alias("recall"))
 
 

@@ -7,14 +7,16 @@ totals (a small table) give each cell its offset, and the fine window runs insid
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Cells for each power of two.
-CELLS = 2048
+from plumewatch.session import materialize
+
+#: Cells for each power of two: of running totals, and of histograms that ranks are looked up in.
+CELLS, COARSE = 2048, 64
 _LARGEST = 1.7976931348623157e308
 
 
@@ -64,17 +66,52 @@ def running_totals(df: DataFrame, keys: Sequence[str], cell: Column, order: Colu
         *[f"{v}_all" for v in values])
 
 
+def at_ranks(df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str], ranks: Sequence[Callable],
+             cell: Column | None = None, descending: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Exact values at ranks by radix selection, without ordering all values.
+
+    A histogram over coarse monotone cells finds the cell in which each rank falls; a second pass over the rows
+    takes only those of these border cells apart. What is shuffled are histogram cells and the distinct values of
+    border cells, however many distinct values there are.
+
+    The first column of `sums` is the weight that ranks count, from 0; `ranks` are functions from its group total
+    to a rank. Returns the histogram (keys, `_coarse`, `sums`), and for each rank number `_i` that exists the value
+    and `<s>_upto`, the inclusive running sums.
+    """
+    keys = list(keys)
+    base = df.withColumn("_coarse", value_cell(F.col(value), COARSE) if cell is None else cell)
+    hist = materialize(base.groupBy(*keys, "_coarse").agg(*[F.sum(s).alias(s) for s in sums]), "rank-histogram")
+    group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    place = F.col("_coarse").desc() if descending else F.col("_coarse").asc_nulls_last()
+    before = group.orderBy(place).rowsBetween(W.unboundedPreceding, -1)
+    by = sums[0]
+    placed = hist.select(
+        *keys, "_coarse", by, *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_{s}_before") for s in sums],
+        F.sum(by).over(group).alias("_all"))
+    border = placed.select("*", F.posexplode(F.array(*[r(F.col("_all")).cast("bigint") for r in ranks])).alias(
+        "_i", "_rank")).where((F.col("_rank") >= F.col(f"_{by}_before")) & (
+            F.col("_rank") < F.col(f"_{by}_before") + F.col(by))).drop(by, "_all")
+    border = materialize(border, "rank-borders")
+    at = [*keys, "_coarse"]
+    inside = materialize(base.join(border.select(*at).distinct(), at, "left_semi").groupBy(*at, value).agg(
+        *[F.sum(s).alias(s) for s in sums]), "border-values")
+    run = running_totals(inside, at, value_cell(F.col(value)) if cell is None else cell, F.col(value), sums, descending)
+    upto = [(F.col(f"_{s}_before") + F.col(f"{s}_upto")).alias(f"{s}_upto") for s in sums]
+    found = run.join(border, at).where(F.col(f"_{by}_before") + F.col(f"{by}_upto") > F.col("_rank")).select(
+        *keys, "_i", value, *upto)
+    first = F.max(value) if descending else F.min(value)
+    return hist, found.groupBy(*keys, "_i").agg(first.alias(value), *[F.min(f"{s}_upto").alias(f"{s}_upto") for s in sums])
+
+
 def lower_rank_percentiles(df: DataFrame, value: str, probs: Sequence[float],
                            keys: Sequence[str] = (), cell: Column | None = None) -> DataFrame:
     """Exact percentile as element int(p * (n - 1)) of the sorted values, per group."""
     keys = list(keys)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("n"))
-    run = running_totals(counts, keys, value_cell(F.col(value)) if cell is None else cell,
-                         F.col(value), ["n"])
-    aggs = [
-        F.min(F.when(
-            F.col("n_upto") > (F.lit(float(p)) * (F.col("n_all") - 1)).cast("bigint"),
-            F.col(value))).alias(f"p{round(p * 100)}")
-        for p in probs]
-    return run.groupBy(*keys).agg(*aggs)
+    held = df.where(F.col(value).isNotNull()).select(*keys, value, F.lit(1).alias("n"))
+
+    def rank(p):
+        return lambda total: F.lit(float(p)) * (total - 1)
+
+    _, found = at_ranks(held, keys, value, ["n"], [rank(p) for p in probs], cell)
+    return found.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_i") == i, F.col(value))).alias(f"p{round(p * 100)}") for i, p in enumerate(probs)])
