@@ -80,20 +80,26 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def build_or_read(build: Callable[[], DataFrame], spark: SparkSession, label: str, key: str,
                   ) -> DataFrame:
-    """The stored table of a key: read if it is complete, else built and published in one rename.
+    """The stored table of a key: read if it has been published, else built and published.
 
-    `key` must name everything the table depends on. Of two builders at a time one publishes.
+    `key` must name everything the table depends on. A table is written whole to a folder of its own; then a small
+    file under the key's name, put in place by one rename, tells where it is. A folder left half-written is never
+    read, since nothing points to it. Of two builders at a time one publishes, and both read complete tables.
     """
-    target = f"{scratch_root(spark)}/{label}-{hashlib.md5(key.encode()).hexdigest()}"
+    target = f"{scratch_root(spark)}/{label}-{hashlib.md5(key.encode()).hexdigest()}.at"
     jvm = spark._jvm.org.apache.hadoop.fs.Path
     final = jvm(target)
     files = final.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(jvm(f"{target}/_SUCCESS")):
-        made = scratch_path(spark, f"{label}-building")
+    if not files.exists(final):
+        made = scratch_path(spark, label)
         build().write.parquet(made)
-        if not files.exists(final):
-            files.rename(jvm(made), final)
-    return spark.read.parquet(target)
+        note = jvm(f"{made}.at")
+        out = files.create(note, True)
+        out.write(made.encode())
+        out.close()
+        if files.exists(final) or not files.rename(note, final):
+            files.delete(note, False)  # another builder was first
+    return spark.read.parquet(spark.read.text(target, wholetext=True).first()[0])
 
 
 def table_state(spark: SparkSession, path: str) -> str:

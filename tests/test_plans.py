@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from plumewatch import session
 from plumewatch.operators import rules, sampling
 from plumewatch.plans import catalog, views as V
 from plumewatch.sources import footers
@@ -103,3 +104,27 @@ def test_per_file_limit_over_several_files(spark, tmp_path):
     df = spark.read.parquet(path).select("id", F.col("_metadata.file_name").alias("file"))
     counts = [r["count"] for r in src.per_file_limit(df, "file", "id", 7).groupBy("file").count().collect()]
     assert counts == [7, 7, 7]
+
+
+def test_a_half_written_table_is_never_read(spark):
+    """Nothing points to a folder whose builder died; the next one builds anew, and later ones read."""
+    made = []
+
+    def build():
+        made.append(1)
+        return spark.range(5)
+
+    def dies():
+        raise RuntimeError("lost")
+
+    key = session.scratch_path(spark, "key")
+    with pytest.raises(RuntimeError):
+        session.build_or_read(dies, spark, "kept", key)
+    assert session.build_or_read(build, spark, "kept", key).count() == 5
+    assert session.build_or_read(build, spark, "kept", key).count() == 5 and len(made) == 1
+    # a builder that comes second leaves the first one's table in place
+    def slow():
+        other = session.build_or_read(build, spark, "kept", key + "2")
+        return other.unionByName(other)
+
+    assert session.build_or_read(slow, spark, "kept", key + "2").count() == 5
