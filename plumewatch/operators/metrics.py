@@ -71,13 +71,22 @@ def level(score: Column, grid: Sequence[float]) -> Column:
 def sweep(df: DataFrame, score: str, label: str, grid: Sequence[float],
           keys: Sequence[str] = ()) -> DataFrame:
     """Confusion metrics at every grid threshold, per key."""
+    return swept(level_counts(df, score, label, grid, keys), grid, keys)
+
+
+def level_counts(df: DataFrame, score: str, label: str, grid: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """Positives and negatives of each level: a summary that adds up over any parts of the rows."""
     keys = list(keys)
-    truth = _truth(F.col(label))
-    n = len(grid)
-    levels = (
-        df.select(*keys, level(F.col(score), grid).alias("_level"), truth.alias("_truth"))
+    return (
+        df.select(*keys, level(F.col(score), grid).alias("_level"), _truth(F.col(label)).alias("_truth"))
         .groupBy(*keys, "_level")
         .agg(F.count_if(F.col("_truth")).alias("_p"), F.count_if(~F.col("_truth")).alias("_n")))
+
+
+def swept(levels: DataFrame, grid: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """Confusion metrics at every grid threshold from the counts of levels, per key."""
+    keys = list(keys)
+    n = len(grid)
     # at most n + 1 levels per key are gathered here
     packed = levels.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("_level", F.struct("_p", "_n")))).alias("_m"))

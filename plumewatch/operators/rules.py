@@ -92,7 +92,11 @@ def effective_scores_of_frames(frames: DataFrame, ks: Sequence[int] = (1, 2, 3),
 
 def _rule_scores(frames: DataFrame, ks: Sequence[int], ns: Sequence[int]) -> DataFrame:
     frames = materialize(frames, "frame-scores")
-    frames = confirmed_scores(frames, ns, score="top_1")
+    return by_rule(confirmed_scores(frames, ns, score="top_1"), ks, ns)
+
+
+def by_rule(frames: DataFrame, ks: Sequence[int], ns: Sequence[int]) -> DataFrame:
+    """One row per frame and rule, from frames with their k-th and confirmed scores."""
     rules = [F.struct(F.lit(f"{k}_de_N").alias("rule"), F.col(f"top_{k}").alias("score"))
              for k in ks]
     rules += [F.struct(F.lit(f"temporal_{n}").alias("rule"), F.col(f"confirmed_{n}").alias("score"))
@@ -104,7 +108,11 @@ def leaderboard(scores: DataFrame, grid: Sequence[float] = C.FRAME_GRID,
                 caps: dict[str, Sequence[float]] = RULE_CAPS) -> DataFrame:
     """Best point of every rule under its false-positive caps; unreachable rules keep a row with
     NULL metrics."""
-    points = sweep(scores, "score", "smoke", grid, ["rule"])
+    return best_of_rules(sweep(scores, "score", "smoke", grid, ["rule"]), caps)
+
+
+def best_of_rules(points: DataFrame, caps: dict[str, Sequence[float]] = RULE_CAPS) -> DataFrame:
+    """The leaderboard from the swept points of all rules."""
     # one short literal row per rule and cap
     wanted = points.sparkSession.range(1).select(F.inline(F.array(*[
         F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cap"),

@@ -353,13 +353,16 @@ _RULES_SQL = f"""
   UNION ALL SELECT frame_id, smoke, 'temporal_3', CASE WHEN l2 IS NOT NULL THEN least(t1,l1,l2) END FROM history)"""
 
 
-@query("K5_rule_leaderboard", "tile_scores", f"""WITH {_RULES_SQL},
+K5_SQL = f"""WITH {_RULES_SQL},
  {sweep_sql('swept', 'scores', 'rule', FRAME_GRID, 'smoke')},
  wanted(rule, cap, regla) AS (VALUES ('1_de_N',0.10::DOUBLE,'1_de_N'),('2_de_N',0.10::DOUBLE,'2_de_N_fpr0.1'),('2_de_N',0.01::DOUBLE,'2_de_N_fpr0.01'),
   ('3_de_N',0.10::DOUBLE,'3_de_N_fpr0.1'),('3_de_N',0.01::DOUBLE,'3_de_N_fpr0.01'),('temporal_2',0.10::DOUBLE,'temporal_2'),('temporal_3',0.10::DOUBLE,'temporal_3')),
  best AS (SELECT * FROM (SELECT w.regla, s.*, row_number() OVER (PARTITION BY regla ORDER BY recall DESC, umbral) AS r
   FROM swept s JOIN wanted w ON s.rule=w.rule AND s.fpr<=w.cap) WHERE r=1)
-SELECT w.regla, umbral, tp, fp, fn, tn, recall, precision, f1, fpr FROM wanted w LEFT JOIN best b ON b.regla=w.regla""")
+SELECT w.regla, umbral, tp, fp, fn, tn, recall, precision, f1, fpr FROM wanted w LEFT JOIN best b ON b.regla=w.regla"""
+
+
+@query("K5_rule_leaderboard", "tile_scores", K5_SQL)
 def rule_leaderboard(spark, sf):
     return rules.leaderboard(rules.effective_scores_of_frames(V.frame_tile_scores(spark, sf)))
 

@@ -9,13 +9,14 @@ from plumewatch.functions import codec, policy
 from plumewatch.operators import audit, rules, summaries, timeline
 from plumewatch.plans import views as V
 from plumewatch.plans.registry import query
-from plumewatch.plans.score_queries import RESULT_SQL, RUN_SQL
+from plumewatch.plans.score_queries import K5_SQL, RESULT_SQL, RUN_SQL
 from plumewatch.schemas import EVENTS
 from plumewatch.session import materialize, scratch_path
 from plumewatch.sources import telemetry as src
 from plumewatch.streaming import captures as live
 from plumewatch.streaming import state
 from plumewatch.streaming.runs import event_stream
+from plumewatch.streaming.sweeps import leaderboard_stream
 from plumewatch.streaming.uplinks import decode_available
 
 BYTE = "lpad(upper(to_hex(({})::BIGINT & 255)),2,'0')"
@@ -505,6 +506,13 @@ def late_runs(spark, sf):
     return _in_batches(spark, sf, run).select(F.col("event_id").alias("frame_id"), "camera", "run")
 
 
+@query("K5_streamed_leaderboard", "tile_scores", K5_SQL)
+def streamed_leaderboard(spark, sf):
+    """The rule leaderboard kept up to date over batches that are out of order."""
+    return _in_batches(spark, sf, lambda events, folder: leaderboard_stream(
+        V.scored_frames_of(V.captures_from(events)), folder=folder))
+
+
 @query("T5_streamed_runs", "telemetry", f"""
 WITH f AS (SELECT event_id AS frame_id, node_id AS camera, ts, prob_x1000>=300 AS hit FROM telemetry), {RUN_SQL}""")
 def streamed_runs(spark, sf):

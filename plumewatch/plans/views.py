@@ -178,7 +178,7 @@ def tile_scores(spark: SparkSession, sf: str, salt: str = "") -> DataFrame:
     return tiles_of(captures(spark, sf), salt)
 
 
-def frame_tile_scores(spark: SparkSession, sf: str, salt: str = "") -> DataFrame:
+def scored_frames_of(caps: DataFrame, salt: str = "") -> DataFrame:
     """Captures with the scores of their tiles as an array in tile order, as a scorer emits them."""
     def score(tile: Column) -> Column:
         h = digest(*([salt] if salt else []), F.col("frame_id"), tile)
@@ -186,10 +186,13 @@ def frame_tile_scores(spark: SparkSession, sf: str, salt: str = "") -> DataFrame
         planted = F.col("smoke") & (tile == F.col("frame_id") % TILES)
         return F.when(planted, F.greatest(b1, b2)).otherwise(F.floor(b1 * b2 / 256)) / F.lit(256.0)
 
-    return captures(spark, sf).select("*", F.transform(
+    return caps.select("*", F.transform(
         F.sequence(F.lit(0), F.lit(TILES - 1)), score).alias("scores"))
 
 
+def frame_tile_scores(spark: SparkSession, sf: str, salt: str = "") -> DataFrame:
+    return scored_frames_of(captures(spark, sf), salt)
+
 def patch_scores(spark: SparkSession, sf: str, salt: str = "") -> DataFrame:
     """Scored patches: a positive and three hard negatives per smoke capture, four clean ones else."""
     t = tile_scores(spark, sf, salt)

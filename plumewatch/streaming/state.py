@@ -50,7 +50,8 @@ def capped_alerts(alerts: DataFrame, limit: int = C.MAX_ALERTS_PER_HOUR, delay:
 
 def _repaired(stream: DataFrame, key: str, ts: str, tie: str, columns: Sequence[str],
               segments: Callable[[DataFrame], DataFrame], carries: Callable[[DataFrame], DataFrame],
-              finish: Callable[[DataFrame, DataFrame], DataFrame], folder: str) -> DataFrame:
+              finish: Callable[[DataFrame, DataFrame], DataFrame], folder: str,
+              replaced: Callable[[DataFrame | None, DataFrame | None, int], None] | None = None) -> DataFrame:
     """Run a timeline operator over micro-batches whose rows may come in any order.
 
     Timelines are cut into hours. What an hour does to the ones after it is a small segment, and segments
@@ -61,7 +62,8 @@ def _repaired(stream: DataFrame, key: str, ts: str, tie: str, columns: Sequence[
 
     Everything is written per batch, so a replayed batch starts from the same state and overwrites its own
     folders. Of the segments the state before a batch is kept, older ones are removed. A later call with the
-    same folder goes on where this one stopped.
+    same folder goes on where this one stopped. `replaced` is called in every batch with the new rows of the hours
+    it works out and with their rows before it, None if there are none.
     """
     spark = stream.sparkSession
     out, cells, kept, state = (f"{folder}/{name}" for name in ("rows", "cells", "segments", "state"))
@@ -92,20 +94,27 @@ def _repaired(stream: DataFrame, key: str, ts: str, tie: str, columns: Sequence[
         if batch_id > 1:
             remove(spark, f"{kept}/v{batch_id - 2}")
         if changed is None:
+            if replaced:
+                replaced(None, None, batch_id)
             return
         mine = changed.select(key).distinct()
+        before = None
         after = carries(spark.read.parquet(f"{kept}/v{batch_id}").join(mine, key, "left_semi"))
         if old is not None:
             # what goes into an hour, before and after this batch
             value = next(c for c in after.columns if c not in (key, "_cell"))
-            before = carries(old.join(mine, key, "left_semi")).withColumnRenamed(value, "_was")
-            after = after.join(before, [key, "_cell"], "left").join(
+            before = carries(old.join(mine, key, "left_semi"))
+            after = after.join(before.withColumnRenamed(value, "_was"), [key, "_cell"], "left").join(
                 touched.withColumn("_touched", F.lit(True)), [key, "_cell"], "left").where(
                 F.col("_touched") | ~F.col(value).eqNullSafe(F.col("_was"))).drop("_was", "_touched")
         after.write.mode("overwrite").parquet(f"{folder}/carried")
         carried = spark.read.parquet(f"{folder}/carried")
         finish(held(carried.select(key, "_cell"), batch_id), carried).write.mode("overwrite").parquet(
             f"{out}/version={batch_id}")
+        if replaced:
+            cells_now = carried.select(key, "_cell")
+            gone = None if before is None else finish(held(cells_now, batch_id - 1), before)
+            replaced(spark.read.parquet(f"{out}/version={batch_id}"), gone, batch_id)
 
     query = (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", state)
@@ -117,15 +126,15 @@ def _repaired(stream: DataFrame, key: str, ts: str, tie: str, columns: Sequence[
 
 
 def confirmed_stream(captures: DataFrame, ns: Sequence[int] = (2, 3), key: str = "camera",
-                     ts: str = "ts", tie: str = "frame_id", score: str = "score",
-                     folder: str | None = None) -> DataFrame:
+                     ts: str = "ts", tie: str = "frame_id", score: str = "score", folder: str | None = None,
+                     replaced: Callable[[DataFrame | None, DataFrame | None, int], None] | None = None) -> DataFrame:
     """Temporal confirmation of captures in any order of batches; a segment is the last n - 1 scores of an hour."""
     depth = max(ns) - 1
     return _repaired(
         captures, key, ts, tie, captures.columns,
         lambda rows: score_tails(rows, depth, key, ts, tie, score), lambda tails: score_carries(tails, depth, key),
         lambda rows, carried: confirmed_rows(rows, carried, ns, key, ts, tie, score),
-        folder or scratch_path(captures.sparkSession, "confirmed"))
+        folder or scratch_path(captures.sparkSession, "confirmed"), replaced)
 
 
 def run_length_stream(captures: DataFrame, hit: Column, key: str = "node_id", ts: str = "ts",

@@ -7,8 +7,9 @@ from plumewatch.operators import timeline
 from plumewatch.plans import views as V
 from plumewatch.schemas import EVENTS
 from plumewatch.session import scratch_path
-from plumewatch.streaming import captures, state
+from plumewatch.operators import rules
 from plumewatch.operators.rules import capture_result
+from plumewatch.streaming import captures, state, sweeps
 from plumewatch.streaming.uplinks import decode_available
 
 FILES = 4
@@ -166,3 +167,23 @@ def test_any_order_of_batches_ends_with_the_batch_result(spark, sf, tmp_path):
     for old, new in zip(versions, versions[1:]):
         assert all(new[e][1] > v for e, (run, v) in old.items() if new[e][0] != run)
     assert any(v < 3 for _, v in versions[-1].values())
+
+
+def test_leaderboard_after_every_batch_and_after_a_replay(spark, sf, tmp_path):
+    """Few cameras and mixed batches: late frames take back what the frames after them had confirmed."""
+    path, folder = str(tmp_path / "in"), str(tmp_path / "run")
+    events = V.table(spark, sf, "events").withColumn("user_id", F.col("user_id") % 3)
+    mixed = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    for i in range(3):
+        events.where(mixed == i).coalesce(1).write.mode("append").parquet(path)
+        got = sweeps.leaderboard_stream(V.scored_frames_of(V.captures_from(stream(spark, path))), folder=folder)
+        want = rules.leaderboard(rules.effective_scores_of_frames(
+            V.scored_frames_of(V.captures_from(events.where(mixed <= i)))))
+        assert rows(got.na.fill(-1)) == rows(want.na.fill(-1))
+        assert spark.read.parquet(f"{folder}/levels/v{i}").count() <= 5 * 200
+    # the last batch fails after its writes and runs again
+    (tmp_path / "run" / "state" / "commits" / "2").unlink()
+    for crc in (tmp_path / "run" / "state" / "commits").glob(".2*"):
+        crc.unlink()
+    got = sweeps.leaderboard_stream(V.scored_frames_of(V.captures_from(stream(spark, path))), folder=folder)
+    assert rows(got.na.fill(-1)) == rows(want.na.fill(-1))
