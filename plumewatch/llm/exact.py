@@ -7,8 +7,8 @@ the slices' representatives are sorted and compared once more. There are never m
 such texts, whatever the input's size, so their table is a safe broadcast.
 
 Null texts count as empty and equal each other. Of equal texts the row with the largest id stays; null
-ids come after all others, and of rows that share the largest id exactly one stays. An empty table gives
-an empty table; other columns may have any names.
+ids come after all others, and of rows that share the largest id exactly one stays. Very long texts are
+hashed and compared whole. An empty table gives an empty table; other columns may have any names.
 """
 
 from __future__ import annotations

@@ -3,10 +3,38 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumewatch.llm.frames import discard, store
+from plumewatch.session import ship_package
+
+#: Edges that a task reduces at a time.
+EDGES = 2_000_000
+
+
+def _thin(limit: int):
+    """Stars with the components of the edges of a task, `limit` more at a time."""
+    def run(batches):
+        a = b = np.zeros(0, np.int64)
+        left, right, size = [], [], 0
+
+        def reduced():
+            return forest(np.concatenate([a, *left]), np.concatenate([b, *right]))
+
+        for batch in batches:
+            left.append(batch.column(0).to_numpy(zero_copy_only=False))
+            right.append(batch.column(1).to_numpy(zero_copy_only=False))
+            size += batch.num_rows
+            if size >= limit:
+                a, b = reduced()
+                left, right, size = [], [], 0
+        a, b = reduced()
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
+
+    return run
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -14,12 +42,14 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
     `edges` has long columns a and b. Each round points a node's larger, then its smaller neighbours at
     the smallest one; the number of rounds grows with the logarithm of a component. Minima are combined
-    before the shuffle and neighbours are never gathered, so a hub costs no more than its edges. Rounds
-    are written to the shared folder and the one before is removed.
+    before the shuffle and neighbours are never gathered, so a hub costs no more than its edges. Before the
+    first round the edges of each task, dealt by their larger node, are reduced to a forest: a node with many
+    edges enters with about one. Rounds are written to the shared folder and the one before is removed.
     """
     spark = edges.sparkSession
-    table, path = store(edges.where("a <> b").select(
-        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
+    ship_package(spark)
+    dealt = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    table, path = store(dealt.repartition("u").mapInArrow(_thin(EDGES), "u long, v long"), label)
     seen = None
     while True:
         both = table.unionByName(table.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -28,7 +28,9 @@ from plumewatch.session import ship_package
 
 FEATURES = 8192
 #: Documents that the machines are fitted on, at most.
-ROWS = 1200
+ROWS = 2000
+#: Score from which a prediction replaces the given language.
+CERTAIN = 0.9
 #: Characters turned into features at a time.
 BLOCK = 1 << 20
 UNKNOWN = "und"
@@ -216,12 +218,17 @@ def identify(df: DataFrame, text: str = "text", lang: str = "lang", row_id: str
 
 def known_language(df: DataFrame, text: str = "text", lang: str = "lang", row_id: str = "doc_id",
                    ) -> DataFrame:
-    """The rows whose text is in a language, with their own columns; `und` rows go."""
+    """The rows whose text is in a language, with their own columns; `und` rows go.
+
+    The language column takes the predicted language where it is null or the score is at least `CERTAIN`.
+    """
     model = fit(df.where(~held_out(row_id)), text, lang, row_id)
     row, content, found, score = (fresh(n) for n in ("row", "text", "lang", "score"))
     rows = df.select(packed(df).alias(row), F.col(name(text)).alias(content))
-    return predict(rows, model, content, found, score).where(
-        F.col(found) != UNKNOWN).select(f"{row}.*")
+    known = predict(rows, model, content, found, score).where(F.col(found) != UNKNOWN)
+    own = F.col(row).getField(lang)
+    named = F.when(own.isNull() | (F.col(score) >= CERTAIN), F.col(found)).otherwise(own)
+    return known.select(*[named.alias(c) if c == lang else F.col(row).getField(c).alias(c) for c in df.columns])
 
 
 def op9_family_svm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,9 @@ inside the border cell of the first, and one exact look into the last cell, whic
 16 million; no source is ever gathered or sorted whole.
 
 Null texts have no words. Null is a source like others and comes last. Repeated rows have the same draw
-and are taken together. Sources without words have target 0. An empty table gives an empty table.
+and are taken together. Sources without words have target 0. A very long text is taken whole or
+not at all and may leave its source half its length from the target. Ties of the draw are taken together. An
+empty table gives an empty table; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -119,7 +121,9 @@ def plan(rows: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, epoc
         "b_source", F.coalesce("inner", F.try_subtract(
             F.shiftleft("b_cell", 64 - 2 * CELL_BITS), F.lit(1))).alias("last_draw"))
     found, _ = store(aims.join(last, F.col("aim").eqNullSafe(F.col("b_source")), "left").select(
-        "aim", "source_size", "target", "whole", "last_draw"), "mix-plan")
+        "aim", "source_size", "target", "whole",
+        # without a fraction nothing more is taken, not even documents without words
+        F.when(F.col("rest") > 0, F.col("last_draw")).alias("last_draw")), "mix-plan")
     return found
 
 

@@ -9,7 +9,9 @@ into `BINS` bins for each shard. So the differencing always sees at most 2 x BIN
 large the input, and the bins stay a thousandth of a shard. Nothing else reaches the driver.
 
 Null texts have no bytes and group with empty ones; a row's size is its bytes plus one. Repeated rows get
-slots of their own. An empty table gives an empty table; other columns play no part.
+slots of their own. A very long text is an item of its own and is never cut; only its size is moved. Items of
+equal size go by their number, so ties are settled alike in every run. An empty table gives an empty table; other
+columns play no part.
 """
 
 from __future__ import annotations

@@ -13,8 +13,8 @@ pairs, so that a dense group of near copies gives no more rows than it has finge
 Equal fingerprints are joined before all this.
 
 Texts that are null or have no word have fingerprint zero and are linked like others; a text of one or
-two words is one shingle. Repeated rows and ties share a fingerprint. Null ids are never the smallest of
-a component. An empty table gives an empty table; other columns may have any names.
+two words is one shingle. Repeated rows and ties share a fingerprint. Very long texts are hashed whole, in blocks
+of `BLOCK` shingles. Null ids are never the smallest of a component. An empty table gives an empty table; other columns may have any names.
 """
 
 from __future__ import annotations
