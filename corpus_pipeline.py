@@ -19,7 +19,7 @@ from plumewatch.session import scratch_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is null or has no letter go."""
+    """Documents whose text is null or has no letter go; `lang` takes what is predicted with certainty."""
     return language.known_language(docs)
 
 
