@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumewatch.functions.geometry import box_struct
 from plumewatch.functions.hashing import digest, unit
-from plumewatch.operators import metrics, pixels, snapshots
+from plumewatch.operators import metrics, pixels, rollup, snapshots
 from plumewatch.plans import views as V
 from plumewatch.plans.registry import query
 from plumewatch.plans.score_queries import (
@@ -171,6 +171,22 @@ def tree_difference(spark, sf):
     return snapshots.tree_differences(V.tree_a(spark, sf), V.tree_b(spark, sf))
 
 
+def _foldered(tree):
+    """Ids as paths of three levels."""
+    number = F.col("path").cast("bigint")
+    return tree.select(F.concat_ws("/", F.floor(number / 10000).cast("string"), F.floor(number / 100).cast("string"),
+                                   "path").alias("path"), "hash")
+
+
+@query("J9_folder_difference", "tree_a tree_b", f"""
+SELECT (path::BIGINT//10000)||'/'||(path::BIGINT//100)||'/'||path AS path, problem FROM ({_DIFF_SQL})""")
+def folder_difference(spark, sf):
+    """Both trees with their stored roll-ups; equal folders are settled by one digest."""
+    a, b = _foldered(V.tree_a(spark, sf)), _foldered(V.tree_b(spark, sf))
+    return rollup.folder_differences(a, b, materialize(rollup.roll_up(a), "rolled-tree"),
+                                     materialize(rollup.roll_up(b), "rolled-tree"))
+
+
 @query("J10_fleet_verdict", "copies masters", """
 WITH size AS (SELECT library, count(*) AS files FROM masters GROUP BY library),
 m AS (SELECT c.copy_id, c.library, count(*) AS files, count_if(m.path IS NULL) AS extra, coalesce(count_if(m.hash<>c.hash),0) AS different
