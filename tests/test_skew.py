@@ -246,3 +246,36 @@ def test_awkward_rectangles_and_repeated_windows(spark, dense_rows):
         (1, 1, -1), (1, 1, -1), (1, 2, -1), (2, 2, -9e6), (3, 1, 5.0)]
     pairs = overlap.overlapping_pairs(w, b, 0.0, dense_rows).collect()
     assert sorted((r.frame_id, r.window_id, r.box_id) for r in pairs) == [(1, 1, 1), (2, 1, 1)]
+
+
+def _largest_cell(w, b):
+    placed = overlap._sides(w, b, overlap.DENSE_ROWS, overlap.HOT_ROWS)[1]
+    sizes = [r["count"] for r in placed.groupBy("frame_id", "_salt", "_cx", "_cy").count().collect()]
+    return max(sizes), sum(sizes)
+
+
+def test_cells_of_a_dense_frame_follow_its_boxes(spark):
+    """Boxes far out of any fixed grid, with an outlier, and boxes on one spot."""
+    rnd = random.Random(8)
+
+    def rects(n, draw, size):
+        return [("f", x, y, x + rnd.randrange(5, size), y + rnd.randrange(5, size))
+                for x, y in ((draw(), draw()) for _ in range(n))]
+
+    def tables(boxes):
+        windows = [(f"w{i}", *r) for i, r in enumerate(rnd.sample(boxes, 60))] + [("far", "f", -9, -9, -1, -1)]
+        w = spark.createDataFrame(windows, "window_id string, frame_id string, x0 long, y0 long, x1 long, y1 long")
+        b = spark.createDataFrame([(i, *r) for i, r in enumerate(boxes)],
+                                  "box_id int, frame_id string, x0 long, y0 long, x1 long, y1 long")
+        got = {(r.window_id, r.box_id) for r in overlap.overlapping_pairs(w, b).collect()}
+        assert got == {(x[0], i) for x in windows for i, y in enumerate(boxes)
+                       if min(x[4], y[3]) > max(x[2], y[1]) and min(x[5], y[4]) > max(x[3], y[2])}
+        free = {r.window_id for r in overlap.untouched_windows(w, b).collect()}
+        assert free == {x[0] for x in windows} - {p[0] for p in got}
+        return _largest_cell(w, b)
+
+    spread = rects(3000, lambda: rnd.randrange(20_000, 400_000), 300) + [("f", -10**8, -10**8, 10**8, 10**8)]
+    largest, placed = tables(spread)
+    assert largest < 30 and placed < 3000 * 2 + 64 * 64
+    largest, placed = tables(rects(1500, lambda: 50_000 + rnd.randrange(20), 100))
+    assert placed <= 1500 * 4
