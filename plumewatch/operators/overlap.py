@@ -9,6 +9,9 @@ would be a hot key with every pair inside it, so frames are treated by their num
   two lines within `CELL_PX`, so that boxes on one spot do not fall into many cells each.
 * more than `hot_rows`: in addition, boxes are dealt to several salts, to each of which the windows of
   that frame are repeated.
+
+Both sides come out of generators, whose size Spark takes for that of their input. The join of the sides is therefore
+told to sort and merge: on the estimate a few million windows would be sent through the driver as a broadcast.
 """
 
 from __future__ import annotations
@@ -97,7 +100,7 @@ def overlapping_pairs(windows: DataFrame, boxes: DataFrame, threshold: float = 0
     # cells keep order: an intersection starts in the later of both first cells
     first_cell = (F.col("_cx") == F.greatest("_win_x", "_box_x")) & (F.col("_cy") == F.greatest("_win_y", "_box_y"))
     return (
-        w.join(b, list(KEY)).where(meets(win, box) & first_cell)
+        w.hint("merge").join(b, list(KEY)).where(meets(win, box) & first_cell)
         .withColumn("share", covered_share(win, box))
         .where(F.col("share") > threshold)
         .drop("_cx", "_cy", "_salt", "_win_x", "_win_y", "_box_x", "_box_y"))
@@ -111,7 +114,7 @@ def untouched_windows(windows: DataFrame, boxes: DataFrame, key: str = "window_i
     """
     tagged = windows.withColumn("_row", F.monotonically_increasing_id())
     w, b = _sides(tagged, boxes, dense_rows, hot_rows)
-    w, b = w.alias("w"), b.alias("b")
+    w, b = w.hint("merge").alias("w"), b.alias("b")
     same = meets(F.col("w.win"), F.col("b.box"))
     for c in KEY:
         same = same & (F.col(f"w.{c}") == F.col(f"b.{c}"))

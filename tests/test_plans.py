@@ -37,6 +37,16 @@ def test_tile_coverage_needs_no_join(spark, sf):
     assert "Join" not in plan(catalog.QUERIES["J3_tile_box_coverage"](spark, sf))
 
 
+@pytest.mark.parametrize("name", ["J1_window_box_overlap", "J2_untouched_windows"])
+def test_windows_are_not_sent_through_the_driver(spark, sf, name):
+    """The tables are small by the estimate, which does not see that a generator makes rows."""
+    text = plan(catalog.QUERIES[name](spark, sf))
+    assert "SortMergeJoin" in text
+    # only dense frames are broadcast, a written table
+    sent = re.findall(r"BroadcastExchange.*\n(.*)\n(.*)", text)
+    assert sent and all("_xs" in "".join(below) for below in sent)
+
+
 def test_top_k_is_trimmed_before_the_shuffle(spark, sf):
     text = plan(rules.kth_scores(V.tile_scores(spark, sf)))
     partial = text.index(", Partial")
