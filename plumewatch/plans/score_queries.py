@@ -310,6 +310,15 @@ def patch_operating_point(spark, sf):
     return operating_points(spark, sf).select("precision_kind", "part", *POINT_COLS.split(","))
 
 
+def _frame_maximum(spark, sf, *own):
+    """Maximum tile score per capture.
+
+    What belongs to the capture is part of the key: an aggregate that holds a string, such as any_value, is done by
+    sorting all tiles, one over numbers alone by hashing the captures.
+    """
+    return V.tile_scores(spark, sf).groupBy("frame_id", *own).agg(F.max("score").alias("score"))
+
+
 _FRAME_SWEEP_SQL = f"""
  frame_max AS (SELECT frame_id, camera, partner, smoke, max(score) AS score FROM tile_scores GROUP BY ALL),
  {sweep_sql('swept', 'frame_max', 'partner', FRAME_GRID, 'smoke')}"""
@@ -319,9 +328,7 @@ _FRAME_SWEEP_SQL = f"""
 SELECT cap, partner, {POINT_COLS} FROM (SELECT *, row_number() OVER (PARTITION BY cap,partner ORDER BY recall DESC, umbral) AS r
 FROM swept CROSS JOIN (VALUES (0.10::DOUBLE),(0.01::DOUBLE)) v(cap) WHERE fpr<=cap) WHERE r=1""")
 def frame_operating_point(spark, sf):
-    frames = V.tile_scores(spark, sf).groupBy("frame_id").agg(
-        F.max("score").alias("score"), F.any_value("smoke").alias("smoke"),
-        F.any_value("partner").alias("partner"))
+    frames = _frame_maximum(spark, sf, "partner", "smoke")
     points = metrics.sweep(frames, "score", "smoke", C.FRAME_GRID, ["partner"])
     capped = points.withColumn("cap", F.explode(F.array(F.lit(0.10), F.lit(0.01)))).where(
         F.col("fpr") <= F.col("cap"))
@@ -371,10 +378,7 @@ def rule_leaderboard(spark, sf):
 
 def _frame_scores(spark, sf):
     """Maximum tile score per capture, stored once: histories read it twice."""
-    frames = V.tile_scores(spark, sf).groupBy("frame_id").agg(
-        F.any_value("camera").alias("camera"), F.any_value("ts").alias("ts"),
-        F.any_value("smoke").alias("smoke"), F.max("score").alias("score"))
-    return materialize(frames, "frame-maximum")
+    return materialize(_frame_maximum(spark, sf, "camera", "ts"), "frame-maximum")
 
 
 @query("W1_temporal_confirmation", "tile_scores", """
@@ -395,8 +399,7 @@ SELECT frame_id, camera, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY
 @query("W2_run_lengths", "tile_scores", f"""
 WITH f AS (SELECT frame_id, camera, ts, count_if(prob_x1000>=700)>0 AS hit FROM tile_scores GROUP BY ALL), {RUN_SQL}""")
 def run_lengths(spark, sf):
-    frames = V.tile_scores(spark, sf).groupBy("frame_id").agg(
-        F.any_value("camera").alias("camera"), F.any_value("ts").alias("ts"),
+    frames = V.tile_scores(spark, sf).groupBy("frame_id", "camera", "ts").agg(
         F.count_if(F.col("prob_x1000") >= 700).alias("over"))
     frames = materialize(frames, "frame-over")
     return timeline.run_lengths(frames, F.col("over") > 0, "camera", tie="frame_id").select(
@@ -419,9 +422,7 @@ def showcase(spark, sf):
 
 @query("W9_suffix_counts", "tile_scores", f"""WITH {_FRAME_SWEEP_SQL} SELECT partner, umbral, tp, fp, fn, tn FROM swept""")
 def suffix_counts(spark, sf):
-    frames = V.tile_scores(spark, sf).groupBy("frame_id").agg(
-        F.max("score").alias("score"), F.any_value("smoke").alias("smoke"),
-        F.any_value("partner").alias("partner"))
+    frames = _frame_maximum(spark, sf, "partner", "smoke")
     return metrics.sweep(frames, "score", "smoke", C.FRAME_GRID, ["partner"]).select(
         "partner", "umbral", "tp", "fp", "fn", "tn")
 

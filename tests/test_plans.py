@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumewatch import session
 from plumewatch.operators import rules, sampling
-from plumewatch.plans import catalog, views as V
+from plumewatch.plans import catalog, score_queries, views as V
 from plumewatch.sources import footers
 from plumewatch.sources import frames as src
 
@@ -47,6 +47,19 @@ def test_windows_are_not_sent_through_the_driver(spark, sf, name):
     assert sent and all("_xs" in "".join(below) for below in sent)
 
 
+@pytest.mark.parametrize("name", [
+    "W1_temporal_confirmation", "W2_run_lengths", "W9_suffix_counts", "K4_frame_operating_point"])
+def test_tiles_are_hashed_by_frame_not_sorted(spark, sf, name, monkeypatch):
+    """Stored frames are looked at before they are written."""
+    plans = []
+    monkeypatch.setattr(score_queries, "materialize", lambda df, label: plans.append(plan(df)) or df)
+    plans.append(plan(catalog.QUERIES[name](spark, sf)))
+    # the aggregates of tiles are the ones above the scan
+    assert all("SortAggregate" not in text for text in plans) and "HashAggregate" in plans[0]
+    frames = plans[0][plans[0].rindex("HashAggregate"):]
+    assert "Sort [" not in frames
+
+
 def test_top_k_is_trimmed_before_the_shuffle(spark, sf):
     text = plan(rules.kth_scores(V.tile_scores(spark, sf)))
     partial = text.index(", Partial")
