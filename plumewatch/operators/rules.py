@@ -13,30 +13,34 @@ from plumewatch.operators.metrics import operating_point, sweep
 from plumewatch.operators.timeline import confirmed_scores
 from plumewatch.session import materialize
 
+MAX_INT = 2**31 - 1
+
 
 def capture_result(tiles: DataFrame, threshold_x1000: int = C.ALERT_X1000,
                    min_tiles: int = C.MIN_TILES, keys: Sequence[str] = ("frame_id",)) -> DataFrame:
     """Tiles over threshold, best tile (first on ties, -1 if all are zero) and alert per frame.
 
     Optional tile columns: `error` marks tiles that could not be scored, which count only in the total;
-    `ms_resample` and `ms_infer` are summed.
+    `ms_resample` and `ms_infer` are summed. `prob_x1000` and `tile_id` fit 32 bits; of equal tiles any one counts.
     """
     has = set(tiles.columns)
     scored = ~F.col("error") if "error" in has else F.lit(True)
-    best = F.max(F.when(scored, F.struct(
-        F.col("prob_x1000"), (-F.col("tile_id")).alias("neg_id"), "x", "y")))
+    # score and tile in one number, the lower tile above: a struct as maximum would be found by sorting all tiles
+    order = F.when(scored, F.shiftleft(F.col("prob_x1000").cast("long"), 32) + (
+        F.lit(MAX_INT) - F.coalesce(F.col("tile_id").cast("long"), F.lit(MAX_INT))))
     extra = [F.sum(c).alias(c) for c in ("ms_resample", "ms_infer") if c in has]
     extra += [F.bool_or("error").alias("error")] if "error" in has else []
     agg = tiles.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("tiles_total"),
         F.count_if(scored & (F.col("prob_x1000") >= threshold_x1000)).alias("tiles_over"),
-        best.alias("_best"), *extra)
-    some = F.col("_best.prob_x1000") > 0
+        F.shiftright(F.max(order), 32).cast("int").alias("_prob"),
+        *[F.max_by(c, order).alias(f"_{c}") for c in ("x", "y")], *extra)
+    some = F.col("_prob") > 0
     return agg.select(
         "frame_id", "tiles_total", "tiles_over",
-        F.coalesce("_best.prob_x1000", F.lit(0)).alias("prob_max_x1000"),
-        F.when(some, F.col("_best.x")).otherwise(-1).alias("x_max"),
-        F.when(some, F.col("_best.y")).otherwise(-1).alias("y_max"),
+        F.coalesce("_prob", F.lit(0)).alias("prob_max_x1000"),
+        F.when(some, F.col("_x")).otherwise(-1).alias("x_max"),
+        F.when(some, F.col("_y")).otherwise(-1).alias("y_max"),
         ((F.col("tiles_over") >= min_tiles) & F.lit(min_tiles > 0)).alias("alert"),
         *[c for c in ("ms_resample", "ms_infer", "error") if c in has])
 

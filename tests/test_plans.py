@@ -60,6 +60,22 @@ def test_tiles_are_hashed_by_frame_not_sorted(spark, sf, name, monkeypatch):
     assert "Sort [" not in frames
 
 
+def test_capture_results_hash_their_tiles(spark, sf):
+    text = plan(catalog.QUERIES["G6_capture_result"](spark, sf))
+    assert "HashAggregate" in text and "SortAggregate" not in text and "Sort [" not in text
+
+
+def test_best_tile_of_odd_frames(spark):
+    """Highest score, then lowest tile; missing and negative scores, and errors, are never the best."""
+    tiles = spark.createDataFrame([
+        (1, 5, 50, 51, 900, False), (1, 2, 20, 21, 900, False), (1, 0, 1, 2, 999, True), (1, 9, 3, 4, None, False),
+        (2, 0, 7, 8, None, False), (3, 0, 7, 8, 0, False), (4, 0, 7, 8, -5, False), (5, 2**31 - 1, 7, 8, 1, False)],
+        "frame_id long, tile_id int, x int, y int, prob_x1000 int, error boolean")
+    got = {r.frame_id: tuple(r)[1:6] for r in rules.capture_result(tiles).collect()}
+    assert got == {1: (4, 0, 900, 20, 21), 2: (1, 0, 0, -1, -1), 3: (1, 0, 0, -1, -1), 4: (1, 0, -5, -1, -1),
+                   5: (1, 0, 1, 7, 8)}
+
+
 def test_top_k_is_trimmed_before_the_shuffle(spark, sf):
     text = plan(rules.kth_scores(V.tile_scores(spark, sf)))
     partial = text.index(", Partial")
