@@ -16,6 +16,19 @@ from plumewatch.session import materialize
 MAX_INT = 2**31 - 1
 
 
+def tile_order() -> Column:
+    """Score and tile in one number, of equal scores the lower tile above; NULL without a score.
+
+    A struct as maximum would be found by sorting all tiles.
+    """
+    tile = F.coalesce(F.col("tile_id").cast("long"), F.lit(MAX_INT))
+    return F.shiftleft(F.col("prob_x1000").cast("long"), 32) + (F.lit(MAX_INT) - tile)
+
+
+def score_of(order: Column) -> Column:
+    return F.shiftright(order, 32).cast("int")
+
+
 def capture_result(tiles: DataFrame, threshold_x1000: int = C.ALERT_X1000,
                    min_tiles: int = C.MIN_TILES, keys: Sequence[str] = ("frame_id",)) -> DataFrame:
     """Tiles over threshold, best tile (first on ties, -1 if all are zero) and alert per frame.
@@ -25,15 +38,13 @@ def capture_result(tiles: DataFrame, threshold_x1000: int = C.ALERT_X1000,
     """
     has = set(tiles.columns)
     scored = ~F.col("error") if "error" in has else F.lit(True)
-    # score and tile in one number, the lower tile above: a struct as maximum would be found by sorting all tiles
-    order = F.when(scored, F.shiftleft(F.col("prob_x1000").cast("long"), 32) + (
-        F.lit(MAX_INT) - F.coalesce(F.col("tile_id").cast("long"), F.lit(MAX_INT))))
+    order = F.when(scored, tile_order())
     extra = [F.sum(c).alias(c) for c in ("ms_resample", "ms_infer") if c in has]
     extra += [F.bool_or("error").alias("error")] if "error" in has else []
     agg = tiles.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("tiles_total"),
         F.count_if(scored & (F.col("prob_x1000") >= threshold_x1000)).alias("tiles_over"),
-        F.shiftright(F.max(order), 32).cast("int").alias("_prob"),
+        score_of(F.max(order)).alias("_prob"),
         *[F.max_by(c, order).alias(f"_{c}") for c in ("x", "y")], *extra)
     some = F.col("_prob") > 0
     return agg.select(

@@ -8,47 +8,58 @@ from pyspark.sql import functions as F
 
 from plumewatch import constants as C
 from plumewatch.functions import policy
+from plumewatch.operators.rules import score_of, tile_order
+from plumewatch.session import remove, scratch_path
 from plumewatch.streaming.closing import Rule, closing, drain_closing
 
 
-class Capture(Rule):
-    """Tiles of a frame: how many, how many over the threshold, and the best one."""
-
-    result = ("frame_id long, tiles_total long, tiles_over long, prob_max_x1000 int, x_max int, y_max int, "
-              "alert boolean")
-    reads = ("frame_id", "tile_id", "x", "y", "prob_x1000")
-
-    def __init__(self, threshold_x1000: int, min_tiles: int):
-        self.threshold, self.min_tiles = threshold_x1000, min_tiles
-
-    def fold(self, held, rows: pd.DataFrame):
-        total, over, best = held or [0, 0, None]
-        scored = rows[rows["prob_x1000"].notna()]
-        over += int((scored["prob_x1000"] >= self.threshold).sum())
-        if len(scored):
-            top = scored[scored["prob_x1000"] == scored["prob_x1000"].max()]
-            first = top.loc[top["tile_id"].idxmin()]
-            # highest score, then lowest tile
-            mine = [int(first["prob_x1000"]), -int(first["tile_id"]), int(first["x"]), int(first["y"])]
-            best = mine if best is None else max(best, mine)
-        return [total + len(rows), over, best]
-
-    def shown(self, key, held):
-        total, over, best = held
-        x, y = best[2:] if best and best[0] > 0 else (-1, -1)
-        return [(int(key[1]), total, over, best[0] if best else 0, x, y, 0 < self.min_tiles <= over)]
-
-
 def capture_alerts(tiles: DataFrame, delay: str = "10 minutes", threshold_x1000: int = C.ALERT_X1000,
                    min_tiles: int = C.MIN_TILES, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """One result per frame, open frames included, and the tiles that came after their frame had closed.
 
     `tiles` is a stream with frame_id, ts (TIMESTAMP), tile_id, x, y and prob_x1000; all tiles of a frame carry
-    its capture time. A frame closes when the watermark reaches that time.
+    its capture time. A frame closes when the watermark, the newest time of the batches before less `delay`, reaches
+    that time. Tiles without a time are late.
+
+    There are as many frames as captures, so none has a state of its own: a batch writes one mergeable part for each frame
+    it has tiles of, by hash aggregation, and a result merges the parts of its frame. Each batch overwrites its own
+    folders, so a replayed batch leaves nothing twice. A later call with the same folder goes on where this one stopped.
     """
-    rows = tiles.select("frame_id", "tile_id", "x", "y", "prob_x1000", "ts", F.unix_millis("ts").alias("at_ms"))
-    stream = closing(rows, ["at_ms", "frame_id"], Capture(threshold_x1000, min_tiles), F.col("at_ms"), delay)
-    return drain_closing(stream, ["frame_id"], "capture-alerts", folder)
+    spark = tiles.sparkSession
+    folder = folder or scratch_path(spark, "capture-alerts")
+    parts, late, seen = (f"{folder}/{name}" for name in ("parts", "late", "seen"))
+    delay_ms = spark.range(1).select(F.unix_millis(F.timestamp_millis(F.lit(0)) + F.expr(f"INTERVAL {delay}"))).first()[0]
+    at, order = F.unix_millis("ts"), tile_order()
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        newest = spark.read.parquet(f"{seen}/v{batch_id - 1}").first()[0] if batch_id else None
+        reached = max(0, (newest or 0) - delay_ms)
+        in_time = F.coalesce(at > reached, F.lit(False))
+        batch.where(in_time).groupBy("frame_id").agg(
+            F.max(at).alias("at_ms"), F.count(F.lit(1)).alias("tiles_total"),
+            F.count_if(F.col("prob_x1000") >= threshold_x1000).alias("tiles_over"), F.max(order).alias("best"),
+            *[F.max_by(c, order).alias(c) for c in ("x", "y")],
+        ).write.mode("overwrite").parquet(f"{parts}/batch={batch_id}")
+        batch.where(~in_time).select("frame_id", "tile_id", "x", "y", "prob_x1000").write.mode("overwrite").parquet(
+            f"{late}/batch={batch_id}")
+        # late tiles are older than the newest one
+        spark.read.parquet(f"{parts}/batch={batch_id}").agg(F.greatest(F.max("at_ms"), F.lit(newest)).alias(
+            "newest")).write.mode("overwrite").parquet(f"{seen}/v{batch_id}")
+        if batch_id > 1:
+            remove(spark, f"{seen}/v{batch_id - 2}")
+
+    query = (
+        tiles.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state")
+        .trigger(availableNow=True).start())
+    query.awaitTermination()
+    some, over = F.col("_prob") > 0, F.col("tiles_over")
+    frames = spark.read.parquet(parts).groupBy("frame_id").agg(
+        F.sum("tiles_total").alias("tiles_total"), F.sum("tiles_over").alias("tiles_over"),
+        score_of(F.max("best")).alias("_prob"), *[F.max_by(c, "best").alias(c) for c in ("x", "y")]).select(
+        "frame_id", "tiles_total", "tiles_over", F.coalesce("_prob", F.lit(0)).alias("prob_max_x1000"),
+        *[F.when(some, F.col(c)).otherwise(-1).alias(f"{c}_max") for c in ("x", "y")],
+        ((over >= min_tiles) & F.lit(min_tiles > 0)).alias("alert"))
+    return frames, spark.read.parquet(late).drop("batch")
 
 
 class Notice(Rule):

@@ -129,6 +129,23 @@ def test_every_tile_is_in_a_frame_or_in_the_late_table(spark, tmp_path):
     assert late == [(1, 3, 999), (9, 4, 1000)] and 9 not in frames
 
 
+def test_frames_of_a_stream_have_no_state_of_their_own(spark, sf, tmp_path):
+    """Frames are as many as captures, so no worker is called for each; a replayed batch counts once."""
+    path, folder = str(tmp_path / "in"), str(tmp_path / "run")
+    events = V.table(spark, sf, "events")
+    for low, high in ((0, 500), (500, 1000)):
+        events.where(F.col("event_id").between(low, high - 1)).coalesce(1).write.mode("append").parquet(path)
+        tiles = timed(V.tiles_of(V.captures_from(spark.readStream.schema(EVENTS).parquet(path))))
+        frames, late = captures.capture_alerts(tiles, delay="60 days", folder=folder)
+    assert not (tmp_path / "run" / "state" / "state").exists()
+    (tmp_path / "run" / "state" / "commits" / "1").unlink()
+    for crc in (tmp_path / "run" / "state" / "commits").glob(".1*"):
+        crc.unlink()
+    frames, late = captures.capture_alerts(tiles, delay="60 days", folder=folder)
+    batch = capture_result(V.tile_scores(spark, sf))
+    assert rows(frames.select(batch.columns)) == rows(batch) and late.isEmpty()
+
+
 def test_alerts_in_any_order_are_capped_or_late(spark, sf, tmp_path):
     """Shuffled files: the cap over what was in time and the late table make up all alerts."""
     path, folder = str(tmp_path / "in"), str(tmp_path / "run")
