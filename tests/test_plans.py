@@ -76,6 +76,20 @@ def test_best_tile_of_odd_frames(spark):
                    5: (1, 0, 1, 7, 8)}
 
 
+def test_only_tiles_that_become_patches_are_made(spark, sf):
+    text = plan(V.patch_scores(spark, sf))
+    assert "Generate explode(array(" in text
+    # the part of a camera is found once for a capture
+    assert text.rindex("md5(cast(camera") > text.index("Generate explode")
+
+
+def test_scores_of_a_frame_read_one_digest_for_each_tile(spark, sf):
+    frames = V.frame_tile_scores(spark, sf)
+    assert plan(frames).count("md5(") == 1
+    flat = frames.select("frame_id", F.posexplode("scores").alias("tile_id", "score"))
+    assert flat.exceptAll(V.tile_scores(spark, sf).select("frame_id", "tile_id", "score")).isEmpty()
+
+
 def test_top_k_is_trimmed_before_the_shuffle(spark, sf):
     text = plan(rules.kth_scores(V.tile_scores(spark, sf)))
     partial = text.index(", Partial")
