@@ -256,14 +256,8 @@ def patch_extraction(spark, sf):
         F.lit(RASTER_WIDTH).alias("width"), F.array(box_struct(
             F.lit(0.0), F.lit(0.0), F.lit(float(RASTER_WIDTH)), height.cast("double")))
         .alias("windows"))
-    out = pixels.extract_patches(d, out=16).select(
-        "doc_id", F.length("patch").alias("n_bytes"), F.hex("patch").alias("h"))
-    levels = F.expr("transform(sequence(0, n_bytes - 1), "
-                    "i -> cast(conv(substring(h, i * 2 + 1, 2), 16, 10) AS BIGINT))")
-    return out.withColumn("v", levels).select(
-        "doc_id", "n_bytes", F.expr("aggregate(v, 0L, (a, x) -> a + x)").alias("level_sum"),
-        F.expr("aggregate(transform(v, (x, i) -> x * (i + 1)), 0L, (a, x) -> a + x)")
-        .alias("weighted_sum"))
+    return pixels.level_sums(pixels.extract_patches(d, out=16)).select(
+        "doc_id", "n_bytes", "level_sum", "weighted_sum")
 
 
 @query("P2_batched_scoring", "", """

@@ -187,15 +187,8 @@ def pixel_dataset(spark, sf):
     cut = pixels.extract_patches(frames, out=PATCH_OUT).select(
         "frame_id", "camera", "part", "window.*", "patch")
     src.write_patches(cut, path)
-    stored = src.read_patches(spark, path).select(
-        "*", F.length("patch").alias("n_bytes"), F.hex("patch").alias("h"))
-    levels = F.expr("transform(sequence(0, n_bytes - 1), "
-                    "i -> cast(conv(substring(h, i * 2 + 1, 2), 16, 10) AS BIGINT))")
-    return stored.withColumn("v", levels).select(
-        "frame_id", "part", "source", "label", "item", "crop", "n_bytes",
-        F.expr("aggregate(v, 0L, (a, x) -> a + x)").alias("level_sum"),
-        F.expr("aggregate(transform(v, (x, i) -> x * (i + 1)), 0L, (a, x) -> a + x)")
-        .alias("weighted_sum"))
+    return pixels.level_sums(src.read_patches(spark, path)).select(
+        "frame_id", "part", "source", "label", "item", "crop", "n_bytes", "level_sum", "weighted_sum")
 
 
 @query("A9_dataset_document", "frame_base frame_boxes", PATCHES_SQL + """

@@ -51,6 +51,30 @@ def test_against_direct_version(window):
     assert (pixels.resample(image, window, 8) == slow(image, window, 8)).all()
 
 
+@pytest.mark.parametrize("size,out", [((48, 64), 8), ((30, 40), 16), ((7, 5), 8), ((200, 32), 16)])
+def test_many_windows_at_once_are_those_one_by_one(size, out):
+    """Windows inside, over the edge, outside, tiny and whole; every byte."""
+    rng = np.random.default_rng(3)
+    h, w = size
+    images = [rng.integers(0, 256, (h, w, 3), dtype=np.uint8) for _ in range(3)]
+    x, y = rng.random(300) * w * 0.7, rng.random(300) * h * 0.7
+    side = 0.2 + rng.random(300) * min(h, w)
+    wins = np.stack([x, y, x + side, y + side], axis=1)
+    wins[::50] = (0, 0, w, h)
+    wins[1::50] = (1, 2, 5, 4)
+    wins[2::50] = (w + 3, 0, w + 9, 6)
+    got = pixels.resample_many(images, [100, 0, 200], wins, out)
+    want = [pixels.resample(images[0 if i < 100 else 2], win, out) for i, win in enumerate(wins)]
+    assert (got == np.stack(want)).all()
+
+
+def test_level_sums_of_patches_of_any_length(spark):
+    held = [bytes(range(n)) for n in (0, 1, 5, 200)]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(held)], "k int, patch binary")
+    got = sorted(tuple(r) for r in pixels.level_sums(df).collect())
+    assert got == [(i, len(b), sum(b), sum(v * (j + 1) for j, v in enumerate(b))) for i, b in enumerate(held)]
+
+
 def test_extract_swaps_channels_and_cuts_tiles(spark):
     image = np.random.default_rng(2).integers(0, 256, (24, 32, 3), dtype=np.uint8)
     kind = "array<struct<x0:double,y0:double,x1:double,y1:double>>"
