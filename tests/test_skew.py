@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumewatch.functions import geometry as geo
-from plumewatch.operators import curves, metrics, overlap, ranking, sampling, timeline
+from plumewatch.operators import curves, metrics, overlap, ranking, rules, sampling, timeline
+from plumewatch.plans import views as V
 
 
 @pytest.fixture(scope="module")
@@ -279,3 +280,27 @@ def test_cells_of_a_dense_frame_follow_its_boxes(spark):
     assert largest < 30 and placed < 3000 * 2 + 64 * 64
     largest, placed = tables(rects(1500, lambda: 50_000 + rnd.randrange(20), 100))
     assert placed <= 1500 * 4
+
+
+def test_kth_scores_sort_a_few_tiles_of_a_frame(spark, sf):
+    """Tiles of a frame that stand together are cut down before the sort; a batch border may part a frame."""
+    tiles = V.tile_scores(spark, sf)
+    left = rules._leading(tiles.select("frame_id", "tile_id", "score"), "score", 3)
+    assert 3000 <= left.count() <= 3000 + 3 * 8
+
+
+def test_kth_scores_of_scattered_and_odd_tiles(spark):
+    """A hot frame, frames of one or two tiles, ties, missing and infinite scores and NaN, rows of a frame apart."""
+    rng = random.Random(5)
+    odd = [None, float("nan"), float("inf"), float("-inf"), 0.5, 0.5]
+    rows = [(rng.choice([1, 1, 1, i, None]), i % 40, rng.choice(odd) if i % 9 == 0 else rng.random()) for i in range(900)]
+    even = [(f, t, s) for f, t, s in rows if s is not None and s == s]
+    for held in (rows, even):
+        df = spark.createDataFrame(held, "frame_id long, tile_id int, score double").repartition(5)
+        want = {}
+        for f, _, s in held:
+            want.setdefault(f, []).append(s)
+        order = lambda s: (s is None, 0 if s is None else 0 if s != s else 1, 0 if s is None or s != s else -s)
+        want = {f: [str(s) for s in (sorted(v, key=order) + [None] * 3)[:3]] for f, v in want.items()}
+        got = {r[0]: [str(s) for s in r[1:]] for r in rules.kth_scores(df).collect()}
+        assert got == want
