@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumewatch.session import materialize
+
 MISSING, EXTRA, DIFFERENT = "falta", "sobra", "distinto"
 
 
@@ -64,16 +66,17 @@ def fleet_differences(copies: DataFrame, masters: DataFrame) -> DataFrame:
     """Every differing file of every copy that has a master.
 
     Extra and different files are found from the copies' own rows. Only copies that lack files are
-    set against the files of their master.
+    set against the files of their master. Libraries are few, so files are never dealt by them: what is known of
+    libraries and copies is written, and Spark broadcasts it by its true size.
     """
     key = ["library", "path"]
     known = masters.select(*key, F.col("hash").alias("_master"))
-    owned = masters.select("library").distinct()
+    owned = materialize(masters.select("library").distinct(), "owned-libraries")
     kind = F.when(F.col("_master").isNull(), EXTRA).when(F.col("_master") != F.col("hash"), DIFFERENT)
     own = copies.join(owned, "library", "left_semi").join(known, key, "left").select(
         "copy_id", *key, kind.alias("problem")).where(F.col("problem").isNotNull())
-    short = fleet_verdict(copies, masters).where(
-        (F.col("verdict") == "differs") & (F.col("missing") > 0)).select("copy_id", "library")
+    short = materialize(fleet_verdict(copies, masters).where(
+        (F.col("verdict") == "differs") & (F.col("missing") > 0)).select("copy_id", "library"), "short-copies")
     absent = short.join(masters.select(*key), "library").join(
         copies.select("copy_id", *key), ["copy_id", *key], "left_anti")
     return own.unionByName(absent.select("copy_id", *key, F.lit(MISSING).alias("problem")))

@@ -76,6 +76,17 @@ def test_best_tile_of_odd_frames(spark):
                    5: (1, 0, 1, 7, 8)}
 
 
+def test_files_are_not_dealt_by_library(spark, sf):
+    """Tables over the broadcast threshold: a library holds a large share of all files."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")
+    try:
+        text = plan(catalog.QUERIES["J10_fleet_differences"](spark, sf))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" in text and not re.search(r"hashpartitioning\(library#\d+, \d", text)
+
+
 def test_only_tiles_that_become_patches_are_made(spark, sf):
     text = plan(V.patch_scores(spark, sf))
     assert "Generate explode(array(" in text
