@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumewatch import constants as C
-from plumewatch.functions.geometry import (
-    box_struct, jitter_draws, random_windows, split_part, touches_any, window_around)
-from plumewatch.functions.hashing import between, digest, unit
+from plumewatch.functions.geometry import box_struct, jitter_draws, split_part, window_around
+from plumewatch.functions.hashing import TWO_32, between, digest, unit
 from plumewatch.operators.ranking import hex_cell, running_totals
+from plumewatch.session import ship_package
 
-# spare attempts tried before the full budget; a frame needs more only when boxes crowd it
-SPARE = 4
+EDGES = ("x0", "y0", "x1", "y1")
+#: Pairs of a window and a box that are compared at a time.
+PAIRS = 1 << 20
 
 
 def each(df: DataFrame, array: str, index: str, item: str) -> DataFrame:
@@ -71,30 +76,88 @@ def negative_quota(boxes: Column) -> Column:
     return F.when(F.size(boxes) > 0, C.NEGATIVES_SMOKE_FRAME).otherwise(C.NEGATIVES_CLEAN_FRAME)
 
 
-def _accepted(attempts: str, seed: int) -> Column:
-    made = random_windows(attempts, seed=seed)
-    return F.filter(made, lambda s: ~touches_any(s.win, F.col("boxes")))
+def _drawn_windows(heads: list[bytes], attempts: np.ndarray, width: np.ndarray,
+                   height: np.ndarray) -> np.ndarray:
+    """Edges of the windows of `geometry.random_windows`, one row for each digest head and attempt number."""
+    low, high = C.NEGATIVE_SIDE
+    digests = b"".join([md5(b"%b:%d" % key).digest() for key in zip(heads, attempts.tolist())])
+    draws = np.frombuffer(digests, ">u4").reshape(-1, 4)[:, :3] / TWO_32
+    # without a height the side has no bound, as in SQL
+    side = np.fmin((low + draws[:, 0] * (high - low)) * C.WINDOW_PX, height)
+    x, y = draws[:, 1] * (width - side), draws[:, 2] * (height - side)
+    return np.stack([x, y, x + side, y + side])
+
+
+def _touched(windows: np.ndarray, boxes: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Which windows share area with one of their `count` boxes from `first` on, or may do: an edge is missing."""
+    touched = np.zeros(len(count), bool)
+    upto = np.cumsum(count)
+    # windows in a row with about PAIRS boxes, then those boxes in slices, so that crowded frames stay bounded
+    cuts = np.flatnonzero(np.diff((upto - count) // PAIRS)) + 1
+    for part in np.split(np.arange(len(count)), cuts):
+        begin = upto[part[0]] - count[part[0]] if len(part) else 0
+        for at in range(begin, upto[part[-1]] if len(part) else 0, PAIRS):
+            pair = np.arange(at, min(at + PAIRS, upto[part[-1]]))
+            window = part[0] + np.searchsorted(upto[part], pair, side="right")
+            x0, y0, x1, y1 = windows[:, window]
+            bx0, by0, bx1, by1 = boxes[:, first[window] + pair - (upto - count)[window]]
+            touched[window[~((x0 >= bx1) | (bx0 >= x1) | (y0 >= by1) | (by0 >= y1))]] = True
+    return touched
+
+
+def _first_free(heads: pa.Array, width: pa.Array, height: pa.Array, boxes: pa.Array, quota: pa.Array) -> pa.Array:
+    """For each frame its first `quota` random windows that touch none of its boxes.
+
+    Attempts are made in their order, in rounds of as many as a frame still lacks, so none is made in vain; frames
+    drop out when their quota is full or their budget spent.
+    """
+    heads = np.array(heads.cast("binary").to_pylist(), object)
+    width, height, quota = (np.asarray(c.cast("double").to_numpy(zero_copy_only=False)) for c in (width, height, quota))
+    quota = quota.astype(np.int64)
+    offsets = boxes.offsets.to_numpy().astype(np.int64)
+    start, held = offsets[:-1], np.diff(offsets)
+    held_edges = dict(zip((f.name for f in boxes.values.type), boxes.values.flatten()))
+    # a missing edge reaches everything; SQL orders NaN above all numbers
+    edges = np.stack([
+        np.nan_to_num(pc.fill_null(c.cast("double"), far).to_numpy(zero_copy_only=False), nan=np.inf, posinf=np.inf,
+                      neginf=-np.inf)
+        for c, far in ((held_edges[e], -np.inf if e in EDGES[:2] else np.inf) for e in EDGES)])
+    budget = quota * C.ATTEMPTS_PER_NEGATIVE
+    made, got = np.zeros_like(quota), np.zeros_like(quota)
+    found = []
+    open_ = np.flatnonzero(boxes.is_valid().to_numpy(zero_copy_only=False))
+    while len(open_):
+        tries = np.minimum(quota - got, budget - made)[open_]
+        frame = np.repeat(open_, tries)
+        attempt = np.arange(len(frame)) - np.repeat(np.cumsum(tries) - tries, tries) + made[frame]
+        windows = _drawn_windows(heads[frame].tolist(), attempt, width[frame], height[frame])
+        free = ~_touched(windows, edges, start[frame], held[frame])
+        found.append((frame[free], attempt[free], windows[:, free]))
+        made[open_] += tries
+        got += np.bincount(frame[free], minlength=len(got))
+        open_ = open_[(got[open_] < quota[open_]) & (made[open_] < budget[open_])]
+    frame, attempt, windows = (
+        np.concatenate(c, axis=-1) for c in zip(*found)) if found else (made[:0], made[:0], np.zeros((4, 0)))
+    order = np.lexsort((attempt, frame))
+    win = pa.StructArray.from_arrays([pa.array(c[order], from_pandas=True) for c in windows], EDGES)
+    return pa.ListArray.from_arrays(
+        pa.array(np.concatenate([[0], np.cumsum(got)]), pa.int32()),
+        pa.StructArray.from_arrays([pa.array(attempt[order], pa.int32()), win], ("attempt", "win")))
 
 
 def with_negative_windows(df: DataFrame, seed: int = C.SEED) -> DataFrame:
     """Add `negatives`: the first accepted random windows of each frame, up to its quota.
 
     A frame row carries all of its boxes, so rejection happens inside the row and nothing is
-    shuffled. The short first try is exact: attempts keep their numbers, and the whole budget of
-    25 per window is spent when the first ones do not fill the quota.
+    shuffled. Attempts keep their numbers, and the whole budget of 25 per window is spent when the first ones do
+    not fill the quota. Only boxes and sizes go to Python, batches of frames at a time; other columns do not.
     """
-    quota = F.col("quota")
-    first = f"quota + if(size(boxes) > 0, {SPARE}, 0) - 1"
-    return (
-        df.withColumn("quota", negative_quota(F.col("boxes")))
-        .withColumn("_try", _accepted(f"sequence(0, {first})", seed))
-        .withColumn("negatives", F.slice(
-            F.when(F.size("_try") >= quota, F.col("_try")).otherwise(F.concat(
-                F.col("_try"),
-                _accepted(
-                    f"sequence({first} + 1, quota * {C.ATTEMPTS_PER_NEGATIVE} - 1)", seed))),
-            F.lit(1), quota))
-        .drop("_try"))
+    ship_package(df.sparkSession)
+    edges = ",".join(f"{c}:double" for c in EDGES)
+    free = F.arrow_udf(_first_free, f"array<struct<attempt:int,win:struct<{edges}>>>")
+    return df.withColumn("quota", negative_quota(F.col("boxes"))).withColumn("negatives", free(
+        F.concat_ws(":", F.lit(str(seed)), F.lit("window"), F.col("frame_id").cast("string")), "width", "height", "boxes",
+        "quota"))
 
 
 def negative_windows(df: DataFrame, seed: int = C.SEED) -> DataFrame:

@@ -118,11 +118,13 @@ def raster_frames(spark: SparkSession, sf: str) -> DataFrame:
 
 def framed_boxes(spark: SparkSession, sf: str) -> DataFrame:
     """Readable frames with parsed pixel boxes."""
-    df = frames(spark, sf).where(readable_image(F.col("image.bytes")))
+    # sizes are columns of their own first: then the image bytes are made for the filter only
+    df = frames(spark, sf).where(readable_image(F.col("image.bytes"))).select(
+        "frame_id", "camera", "partner", "annotations", F.col("image.width").alias("width"),
+        F.col("image.height").alias("height"))
     return df.select(
-        "frame_id", "camera", "partner", F.col("image.width").alias("width"),
-        F.col("image.height").alias("height"),
-        parse_boxes(F.col("annotations"), F.col("image.width"), F.col("image.height")).alias("boxes"))
+        "frame_id", "camera", "partner", "width", "height",
+        parse_boxes(F.col("annotations"), F.col("width"), F.col("height")).alias("boxes"))
 
 
 def line_boxes(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,6 +178,69 @@ def test_negative_windows_spend_the_whole_budget(spark):
     assert any(a > 10 for k in got for _, a in got[k])
 
 
+def _held_negatives(spark, rows, id_type="long", size="double"):
+    """Windows of odd frames by the search in batches, and by SQL expressions over the whole budget."""
+    kind = "array<struct<x0:double,y0:double,x1:double,y1:double>>"
+    df = spark.createDataFrame(rows, f"frame_id {id_type}, width {size}, height {size}, boxes {kind}")
+    every = F.filter(geo.random_windows("sequence(0, if(size(boxes) > 0, 75, 100) - 1)"),
+                     lambda s: ~geo.touches_any(s.win, F.col("boxes")))
+    want = df.withColumn("quota", sampling.negative_quota(F.col("boxes"))).select(
+        "*", F.slice(every, F.lit(1), F.col("quota")).alias("negatives"))
+
+    def listed(d):
+        return sorted((str(r.frame_id), repr(r.negatives or [])) for r in d.select("frame_id", "negatives").collect())
+
+    got = sampling.with_negative_windows(df)
+    assert got.schema["negatives"].dataType.simpleString() == want.schema["negatives"].dataType.simpleString()
+    assert listed(got) == listed(want)
+    return got
+
+
+def test_negative_windows_of_odd_frames(spark):
+    """Missing, endless and many boxes, sizes that are missing, ids of other types: as the SQL expressions say."""
+    nan, inf = float("nan"), float("inf")
+    odd = [[], None, [(600.0, 300.0, 700.0, 400.0)], [(nan, 0.0, nan, 720.0)], [(0.0, 0.0, nan, 720.0)],
+           [(-inf, 300.0, inf, 320.0)], [(None, 0.0, None, 30.0)], [(600.0, None, 700.0, 400.0), (0.0, 0.0, 30.0, 30.0)],
+           [(i * 13.0 % 1280, i * 7.0 % 720, i * 13.0 % 1280 + 2, i * 7.0 % 720 + 2) for i in range(700)],
+           [(0.0, 0.0, 1280.0, 720.0)], [(i * 1.0, 0.0, i + 1.0, 10.0) for i in range(1280)]]
+    sizes = [(1280.0, 720.0), (200.0, 200.0), (None, 720.0), (1280.0, None)]
+    rows = [(k, *sizes[k // 11 % 4], odd[k % 11]) for k in range(220)]
+    got = _held_negatives(spark, rows)
+    assert {len(r.negatives or []) for r in got.collect()} >= {0, 3, 4}
+    _held_negatives(spark, [(f"é{k}" if k % 5 else None, *r[1:]) for k, r in enumerate(rows)], "string")
+    _held_negatives(spark, [(k, 1280, 720, r[3]) for k, r in enumerate(rows)], "int", "int")
+    assert sampling.with_negative_windows(got.where("frame_id < 0").select("frame_id", "width", "height", "boxes")).isEmpty()
+
+
+def test_no_window_is_drawn_in_vain(monkeypatch):
+    """A frame's attempts end with the window that fills its quota, or with its budget; boxes are compared in slices."""
+    drawn, draw = [], sampling._drawn_windows
+    monkeypatch.setattr(sampling, "PAIRS", 50)
+    monkeypatch.setattr(sampling, "_drawn_windows", lambda heads, attempts, *size: (
+        drawn.extend(zip(heads, attempts.tolist())), draw(heads, attempts, *size))[1])
+    boxes = [[], [(600.0, 300.0, 700.0, 400.0)], [(0.0, 0.0, 1280.0, 720.0)],
+             [(i * 10.0, 0.0, i * 10.0 + 2, 60.0) for i in range(128)]]
+    held = [[dict(zip(sampling.EDGES, b)) for b in boxes[k % 4]] for k in range(200)]
+    quota = [3 if b else 4 for b in held]
+    kind = pa.list_(pa.struct([(e, pa.float64()) for e in sampling.EDGES]))
+    # a slice of longer columns, as batches may be
+    cut = [pa.array(c[:1] + c, t).slice(1) for c, t in (
+        ([f"42:window:{k}" for k in range(200)], pa.string()), ([1280] * 200, pa.int32()), ([720] * 200, pa.int32()),
+        (held, kind), (quota, pa.int32()))]
+    found = sampling._first_free(*cut).to_pylist()
+    tries = {}
+    for head, attempt in drawn:
+        tries.setdefault(head, []).append(attempt)
+    for k in range(200):
+        made, got = tries[b"42:window:%d" % k], [n["attempt"] for n in found[k]]
+        full = len(got) == quota[k]
+        assert sorted(made) == list(range(got[-1] + 1 if full else quota[k] * 25))
+        assert full or len(got) < quota[k]
+    assert {len(f) for f in found[2::4]} == {0} and len(found[0]) == 4
+    monkeypatch.setattr(sampling, "PAIRS", 1 << 20)
+    assert sampling._first_free(*cut).to_pylist() == found
+
+
 def test_jittered_windows_hold_their_box(spark):
     rng = random.Random(2)
     kind = "array<struct<x0:double,y0:double,x1:double,y1:double>>"
