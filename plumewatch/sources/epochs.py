@@ -12,6 +12,8 @@ from plumewatch.session import materialize
 
 #: Batches of a file, about.
 BATCHES = 4096
+#: Files of an epoch whose files hold fewer batches than that.
+FILES = 256
 
 
 def write_epoch(df: DataFrame, path: str, index: str, epoch: int, seed: int = C.SEED, chunk: int = 8,
@@ -20,14 +22,23 @@ def write_epoch(df: DataFrame, path: str, index: str, epoch: int, seed: int = C.
 
     The order is that of `epoch_order`: blocks of neighbours permuted, index order inside a batch. Rows are dealt
     by range of batch ids and sorted inside, so a task holds about `batches` batches at a time and none is cut.
+
+    A file is a task, and every task reports to the driver, as do the samples that ranges are found by. An epoch that
+    would need more than `FILES` files of fewer than `BATCHES` batches has larger files, up to that many batches.
     """
     ordered = materialize(epoch_order(df, index, epoch, seed, chunk, batch), "epoch-order")
     last = ordered.agg(F.max("batch_id")).first()[0]
-    files = 1 + (last or 0) // batches
+    files = n_files(1 + (last or 0), batches)
     ordered.repartitionByRange(files, "batch_id").sortWithinPartitions("batch_id", index).write.mode(
         "overwrite").parquet(path)
 
 
+def n_files(held: int, batches: int = BATCHES) -> int:
+    """Files for `held` batches."""
+    fewest = -(-held // max(batches, BATCHES))
+    return max(fewest, min(-(-held // batches), FILES))
+
+
 def read_epoch(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a written epoch with `position`: their place when the files are read in the order of names.
 

@@ -96,3 +96,19 @@ def test_epoch_files_hold_the_epoch_in_order(spark, tmp_path, rows, batches):
     got = epochs.read_epoch(spark, path).collect()
     assert [(r.batch_id, r.i) for r in sorted(got, key=lambda r: r.position)] == want
     assert sorted(r.position for r in got) == list(range(rows))
+
+
+def test_small_files_of_a_long_epoch_are_bounded(spark, tmp_path, monkeypatch):
+    """Each file is a task that reports to the driver; the order of a long epoch stays the same in larger files."""
+    assert [epochs.n_files(n, 16) for n in (1, 16, 17, 1563, 562_500, 5_625_000)] == [1, 1, 2, 98, 256, 1374]
+    assert epochs.n_files(9000) == 3 and epochs.n_files(9000, 8192) == 2
+    monkeypatch.setattr(epochs, "FILES", 4)
+    monkeypatch.setattr(epochs, "BATCHES", 60)
+    df = spark.range(20_001).select((F.col("id") * 3).alias("i"))
+    path = str(tmp_path / "epoch")
+    epochs.write_epoch(df.repartition(5), path, "i", 3, batches=2)
+    files = [p for p in (tmp_path / "epoch").iterdir() if p.suffix == ".parquet"]
+    want = sorted((r.batch_id, r.i) for r in epoch_order(df, "i", 3).collect())
+    assert 4 < len(files) <= epochs.n_files(want[-1][0] + 1, 2) < 20
+    got = sorted(epochs.read_epoch(spark, path).collect(), key=lambda r: r.position)
+    assert [(r.batch_id, r.i) for r in got] == want and [r.position for r in got] == list(range(20_001))
